@@ -51,16 +51,29 @@ ON_TRIP = "on_trip"
 
 MONEY = T.DecimalType(12, 2)
 
+_TEXT, _REAL, _TIME = T.StringType(), T.DoubleType(), T.TimestampType()
+_COUNT, _BIG, _FLAG = T.IntegerType(), T.LongType(), T.BooleanType()
+
+
+def _schema(required: str = "", **fields: T.DataType) -> T.StructType:
+    """Fields in the given order; those listed in ``required`` are NOT NULL."""
+    needed = required.split()
+    return T.StructType([T.StructField(name, kind, name not in needed) for name, kind in fields.items()])
+
+
 # One telemetry message as it arrives, all fields optional.
-TELEMETRY = T.StructType.fromDDL(
-    "trip_id STRING, driver_id STRING, vehicle_id STRING, lat DOUBLE, lon DOUBLE,"
-    " speed DOUBLE, status STRING, fare DOUBLE, timestamp STRING"
+TELEMETRY = _schema(
+    trip_id=_TEXT,
+    driver_id=_TEXT,
+    vehicle_id=_TEXT,
+    lat=_REAL,
+    lon=_REAL,
+    speed=_REAL,
+    status=_TEXT,
+    fare=_REAL,
+    timestamp=_TEXT,
 )
 
-# Every expense column is read as text and cast with try_cast afterwards, so one
-# bad cell becomes null instead of failing the file.
-EXPENSES_TEXT = T.StructType([T.StructField(c, T.StringType()) for c in EXPENSE_COLUMNS])
-
 SILVER_COLUMNS = (
     "trip_id",
     "driver_id",
@@ -75,38 +88,89 @@ SILVER_COLUMNS = (
     "time_of_day",
 )
 
-# Column types of the result tables. NOT NULL numbers fall back to 0 on write.
-FLEET_SNAPSHOT = T.StructType.fromDDL(
-    "window_start TIMESTAMP, window_end TIMESTAMP, active_vehicles INT NOT NULL,"
-    " idle_vehicles INT NOT NULL, total_vehicles INT NOT NULL,"
-    " idle_ratio DECIMAL(8,4) NOT NULL, trips_in_window INT NOT NULL,"
-    " trips_per_hour DECIMAL(12,2) NOT NULL, avg_speed DECIMAL(8,2),"
-    " live_fare_exposure DECIMAL(12,2) NOT NULL, event_count BIGINT NOT NULL"
+# Column types of the result tables. NOT NULL numbers and flags fall back to 0 and false.
+FLEET_SNAPSHOT = _schema(
+    "active_vehicles idle_vehicles total_vehicles idle_ratio trips_in_window trips_per_hour"
+    " live_fare_exposure event_count",
+    window_start=_TIME,
+    window_end=_TIME,
+    active_vehicles=_COUNT,
+    idle_vehicles=_COUNT,
+    total_vehicles=_COUNT,
+    idle_ratio=T.DecimalType(8, 4),
+    trips_in_window=_COUNT,
+    trips_per_hour=MONEY,
+    avg_speed=T.DecimalType(8, 2),
+    live_fare_exposure=MONEY,
+    event_count=_BIG,
+)
+ZONE_SNAPSHOT = _schema(
+    "active_vehicles trips_in_window live_fare_exposure event_count",
+    zone_id=_TEXT,
+    time_of_day=_TEXT,
+    window_start=_TIME,
+    window_end=_TIME,
+    active_vehicles=_COUNT,
+    trips_in_window=_COUNT,
+    avg_speed=T.DecimalType(8, 2),
+    live_fare_exposure=MONEY,
+    event_count=_BIG,
 )
-ZONE_SNAPSHOT = T.StructType.fromDDL(
-    "zone_id STRING, time_of_day STRING, window_start TIMESTAMP, window_end TIMESTAMP,"
-    " active_vehicles INT NOT NULL, trips_in_window INT NOT NULL, avg_speed DECIMAL(8,2),"
-    " live_fare_exposure DECIMAL(12,2) NOT NULL, event_count BIGINT NOT NULL"
+ZONE_WINDOWS = _schema(
+    "active_vehicles idle_vehicles idle_ratio trips_in_window trips_per_hour live_fare_exposure event_count",
+    window_start=_TIME,
+    window_end=_TIME,
+    zone_id=_TEXT,
+    time_of_day=_TEXT,
+    active_vehicles=_COUNT,
+    idle_vehicles=_COUNT,
+    idle_ratio=T.DecimalType(8, 4),
+    trips_in_window=_COUNT,
+    trips_per_hour=MONEY,
+    avg_speed=T.DecimalType(8, 2),
+    live_fare_exposure=MONEY,
+    event_count=_BIG,
 )
-ZONE_WINDOWS = T.StructType.fromDDL(
-    "window_start TIMESTAMP, window_end TIMESTAMP, zone_id STRING, time_of_day STRING,"
-    " active_vehicles INT NOT NULL, idle_vehicles INT NOT NULL,"
-    " idle_ratio DECIMAL(8,4) NOT NULL, trips_in_window INT NOT NULL,"
-    " trips_per_hour DECIMAL(12,2) NOT NULL, avg_speed DECIMAL(8,2),"
-    " live_fare_exposure DECIMAL(12,2) NOT NULL, event_count BIGINT NOT NULL"
+VEHICLE_STATE = _schema(
+    "idle_alert_sent",
+    vehicle_id=_TEXT,
+    driver_id=_TEXT,
+    status=_TEXT,
+    zone_id=_TEXT,
+    lat=_REAL,
+    lon=_REAL,
+    idle_since=_TIME,
+    last_event_ts=_TIME,
+    idle_alert_sent=_FLAG,
 )
-VEHICLE_STATE = T.StructType.fromDDL(
-    "vehicle_id STRING, driver_id STRING, status STRING, zone_id STRING, lat DOUBLE,"
-    " lon DOUBLE, idle_since TIMESTAMP, last_event_ts TIMESTAMP, idle_alert_sent BOOLEAN"
+ALERTS = _schema(
+    alert_type=_TEXT,
+    vehicle_id=_TEXT,
+    driver_id=_TEXT,
+    zone_id=_TEXT,
+    idle_minutes=T.DecimalType(10, 2),
+    severity=_TEXT,
+    message=_TEXT,
+    created_at=_TIME,
 )
-ALERTS = T.StructType.fromDDL(
-    "alert_type STRING, vehicle_id STRING, driver_id STRING, zone_id STRING,"
-    " idle_minutes DECIMAL(10,2), severity STRING, message STRING, created_at TIMESTAMP"
+HEALTH = _schema(
+    "raw_rows valid_rows",
+    interval_id=_BIG,
+    raw_rows=_BIG,
+    valid_rows=_BIG,
+    last_event_ts=_TIME,
 )
-PROFITABILITY = T.StructType.fromDDL(
-    "report_date DATE, vehicle_id STRING, trip_count INT NOT NULL,"
-    " earnings DECIMAL(12,2) NOT NULL, fuel_cost DECIMAL(12,2) NOT NULL,"
-    " maintenance_cost DECIMAL(12,2) NOT NULL, distance_covered DECIMAL(12,2) NOT NULL,"
-    " service_flag BOOLEAN NOT NULL, profit DECIMAL(12,2) NOT NULL,"
-    " unprofitable BOOLEAN NOT NULL, computed_at TIMESTAMP"
+PROFITABILITY = _schema(
+    "trip_count earnings fuel_cost maintenance_cost distance_covered service_flag profit unprofitable",
+    report_date=T.DateType(),
+    vehicle_id=_TEXT,
+    trip_count=_COUNT,
+    earnings=MONEY,
+    fuel_cost=MONEY,
+    maintenance_cost=MONEY,
+    distance_covered=MONEY,
+    service_flag=_FLAG,
+    profit=MONEY,
+    unprofitable=_FLAG,
+    computed_at=_TIME,
 )

@@ -28,7 +28,7 @@ VEHICLE = "V00042"
 
 
 def _plain(df: DataFrame, rounded: tuple[str, ...] = ()) -> DataFrame:
-    """Decimals as double, ints as bigint, named columns rounded to 4 places."""
+    """Decimals as double, ints as bigint, dates as text, named columns rounded to 4 places."""
     out = []
     for name, kind in df.dtypes:
         column = F.col(name)
@@ -36,6 +36,8 @@ def _plain(df: DataFrame, rounded: tuple[str, ...] = ()) -> DataFrame:
             column = column.cast("double")
         elif kind == "int":
             column = column.cast("bigint")
+        elif kind == "date":
+            column = column.cast("string")
         out.append((F.round(column, 4) if name in rounded else column).alias(name))
     return df.select(*out)
 
@@ -126,7 +128,7 @@ _BATCH: dict[str, Query] = {
         serving.vehicle_profit_on(_profitability(s, sf), VEHICLE, REPORT_DATE)
     ),
     "vehicle_profit_latest": lambda s, sf: _plain(serving.vehicle_profit_latest(_profitability(s, sf))),
-    "profit_summary": lambda s, sf: earnings.profit_summary(_profitability(s, sf)),
+    "profit_summary": lambda s, sf: _plain(earnings.profit_summary(_profitability(s, sf))),
     "loss_leaders": lambda s, sf: _plain(serving.loss_leaders(_profitability(s, sf))),
     "unreconciled_vehicles": unreconciled_vehicles,
     "trip_analytics": lambda s, sf: _plain(trips.trip_analytics(_silver(s, sf)), ("avg_speed",)),
