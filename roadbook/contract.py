@@ -153,12 +153,13 @@ ALERTS = _schema(
     message=_TEXT,
     created_at=_TIME,
 )
-HEALTH = _schema(
-    "raw_rows valid_rows",
-    interval_id=_BIG,
+HEALTH_LOG = _schema(
+    "raw_rows valid_rows stale_rows",
     raw_rows=_BIG,
     valid_rows=_BIG,
+    stale_rows=_BIG,
     last_event_ts=_TIME,
+    processed_at=_TIME,
 )
 PROFITABILITY = _schema(
     "trip_count earnings fuel_cost maintenance_cost distance_covered service_flag profit unprofitable",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from roadbook.contract import (
     NO_DATA_BATCHES,
     NO_DATA_MESSAGE,
     PARSE_EMPTY_MESSAGE,
+    STARTING_MESSAGE,
     WAITING_MESSAGE,
 )
 from roadbook.operators.clean import with_reject_reason
@@ -22,21 +25,24 @@ def _interval(arrival: str, interval_seconds: int) -> Column:
     return F.floor(F.unix_seconds(F.col(arrival).cast("timestamp")) / F.lit(interval_seconds))
 
 
-def interval_counts(events: DataFrame, interval_seconds: int, arrival: str = "event_ts") -> DataFrame:
-    """Raw rows, valid rows and newest valid event per interval that has any row.
-
-    ``arrival`` names the column that says when a row came in.
-    """
+def _counts() -> list[Column]:
     valid = F.col("reject_reason").isNull()
-    return (
-        with_reject_reason(events)
-        .groupBy(_interval(arrival, interval_seconds).alias("interval_id"))
-        .agg(
-            F.count(F.lit(1)).alias("raw_rows"),
-            F.count_if(valid).alias("valid_rows"),
-            F.max(F.when(valid, F.col("event_ts"))).alias("last_event_ts"),
-        )
-    )
+    return [
+        F.count(F.lit(1)).alias("raw_rows"),
+        F.count_if(valid).alias("valid_rows"),
+        F.max(F.when(valid, F.col("event_ts"))).alias("last_event_ts"),
+    ]
+
+
+def batch_counts(events: DataFrame) -> DataFrame:
+    """Raw rows, valid rows and newest valid event of one batch, as one row."""
+    return with_reject_reason(events).agg(*_counts())
+
+
+def interval_counts(events: DataFrame, interval_seconds: int, arrival: str = "event_ts") -> DataFrame:
+    """The same figures per interval that has any row; ``arrival`` says when a row came in."""
+    interval = _interval(arrival, interval_seconds).alias("interval_id")
+    return with_reject_reason(events).groupBy(interval).agg(*_counts())
 
 
 def interval_grid(events: DataFrame, interval_seconds: int, arrival: str = "event_ts") -> DataFrame:
@@ -105,6 +111,35 @@ def batch_health(
     return classify_intervals(filled.na.fill(0, ["raw_rows", "valid_rows"]), no_data_after)
 
 
+def health_of_log(
+    log: DataFrame, interval_seconds: int, no_data_after: int, until: dt.datetime
+) -> DataFrame:
+    """Health per interval from the first logged batch up to ``until``.
+
+    An interval in which no batch ran is an empty one, so the state of a silent feed can be
+    read at any time although no batch reports it.
+    """
+    slot = _interval("processed_at", interval_seconds).alias("interval_id")
+    counts = log.groupBy(slot).agg(
+        F.sum("raw_rows").alias("raw_rows"),
+        F.sum("valid_rows").alias("valid_rows"),
+        F.max("last_event_ts").alias("last_event_ts"),
+        F.max("batch_id").alias("last_batch_id"),
+    )
+    ends = log.select("processed_at").union(log.sparkSession.range(1).select(F.lit(until).cast("timestamp")))
+    bounds = ends.agg(F.min("processed_at").alias("processed_at")).union(ends.agg(F.max("processed_at")))
+    grid = interval_grid(bounds, interval_seconds, "processed_at")
+    span = bounds.agg(
+        F.min(_interval("processed_at", interval_seconds)).alias("first_id"),
+        F.max(_interval("processed_at", interval_seconds)).alias("last_id"),
+    )
+    inside = grid.where(
+        F.col("interval_id").between(span.select("first_id").scalar(), span.select("last_id").scalar())
+    )
+    filled = inside.join(counts, "interval_id", "left").na.fill(0, ["raw_rows", "valid_rows"])
+    return classify_intervals(filled, no_data_after)
+
+
 def no_data_alerts(health: DataFrame, no_data_after: int = NO_DATA_BATCHES) -> DataFrame:
     """One CRITICAL alert per run of empty intervals, raised when the run gets long enough."""
     return health.where(F.col("empty_streak") == no_data_after).select(
@@ -122,3 +157,12 @@ def no_data_alerts(health: DataFrame, no_data_after: int = NO_DATA_BATCHES) -> D
 def health_latest(health: DataFrame) -> DataFrame:
     """The newest health row."""
     return health.orderBy(F.col("interval_id").desc()).limit(1)
+
+
+def health_now(health: DataFrame) -> DataFrame:
+    """The newest health row, or a STARTING row while there is none."""
+    starting = health.sparkSession.range(1).select(
+        F.lit("STARTING").alias("status"), F.lit(STARTING_MESSAGE).alias("message"), F.lit(0).alias("empty_streak")
+    )
+    every = health.unionByName(starting, allowMissingColumns=True)
+    return every.orderBy(F.col("interval_id").desc_nulls_last()).limit(1)

@@ -6,15 +6,22 @@ Results are flattened to plain types: money as double, averages and ratios round
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadbook.contract import VEHICLE_STATE
 from roadbook.operators import clean, earnings, health, idle, kpi, lateness, latest, quality, serving, trips, windows
-from roadbook.session import prepare
+from roadbook.session import prepare, shared_folder
 from roadbook.sinks import alerts as alert_sinks
+from roadbook.sinks import tables
 from roadbook.sources import given_tables as given
+from roadbook.sources.telemetry import telemetry_stream
+from roadbook.streaming import idle as live_idle
+from roadbook.streaming import windows as live_windows
+from roadbook.streaming.events import EventBatch, LiveTables, start_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +35,8 @@ VEHICLE = "V00042"
 
 
 def _plain(df: DataFrame, rounded: tuple[str, ...] = ()) -> DataFrame:
-    """Decimals as double, ints as bigint, dates as text, named columns rounded to 4 places."""
+    """Decimals as double, ints as bigint, dates as text, times without zone,
+    named columns rounded to 4 places."""
     out = []
     for name, kind in df.dtypes:
         column = F.col(name)
@@ -38,6 +46,8 @@ def _plain(df: DataFrame, rounded: tuple[str, ...] = ()) -> DataFrame:
             column = column.cast("bigint")
         elif kind == "date":
             column = column.cast("string")
+        elif kind == "timestamp":
+            column = column.cast("timestamp_ntz")
         out.append((F.round(column, 4) if name in rounded else column).alias(name))
     return df.select(*out)
 
@@ -89,7 +99,21 @@ def rule_violations(spark: SparkSession, sf: str) -> DataFrame:
     return quality.rule_violations(given.telemetry(spark, sf), quality.telemetry_rules(), ["event_id"])
 
 
+def upsert_vehicle_state(spark: SparkSession, sf: str) -> DataFrame:
+    """States after the first half of the month, then upserted with what the second half changes."""
+    silver, path = _silver(spark, sf), _run_folder(spark, "vehicle_state")
+    turn = F.lit("2024-01-16").cast("timestamp_ntz")
+    first = idle.vehicle_states(silver.where(F.col("event_ts") < turn), IDLE_MINUTES)
+    tables.replace_version(tables.finalise(first, VEHICLE_STATE), path, 0)
+    stored = tables.read_version(spark, path, VEHICLE_STATE)
+    runs = idle.idle_runs(silver.where(F.col("event_ts") >= turn), stored)
+    changed = tables.finalise(idle.states_from_runs(runs, IDLE_MINUTES), VEHICLE_STATE)
+    tables.replace_version(tables.upsert(stored, changed, ["vehicle_id"]), path, 1)
+    return _plain(tables.read_version(spark, path, VEHICLE_STATE))
+
+
 _BATCH: dict[str, Query] = {
+    "upsert_vehicle_state": upsert_vehicle_state,
     "parse_props": parse_props,
     "parse_telemetry": parse_telemetry,
     "clean_telemetry": lambda s, sf: clean.clean_telemetry(given.telemetry(s, sf)),
@@ -139,9 +163,76 @@ _BATCH: dict[str, Query] = {
 }
 
 
+def _run_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _feed(spark: SparkSession, sf: str) -> DataFrame:
+    """The events table as a stream of wire messages."""
+    schema = given.events(spark, sf).schema
+    return given.envelopes_of(telemetry_stream(spark, "parquet", schema, sf, pathGlobFilter="events.parquet"))
+
+
+def _feed_silver(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.silver(clean.parse_telemetry(_feed(spark, sf)))
+
+
+def idle_alerts_stream(spark: SparkSession, sf: str) -> DataFrame:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live_idle.STATE_PROVIDER)
+    folder = _run_folder(spark, "idle_alerts_stream")
+    query = (
+        live_idle.live_idle_alerts(_feed_silver(spark, sf), IDLE_MINUTES)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{folder}/rows")
+    )
+    query.awaitTermination()
+    return _plain(spark.read.parquet(f"{folder}/rows"))
+
+
+def _windows_from_stream(spark: SparkSession, windowed: DataFrame, output_mode: str) -> DataFrame:
+    folder = _run_folder(spark, "zone_windows_stream")
+    live_windows.start_windows(
+        windowed, f"{folder}/rows", f"{folder}/checkpoint", {"availableNow": True}, output_mode
+    ).awaitTermination()
+    return _plain(live_windows.read_windows(spark, f"{folder}/rows"))
+
+
+def zone_windows_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return _windows_from_stream(
+        spark, live_windows.live_zone_windows(_feed_silver(spark, sf), length=WINDOW), "update"
+    )
+
+
+def zone_windows_final_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return _windows_from_stream(
+        spark, live_windows.final_zone_windows(_feed_silver(spark, sf), length=WINDOW), "append"
+    ).drop("idle_ratio", "trips_per_hour", "avg_speed")
+
+
+def _live_tables(spark: SparkSession, sf: str) -> LiveTables:
+    """All live tables after the whole feed has gone through the events query."""
+    folder = _run_folder(spark, "live")
+    live = LiveTables(f"{folder}/tables")
+    handler = EventBatch(live, MONTH_SECONDS, IDLE_MINUTES)
+    start_events(_feed(spark, sf), handler, f"{folder}/checkpoint", {"availableNow": True}).awaitTermination()
+    return live
+
+
+_STREAMS: dict[str, Query] = {
+    "idle_alerts_stream": idle_alerts_stream,
+    "zone_windows_stream": zone_windows_stream,
+    "zone_windows_final_stream": zone_windows_final_stream,
+    "live_vehicle_status": lambda s, sf: _plain(serving.vehicle_status(_live_tables(s, sf).states(s))),
+    "live_recent_alerts": lambda s, sf: _plain(serving.recent_alerts(_live_tables(s, sf).alerts(s))),
+    "live_zones": lambda s, sf: _plain(serving.zones_by_exposure(_live_tables(s, sf).zones(s))).drop("avg_speed"),
+}
+
+
 def _prepared(query: Query) -> Query:
     return lambda spark, sf_dir: query(prepare(spark), sf_dir.rstrip("/"))
 
 
 def queries() -> dict[str, Query]:
-    return {name: _prepared(query) for name, query in _BATCH.items()}
+    return {name: _prepared(query) for name, query in {**_BATCH, **_STREAMS}.items()}

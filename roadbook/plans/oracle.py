@@ -336,6 +336,17 @@ def _statements() -> dict[str, str]:
             "health",
         ),
         "vehicle_status": s(_STATES, "newest", "idling"),
+        "upsert_vehicle_state": s(_STATES, "newest", "idling"),
+        "live_vehicle_status": s(_STATES, "newest", "idling"),
+        "idle_alerts_stream": s("SELECT * FROM alert_rows", "alert_rows"),
+        "live_recent_alerts": s("SELECT * FROM alert_rows ORDER BY created_at DESC, vehicle_id LIMIT 50", "alert_rows"),
+        "live_zones": s("SELECT * EXCLUDE (avg_speed) FROM zones", "zones"),
+        # only windows the watermark has passed are final
+        "zone_windows_final_stream": s(
+            f"SELECT * EXCLUDE (idle_ratio, trips_per_hour, avg_speed) FROM ({_ZONE_WINDOWS}) WHERE window_end <="
+            " (SELECT max(event_ts) - INTERVAL 2 MINUTE FROM silver)",
+            "framed",
+        ),
         "vehicle_profitability": s("SELECT * FROM profitability", "profitability"),
         "profit_by_date": s("SELECT * FROM profitability WHERE report_date = DATE '2024-01-15'", "profitability"),
         "profit_latest": s(

@@ -14,6 +14,8 @@ _SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+_LOCAL_FOLDER = "spark.roadbook.localFolder"
+
 
 def open_session(app_name: str, master: str | None = None, **settings: str) -> SparkSession:
     """A session with the settings above. Cluster sizes (shuffle partitions, memory) are left
@@ -36,12 +38,12 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder for stream checkpoints and working tables that all executors can reach.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as on a
-    developer's machine in local mode, a temporary folder is made and recorded there.
+    developer's machine in local mode, a temporary folder is made once per session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        folder = tempfile.mkdtemp(prefix="roadbook-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = spark.conf.get(_LOCAL_FOLDER, None) or tempfile.mkdtemp(prefix="roadbook-")
+        spark.conf.set(_LOCAL_FOLDER, folder)
     return folder.rstrip("/")
