@@ -1,10 +1,11 @@
 """Idle streaks per vehicle and the alerts they raise.
 
-A streak is a run of consecutive ``idle`` events of one vehicle in event order. Ordering a
-whole vehicle in one task would not survive a vehicle that holds a large share of all
-rows, so events are ordered within (vehicle, time chunk) and only one summary row per
-non-empty chunk is ordered per vehicle. What a chunk must know about the past is then
-carried into it. The result is the same for every chunk length.
+A streak is a run of consecutive ``idle`` events of one vehicle in event order. Most
+vehicles are ordered whole, in one window partition each. Ordering a vehicle that holds a
+large share of all rows in one task would not work, so a heavy vehicle (more than
+``heavy_rows`` rows) is ordered per time chunk instead; only one summary row per non-empty
+chunk is ordered for the vehicle as a whole, and what a chunk must know about the past is
+carried into it. The result is the same for every choice of the two sizes.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from roadbook.functions import clock
 from roadbook.operators.latest import latest_by_key, sequence
 
 CHUNK_SECONDS = 3600
+HEAVY_ROWS = 2_000_000
 _BEFORE_ALL_CHUNKS = -(2**62)
 
 
@@ -29,23 +31,38 @@ def _start(ts: Column, seq: Column, sent: Column) -> Column:
     return F.struct(ts.alias("ts"), seq.alias("seq"), sent.alias("sent"))
 
 
-def _within_chunks(events: DataFrame, chunk_seconds: int) -> DataFrame:
+def _heavy_vehicles(events: DataFrame, heavy_rows: int) -> DataFrame:
+    """Ids of vehicles with more than ``heavy_rows`` rows: at most rows / heavy_rows ids,
+    which is one per two million rows by default and small enough to broadcast."""
+    counts = events.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("_rows"))
+    heavy = counts.where(F.col("_rows") > heavy_rows).select("vehicle_id", F.lit(True).alias("_heavy"))
+    return F.broadcast(heavy)
+
+
+def _with_chunks(events: DataFrame, heavy: DataFrame, chunk_seconds: int, how: str = "left") -> DataFrame:
+    """Add ``_seq`` and ``_chunk``; ``_chunk`` is null for vehicles that need no cutting."""
+    chunk = F.when(F.col("_heavy"), clock.time_chunk(F.col("event_ts"), chunk_seconds))
+    joined = events.withColumn("_seq", sequence(events)).join(heavy, "vehicle_id", how)
+    return joined.withColumn("_chunk", chunk).drop("_heavy")
+
+
+def _within_chunks(chunked: DataFrame) -> DataFrame:
     """What each row can tell from its own chunk alone."""
     chunk = Window.partitionBy("vehicle_id", "_chunk").orderBy("event_ts", "_seq")
     so_far = chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here = _start(F.col("event_ts"), F.col("_seq"), F.lit(False))
     idle = F.col("status") == F.lit(IDLE)
     previous = F.lag("status").over(chunk)
-    return (
-        events.withColumns({"_seq": sequence(events), "_chunk": clock.time_chunk(F.col("event_ts"), chunk_seconds)})
-        .withColumns({"_prev_status": previous, "_prev_ts": F.lag("event_ts").over(chunk)})
-        .withColumns(
-            {
-                # the last streak that began after an earlier row of this chunk
-                "_began": F.last(F.when(idle & (F.col("_prev_status") != F.lit(IDLE)), here), True).over(so_far),
-                "_first": F.first(here).over(so_far),
-            }
-        )
+    return chunked.withColumns(
+        {
+            "_prev_status": previous,
+            "_prev_ts": F.lag("event_ts").over(chunk),
+            "_first": F.first(here).over(so_far),
+        }
+    ).withColumn(
+        # the last streak that began after an earlier row of this chunk
+        "_began",
+        F.last(F.when(idle & (F.col("_prev_status") != F.lit(IDLE)), here), True).over(so_far),
     )
 
 
@@ -113,19 +130,29 @@ def _carried(summaries: DataFrame) -> DataFrame:
     )
 
 
-def idle_runs(events: DataFrame, state: DataFrame | None = None, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+def idle_runs(
+    events: DataFrame,
+    state: DataFrame | None = None,
+    chunk_seconds: int = CHUNK_SECONDS,
+    heavy_rows: int = HEAVY_ROWS,
+) -> DataFrame:
     """Events plus ``streak`` (start of the idle streak the row belongs to, null while
     moving), ``prev_status``, ``prev_ts`` and ``prev_stored``.
 
     ``state`` holds vehicle states of earlier runs; rows older than a vehicle's stored
     newest event must have been removed with ``split_stale``.
     """
-    rows = _within_chunks(events, chunk_seconds)
-    summaries = _chunk_summaries(rows)
-    if state is not None:
+    heavy = _heavy_vehicles(events, heavy_rows)
+    chunked = _with_chunks(events, heavy, chunk_seconds)
+    if state is None:
+        # a vehicle in one piece has no past to carry in
+        cut = _with_chunks(events, heavy, chunk_seconds, "inner")
+        carried = _carried(_chunk_summaries(_within_chunks(cut)))
+    else:
+        chunked = chunked.withColumn("_chunk", F.coalesce("_chunk", F.lit(0).cast("bigint")))
         known = state.join(events.select("vehicle_id").distinct(), "vehicle_id", "left_semi")
-        summaries = summaries.unionByName(_state_summaries(known))
-    joined = rows.join(_carried(summaries), ["vehicle_id", "_chunk"])
+        carried = _carried(_chunk_summaries(_within_chunks(chunked)).unionByName(_state_summaries(known)))
+    joined = _within_chunks(chunked).join(carried, ["vehicle_id", "_chunk"], "left")
     first_row = F.col("_prev_status").isNull()
     streak = F.when(F.col("status") == F.lit(IDLE), F.coalesce("_began", "_in_start", "_first"))
     return joined.select(
@@ -148,10 +175,12 @@ def _idle_span() -> Column:
     return clock.elapsed_micros(F.col("streak.ts"), F.col("event_ts"))
 
 
-def idle_episodes(events: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+def idle_episodes(
+    events: DataFrame, chunk_seconds: int = CHUNK_SECONDS, heavy_rows: int = HEAVY_ROWS
+) -> DataFrame:
     """One row per idle streak: start, last event seen in it, events and whole micros."""
     return (
-        idle_runs(events, chunk_seconds=chunk_seconds)
+        idle_runs(events, None, chunk_seconds, heavy_rows)
         .where(F.col("streak").isNotNull())
         .groupBy("vehicle_id", F.col("streak.ts").alias("idle_since"), F.col("streak.seq").alias("_seq"))
         .agg(F.max("event_ts").alias("last_idle_ts"), F.count(F.lit(1)).alias("event_count"))
@@ -205,9 +234,10 @@ def idle_alerts(
     events: DataFrame,
     threshold_minutes: float = IDLE_THRESHOLD_MINUTES,
     chunk_seconds: int = CHUNK_SECONDS,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """One alert per idle streak, raised by its first event at or past the threshold."""
-    return alerts_from_runs(idle_runs(events, chunk_seconds=chunk_seconds), threshold_minutes)
+    return alerts_from_runs(idle_runs(events, None, chunk_seconds, heavy_rows), threshold_minutes)
 
 
 def states_from_runs(runs: DataFrame, threshold_minutes: float = IDLE_THRESHOLD_MINUTES) -> DataFrame:
@@ -231,5 +261,6 @@ def vehicle_states(
     events: DataFrame,
     threshold_minutes: float = IDLE_THRESHOLD_MINUTES,
     chunk_seconds: int = CHUNK_SECONDS,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
-    return states_from_runs(idle_runs(events, chunk_seconds=chunk_seconds), threshold_minutes)
+    return states_from_runs(idle_runs(events, None, chunk_seconds, heavy_rows), threshold_minutes)
