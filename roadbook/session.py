@@ -12,6 +12,8 @@ _SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # no call-site capture per column expression: every micro-batch builds its plans anew
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 _LOCAL_FOLDER = "spark.roadbook.localFolder"

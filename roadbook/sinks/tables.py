@@ -4,7 +4,7 @@ Three ways to write, all of them safe to repeat with the same batch id or date,
 single commit:
 
 * batch log: every micro-batch owns the partition of its ``batch_id``;
-* version: a small table is written whole under a new ``version``, readers take the newest;
+* version: a small table is written whole as a new version, readers take the newest;
 * one partition: a date is replaced, other dates stay as they are.
 """
 
@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 from roadbook.operators.latest import latest_by_key
 
+SLOTS = 16
+
 
 def finalise(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns of ``schema`` in its types; NOT NULL numbers and flags default to 0 and false.
@@ -56,8 +58,13 @@ def append_silver(silver: DataFrame, path: str, batch_id: int) -> None:
 
 
 def replace_version(df: DataFrame, path: str, version: int) -> None:
-    """Publish ``df`` as the whole content of a small table. An empty frame publishes nothing."""
-    _write(df.withColumn("version", F.lit(version).cast("bigint")), path, "version")
+    """Publish ``df`` as the whole content of a small table. An empty frame publishes nothing.
+
+    Versions take turns in a fixed number of slots, so the table does not grow with the
+    number of batches, and a reader has ``SLOTS`` - 1 further versions of time to finish.
+    """
+    slot = F.lit(version % SLOTS)
+    _write(df.withColumns({"version": F.lit(version).cast("bigint"), "slot": slot}), path, "slot")
 
 
 def replace_date(df: DataFrame, path: str) -> None:
@@ -77,12 +84,15 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, **partition
 
 
 def read_version(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """The newest version of a table, or the newest one older than ``before``."""
-    table = read_table(spark, path, schema, version=T.LongType())
-    if before is not None:
-        table = table.where(F.col("version") < F.lit(before))
-    newest = table.select(F.max("version")).scalar()
-    return table.where(F.col("version") == newest).drop("version")
+    """The newest version of a table, or the newest one older than ``before``.
+
+    Finding the slot reads the version column only; the slot then prunes the scan.
+    """
+    stored = T.StructType([*schema.fields, T.StructField("version", T.LongType())])
+    table = read_table(spark, path, stored, slot=T.IntegerType())
+    older = table if before is None else table.where(F.col("version") < F.lit(before))
+    newest = older.select(F.max_by("slot", "version")).scalar()
+    return table.where(F.col("slot") == newest).drop("version", "slot")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

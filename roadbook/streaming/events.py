@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,22 +66,31 @@ class EventBatch:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         parsed = clean.parse_telemetry(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        silver = clean.silver(parsed)
+        writes = [
+            lambda: self._idle(spark, silver, batch_id),
+            lambda: tables.append_silver(silver, self.tables.path("silver"), batch_id),
+            lambda: self._fleet(silver, batch_id),
+            lambda: self._zones(silver, batch_id),
+            lambda: self._health(spark, parsed, silver, batch_id),
+        ]
         try:
-            silver = clean.silver(parsed)
-            tables.append_silver(silver, self.tables.path("silver"), batch_id)
-            self._snapshots(silver, batch_id)
-            self._idle(spark, silver, batch_id)
-            self._health(spark, parsed, silver, batch_id)
+            # independent tables, written side by side; a failed write fails the batch,
+            # which is then replayed as a whole
+            with ThreadPoolExecutor(len(writes)) as pool:
+                for done in [pool.submit(inheritable_thread_target(spark)(write)) for write in writes]:
+                    done.result()
         finally:
             parsed.unpersist()
 
-    def _snapshots(self, silver: DataFrame, batch_id: int) -> None:
+    def _fleet(self, silver: DataFrame, batch_id: int) -> None:
         fleet = kpi.fleet_snapshot(silver, self.window_seconds).where("total_vehicles > 0")
-        tables.replace_version(
-            tables.finalise(fleet, contract.FLEET_SNAPSHOT), self.tables.path("fleet_snapshot"), batch_id
-        )
-        zones = tables.finalise(kpi.zone_snapshot(silver), contract.ZONE_SNAPSHOT)
-        tables.replace_version(zones, self.tables.path("zone_snapshot"), batch_id)
+        rows = tables.finalise(fleet, contract.FLEET_SNAPSHOT)
+        tables.replace_version(rows, self.tables.path("fleet_snapshot"), batch_id)
+
+    def _zones(self, silver: DataFrame, batch_id: int) -> None:
+        rows = tables.finalise(kpi.zone_snapshot(silver), contract.ZONE_SNAPSHOT)
+        tables.replace_version(rows, self.tables.path("zone_snapshot"), batch_id)
 
     def _idle(self, spark: SparkSession, silver: DataFrame, batch_id: int) -> None:
         before = self.tables.states(spark, before=batch_id)

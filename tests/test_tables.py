@@ -134,6 +134,10 @@ def test_upsert_and_version_reading(spark, tmp_path):
     assert {tuple(r) for r in tables.read_version(spark, path, schema).collect()} == {("a", 1), ("b", 2), ("c", 2)}
     tables.replace_version(spark.createDataFrame([], schema), path, 2)
     assert tables.read_version(spark, path, schema).count() == 3
+    for version in range(3, tables.SLOTS + 2):
+        tables.replace_version(spark.createDataFrame([("z", version)], schema), path, version)
+    assert [tuple(r) for r in tables.read_version(spark, path, schema).collect()] == [("z", tables.SLOTS + 1)]
+    assert len(list((tmp_path / "t").glob("slot=*"))) == tables.SLOTS - 1
 
 
 def test_batch_log_replay_and_current_view(spark, tmp_path):
