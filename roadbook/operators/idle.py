@@ -19,6 +19,7 @@ from roadbook.operators.latest import latest_by_key, sequence
 
 CHUNK_SECONDS = 3600
 HEAVY_ROWS = 2_000_000
+_BROADCAST_FROM = 1_000_000
 _BEFORE_ALL_CHUNKS = -(2**62)
 
 
@@ -32,11 +33,14 @@ def _start(ts: Column, seq: Column, sent: Column) -> Column:
 
 
 def _heavy_vehicles(events: DataFrame, heavy_rows: int) -> DataFrame:
-    """Ids of vehicles with more than ``heavy_rows`` rows: at most rows / heavy_rows ids,
-    which is one per two million rows by default and small enough to broadcast."""
+    """Ids of vehicles with more than ``heavy_rows`` rows, at most rows / heavy_rows of them.
+
+    With a limit of a million rows or more the list is small enough to broadcast at any
+    table size; with a smaller one Spark chooses the join by the size it finds.
+    """
     counts = events.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("_rows"))
     heavy = counts.where(F.col("_rows") > heavy_rows).select("vehicle_id", F.lit(True).alias("_heavy"))
-    return F.broadcast(heavy)
+    return F.broadcast(heavy) if heavy_rows >= _BROADCAST_FROM else heavy
 
 
 def _with_chunks(events: DataFrame, heavy: DataFrame, chunk_seconds: int, how: str = "left") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadbook.contract import IDLE
@@ -10,7 +10,7 @@ from roadbook.functions import values
 from roadbook.operators.latest import sequence
 
 
-def _moving_speed() -> F.Column:
+def _moving_speed() -> Column:
     return F.when(F.col("status") != F.lit(IDLE), F.col("speed"))
 
 

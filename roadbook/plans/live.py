@@ -12,7 +12,7 @@ from roadbook import contract
 from roadbook.operators import clean
 from roadbook.session import open_session, shared_folder
 from roadbook.sinks.alerts import publish_alerts
-from roadbook.sources.telemetry import telemetry_stream
+from roadbook.sources.telemetry import numbered, telemetry_stream
 from roadbook.streaming import windows
 from roadbook.streaming.events import EventBatch, LiveTables, start_events
 from roadbook.streaming.progress import NoDataAlerts, ProgressTable
@@ -85,14 +85,14 @@ def main(argv: list[str] | None = None) -> None:
         startingOffsets=args.starting_offsets,
         maxOffsetsPerTrigger=args.max_offsets_per_trigger,
         **brokers,
-    ).select("value", "timestamp")
+    )
     publish = None
     if args.alerts_topic:
         def publish(alerts):
             publish_alerts(alerts, "kafka", topic=args.alerts_topic, **brokers)
 
     start_live(
-        messages,
+        numbered(messages),
         args.root,
         trigger={"processingTime": args.trigger},
         watermark=args.watermark,

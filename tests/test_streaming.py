@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from roadbook.plans import live as live_plan
 from roadbook.sources import given_tables as given
 from roadbook.streaming import idle as live_idle
 from roadbook.streaming import windows as live_windows
-from roadbook.streaming.events import LiveTables
+from roadbook.streaming.events import EventBatch, LiveTables, start_events
 from roadbook.streaming.progress import NoDataAlerts, ProgressTable, SilenceWatch
 
 SF = "/root/testdata/sf0.001"
@@ -85,6 +86,62 @@ def test_micro_batches_fill_all_tables(spark, tmp_path, parts):
     assert rows(metrics.select(*keys, *same)) == rows(exact.select(*keys, *same))
 
 
+def test_rows_older_than_the_state_are_skipped_and_counted(spark, tmp_path):
+    """The second batch brings rows from before the first one; both stateful forms agree."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live_idle.STATE_PROVIDER)
+    schema = "value string, timestamp timestamp, event_id long"
+    start = dt.datetime(2024, 1, 1)
+
+    def send(*events):
+        rows = [
+            (
+                json.dumps({"vehicle_id": "V1", "driver_id": "D1", "status": s, "timestamp": (start + dt.timedelta(minutes=m)).isoformat()}),
+                start,
+                number,
+            )
+            for number, (s, m) in enumerate(events)
+        ]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    live = LiveTables(str(tmp_path / "live"))
+
+    def run():
+        feed = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        start_events(feed, EventBatch(live), str(tmp_path / "c1"), AVAILABLE).awaitTermination()
+        alerts = live_idle.live_idle_alerts(clean.silver(clean.parse_telemetry(feed)))
+        writer = alerts.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c2"))
+        writer.trigger(**AVAILABLE).start(str(tmp_path / "alerts")).awaitTermination()
+
+    send(("idle", 10), ("idle", 12))
+    run()
+    send(("on_trip", 11), ("idle", 2), ("idle", 14), ("idle", 16))
+    run()
+    send(("on_trip", 17), ("idle", 18), ("idle", 30))
+    run()
+    expected = [start + dt.timedelta(minutes=m) for m in (16, 30)]
+    assert sorted(r.created_at for r in live.alerts(spark).collect()) == expected
+    assert sorted(r.created_at for r in spark.read.parquet(str(tmp_path / "alerts")).collect()) == expected
+    log = live.health_log(spark)
+    assert [r.stale_rows for r in log.orderBy("batch_id").collect()] == [0, 2, 0]
+    state = live.states(spark).first()
+    assert (state.idle_since, state.idle_alert_sent) == (start + dt.timedelta(minutes=18), True)
+
+
+def test_batch_without_valid_rows_leaves_snapshots_alone(spark, tmp_path):
+    live = LiveTables(str(tmp_path / "live"))
+    handler = EventBatch(live)
+    schema = "value string, timestamp timestamp"
+    at = dt.datetime(2024, 1, 1, 8)
+    good = json.dumps({"vehicle_id": "V1", "status": "on_trip", "trip_id": "T", "fare": 5.0, "timestamp": at.isoformat()})
+    for batch_id, values in enumerate((["{"], [good], ["{", "[]"], [])):
+        handler(spark.createDataFrame([(v, at) for v in values], schema), batch_id)
+    assert (live.fleet(spark).first().total_vehicles, live.zones(spark).count(), live.states(spark).count()) == (1, 1, 1)
+    log = live.health_log(spark).orderBy("batch_id").collect()
+    assert [(r.raw_rows, r.valid_rows) for r in log] == [(1, 0), (1, 1), (2, 0), (0, 0)]
+    handler(spark.createDataFrame([(good, at)], schema), 1)
+    assert live.silver(spark).count() == 1
+
+
 def test_final_windows_match_exact_windows_that_closed(spark, tmp_path):
     feed = split_feed(spark, tmp_path / "in", 3)
     query = (

@@ -16,6 +16,7 @@ from roadbook.plans.live import trigger_seconds
 from roadbook.sinks import tables
 from roadbook.sinks.alerts import alert_messages, publish_alerts, with_defaults
 from roadbook.sources import expenses as source
+from roadbook.sources.telemetry import numbered
 
 DAY = dt.date(2026, 9, 27)
 HEADER = "vehicle_id,fuel_cost,maintenance_cost,distance_covered,service_flag"
@@ -182,5 +183,25 @@ def test_feed_health_from_the_batch_log(spark):
     assert (nothing.status, nothing.message) == ("STARTING", "waiting for first streaming batch")
 
 
+def test_daily_job_from_the_command_line(spark, tmp_path, capsys):
+    root, table, out = tmp_path / "in", str(tmp_path / "silver"), str(tmp_path / "out")
+    root.mkdir()
+    expense_folder(root, f"{HEADER}\nV001,100.25,50,10,yes\n")
+    columns = {c: F.lit(None).cast("string") for c in ("driver_id", "status", "zone_id", "time_of_day")}
+    columns |= {c: F.lit(0.0) for c in ("lat", "lon", "speed")}
+    tables.append_silver(silver(spark).withColumns(columns), table, 0)
+    args = ["--silver", table, "--expenses", str(root), "--output", out, "--report-date", "2026-09-27"]
+    daily.main(args)
+    assert "V001" in capsys.readouterr().out
+    assert float(spark.read.parquet(out).first().profit) == 149.75
+
+
+def test_kafka_messages_get_an_id_that_rises_along_a_partition(spark):
+    rows = [(bytearray(b"x"), dt.datetime(2024, 1, 1), p, o) for p, o in ((0, 5), (1, 5), (1, 6))]
+    frame = spark.createDataFrame(rows, "value binary, timestamp timestamp, partition int, offset long")
+    ids = [r.event_id for r in numbered(frame).collect()]
+    assert len(set(ids)) == 3 and ids == sorted(ids)
+
+
 def test_trigger_text():
     assert [trigger_seconds(t) for t in ("10 seconds", "1 minute", "2 hours")] == [10, 60, 7200]
