@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from roadbook.contract import VEHICLE_STATE
 from roadbook.operators import clean, earnings, health, idle, kpi, lateness, latest, quality, serving, trips, windows
+from roadbook.plans import daily
 from roadbook.session import prepare, shared_folder
 from roadbook.sinks import alerts as alert_sinks
 from roadbook.sinks import tables
+from roadbook.sources import expenses as expense_source
 from roadbook.sources import given_tables as given
-from roadbook.sources.telemetry import telemetry_stream
+from roadbook.sources.telemetry import silver_table, telemetry_stream
 from roadbook.streaming import idle as live_idle
 from roadbook.streaming import windows as live_windows
 from roadbook.streaming.events import EventBatch, LiveTables, start_events
@@ -99,6 +101,31 @@ def rule_violations(spark: SparkSession, sf: str) -> DataFrame:
     return quality.rule_violations(given.telemetry(spark, sf), quality.telemetry_rules(), ["event_id"])
 
 
+def result_rule_violations(spark: SparkSession, sf: str) -> DataFrame:
+    silver = _silver(spark, sf)
+    return quality.result_violations(
+        {
+            "silver": silver,
+            "zone_windows": windows.zone_windows(silver, WINDOW),
+            "vehicle_state": idle.vehicle_states(silver, IDLE_MINUTES),
+            "vehicle_profitability": _profitability(spark, sf),
+            "trip_analytics": trips.trip_analytics(silver),
+            "daily_summary": trips.daily_summary(silver, _expenses(spark, sf)),
+        }
+    )
+
+
+def daily_job(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily job on stored tables: silver by date, one date's expense file, gates, replaced partition."""
+    folder = _run_folder(spark, "daily_job")
+    tables.append_silver(_silver(spark, sf), f"{folder}/silver", 0)
+    file_name = expense_source.FILE_NAMES[0].format(day=REPORT_DATE)
+    given.raw_expenses(spark, sf).drop("unfiled").write.option("header", True).csv(f"{folder}/in/{file_name}")
+    silver = silver_table(spark, f"{folder}/silver", REPORT_DATE)
+    written = daily.run_day(spark, silver, f"{folder}/in", f"{folder}/out", REPORT_DATE)
+    return _plain(written.drop("computed_at"))
+
+
 def upsert_vehicle_state(spark: SparkSession, sf: str) -> DataFrame:
     """States after the first half of the month, then upserted with what the second half changes."""
     silver, path = _silver(spark, sf), _run_folder(spark, "vehicle_state")
@@ -160,6 +187,8 @@ _BATCH: dict[str, Query] = {
         trips.daily_summary(_silver(s, sf), _expenses(s, sf)), ("average_speed",)
     ),
     "rule_violations": rule_violations,
+    "result_rule_violations": result_rule_violations,
+    "daily_job": daily_job,
 }
 
 

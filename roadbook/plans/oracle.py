@@ -137,6 +137,10 @@ _PARTS = {
         FROM silver WHERE trip_id <> '' GROUP BY ALL""",
     "framed": """
         SELECT time_bucket(INTERVAL '6 hours', event_ts, TIMESTAMP '1970-01-01') AS window_start, * FROM silver""",
+    "framed_fares": """
+        SELECT window_start, zone_id, time_of_day, CAST(sum(fare) AS DOUBLE) AS trip_fare_sum
+        FROM (SELECT window_start, zone_id, time_of_day, trip_id, CAST(max(fare) AS DECIMAL(12, 2)) AS fare
+              FROM framed WHERE trip_id IS NOT NULL GROUP BY ALL) GROUP BY ALL""",
 }
 
 # What each subquery reads, in the order it must be defined.
@@ -163,9 +167,54 @@ _NEEDS = {
     "trip_figures": ["silver"],
     "trip_days": ["silver"],
     "framed": ["silver"],
+    "framed_fares": ["framed"],
+    "states": ["newest", "idling"],
+    "trip_rows": ["trip_ends", "trip_figures"],
+    "day_rows": ["trip_days", "expense_days"],
+    "window_rows": ["framed_fares"],
 }
 
 
+# Rows that break a rule of a result table, and the key that must be unique.
+_RESULT_RULES = {
+    ("silver", "silver", "event_id"): {
+        **{f"{c} not null": f"{c} IS NULL" for c in ("driver_id", "vehicle_id", "status", "event_ts")},
+    },
+    ("zone_windows", "window_rows", "window_start, zone_id, time_of_day"): {
+        **{f"{c} not null": f"{c} IS NULL" for c in ("window_start", "zone_id", "time_of_day", "event_count")},
+    },
+    ("vehicle_state", "states", "vehicle_id"): {
+        **{f"{c} not null": f"{c} IS NULL" for c in ("vehicle_id", "status", "last_event_ts")},
+    },
+    ("vehicle_profitability", "profitability", "report_date, vehicle_id"): {
+        **{
+            f"{c} not null": f"{c} IS NULL"
+            for c in ("report_date", "vehicle_id", "earnings", "profit", "unprofitable")
+        },
+    },
+    ("trip_analytics", "trip_rows", "trip_id"): {
+        **{f"{c} not null": f"{c} IS NULL" for c in ("driver_id", "vehicle_id")},
+        **{f"{c} >= 0": f"{c} < 0" for c in ("avg_speed", "max_speed", "final_fare")},
+        "trip_status in enroute|on_trip|completed": "trip_status NOT IN ('enroute', 'on_trip', 'completed')",
+    },
+    ("daily_summary", "day_rows", "summary_date"): {
+        f"{c} >= 0": f"{c} < 0"
+        for c in ("total_trips", "completed_trips", "average_speed", "total_revenue", "total_expenses")
+    },
+}
+
+
+def _result_rule_counts() -> str:
+    selects = []
+    for (table, part, key), rules in _RESULT_RULES.items():
+        for rule, broken in rules.items():
+            selects.append(f"SELECT '{table}' AS table_name, '{rule}' AS rule, count(*) AS violations FROM {part} WHERE {broken}")
+        selects.append(
+            f"SELECT '{table}', '{key} unique', count(*) - (SELECT count(*) FROM (SELECT DISTINCT {key} FROM {part})) FROM {part}"
+        )
+    return "\nUNION ALL ".join(selects)
+
+
 def _statement(final: str, *parts: str) -> str:
     order: list[str] = []
 
@@ -188,8 +237,10 @@ SELECT window_start, window_start + INTERVAL '6 hours' AS window_end, zone_id, t
   round(CAST(count(DISTINCT CASE WHEN status = 'idle' THEN vehicle_id END) AS DOUBLE) / count(DISTINCT vehicle_id), 4) AS idle_ratio,
   count(DISTINCT CASE WHEN status = 'on_trip' THEN trip_id END) AS trips_in_window,
   round(count(DISTINCT CASE WHEN status = 'on_trip' THEN trip_id END) * (CAST(3600 AS DOUBLE) / 21600), 4) AS trips_per_hour,
-  round(avg(speed), 4) AS avg_speed, max(fare) AS live_fare_exposure, count(*) AS event_count
-FROM framed GROUP BY ALL"""
+  round(avg(speed), 4) AS avg_speed, max(fare) AS live_fare_exposure, count(*) AS event_count,
+  coalesce(any_value(trip_fare_sum), 0) AS trip_fare_sum
+FROM framed LEFT JOIN framed_fares USING (window_start, zone_id, time_of_day)
+GROUP BY window_start, zone_id, time_of_day"""
 
 _FLEET = """
 SELECT v.*, round(CAST(v.idle_vehicles AS DOUBLE) / v.total_vehicles, 4) AS idle_ratio, t.trips_in_window,
@@ -256,7 +307,7 @@ FROM alert_rows"""
 _DATE_COLUMNS = {
     "report_date": (
         "daily_earnings vehicle_profitability profit_by_date profit_latest vehicle_profit_on vehicle_profit_latest"
-        " profit_summary loss_leaders unreconciled_vehicles"
+        " profit_summary loss_leaders unreconciled_vehicles daily_job"
     ).split(),
     "summary_date": ["daily_summary"],
 }
@@ -272,6 +323,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _statements() -> dict[str, str]:
     s = _statement
+    _PARTS.update(window_rows=_ZONE_WINDOWS, states=_STATES, trip_rows=_TRIPS, day_rows=_DAYS)
     return {
         "parse_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
         "parse_telemetry": s(
@@ -312,7 +364,7 @@ def _statements() -> dict[str, str]:
             "zones",
         ),
         "daily_earnings": s("SELECT * REPLACE (CAST(earnings AS DOUBLE) AS earnings) FROM earned", "earned"),
-        "zone_windows": s(_ZONE_WINDOWS, "framed"),
+        "zone_windows": s(_ZONE_WINDOWS, "framed_fares"),
         "late_events": (
             "SELECT * FROM (SELECT *, max(event_ts) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS max_event_ts"
             " FROM (SELECT event_id, user_id, CASE WHEN event_id % 17 = 0 THEN ts - INTERVAL 1 HOUR ELSE ts END AS event_ts"
@@ -343,9 +395,9 @@ def _statements() -> dict[str, str]:
         "live_zones": s("SELECT * EXCLUDE (avg_speed) FROM zones", "zones"),
         # only windows the watermark has passed are final
         "zone_windows_final_stream": s(
-            f"SELECT * EXCLUDE (idle_ratio, trips_per_hour, avg_speed) FROM ({_ZONE_WINDOWS}) WHERE window_end <="
+            f"SELECT * EXCLUDE (idle_ratio, trips_per_hour, avg_speed, trip_fare_sum) FROM ({_ZONE_WINDOWS}) WHERE window_end <="
             " (SELECT max(event_ts) - INTERVAL 2 MINUTE FROM silver)",
-            "framed",
+            "framed_fares",
         ),
         "vehicle_profitability": s("SELECT * FROM profitability", "profitability"),
         "profit_by_date": s("SELECT * FROM profitability WHERE report_date = DATE '2024-01-15'", "profitability"),
@@ -374,4 +426,8 @@ def _statements() -> dict[str, str]:
         "trip_analytics": s(_TRIPS, "trip_ends", "trip_figures"),
         "daily_summary": s(_DAYS, "trip_days", "expense_days"),
         "rule_violations": s(_RULE_COUNTS, "telemetry"),
+        "result_rule_violations": s(
+            _result_rule_counts(), "silver", "window_rows", "states", "profitability", "trip_rows", "day_rows"
+        ),
+        "daily_job": s("SELECT * FROM profitability WHERE report_date = DATE '2024-01-15'", "profitability"),
     }
