@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,6 +22,9 @@ STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateSto
 _STATE = "last_ts BIGINT, last_status_idle BOOLEAN, idle_since BIGINT, sent BOOLEAN, stale_rows BIGINT"
 _OUTPUT = "vehicle_id STRING, driver_id STRING, zone_id STRING, ts BIGINT, idle_micros BIGINT"
 
+# the processor travels with the query, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class IdleWatch(StatefulProcessor):
     """Raises one alert per idle streak and remembers the open streak of each vehicle.

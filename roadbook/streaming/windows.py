@@ -32,6 +32,7 @@ def final_zone_windows(silver: DataFrame, watermark: str = WATERMARK, length: st
     unit = (
         silver.withWatermark("event_ts", watermark)
         .select("event_ts", *ZONE_KEYS, "status", "speed", "fare", F.inline(units))
+        .where("id IS NOT NULL")
         .groupBy(F.window("event_ts", length), *ZONE_KEYS, "by_vehicle", "id")
         .agg(
             F.max(F.col("status") != F.lit(IDLE)).alias("moved"),
@@ -47,7 +48,7 @@ def final_zone_windows(silver: DataFrame, watermark: str = WATERMARK, length: st
         F.count_if(vehicle).alias("total_vehicles"),
         F.count_if(vehicle & F.col("moved")).alias("active_vehicles"),
         F.count_if(vehicle & F.col("idled")).alias("idle_vehicles"),
-        F.count_if(~vehicle & F.col("id").isNotNull() & F.col("on_trip")).alias("trips_in_window"),
+        F.count_if(~vehicle & F.col("on_trip")).alias("trips_in_window"),
         (F.sum(F.when(vehicle, F.col("speed_sum"))) / F.sum(F.when(vehicle, F.col("rows")))).alias("avg_speed"),
         F.max("fare").alias("live_fare_exposure"),
         F.sum(F.when(vehicle, F.col("rows"))).alias("event_count"),

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import subprocess
+import sys
+import time
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from roadbook.operators import clean, idle, windows
 from roadbook.plans import live as live_plan
+from roadbook.sinks.alerts import publish_alerts
 from roadbook.sources import given_tables as given
 from roadbook.streaming import idle as live_idle
 from roadbook.streaming import windows as live_windows
@@ -107,7 +112,8 @@ def test_rows_older_than_the_state_are_skipped_and_counted(spark, tmp_path):
 
     def run():
         feed = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        start_events(feed, EventBatch(live), str(tmp_path / "c1"), AVAILABLE).awaitTermination()
+        handler = EventBatch(live, publish=lambda alerts: publish_alerts(alerts, "json", path=str(tmp_path / "topic")))
+        start_events(feed, handler, str(tmp_path / "c1"), AVAILABLE).awaitTermination()
         alerts = live_idle.live_idle_alerts(clean.silver(clean.parse_telemetry(feed)))
         writer = alerts.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c2"))
         writer.trigger(**AVAILABLE).start(str(tmp_path / "alerts")).awaitTermination()
@@ -121,6 +127,7 @@ def test_rows_older_than_the_state_are_skipped_and_counted(spark, tmp_path):
     expected = [start + dt.timedelta(minutes=m) for m in (16, 30)]
     assert sorted(r.created_at for r in live.alerts(spark).collect()) == expected
     assert sorted(r.created_at for r in spark.read.parquet(str(tmp_path / "alerts")).collect()) == expected
+    assert spark.read.json(str(tmp_path / "topic")).where("key = 'V1'").count() == 2
     log = live.health_log(spark)
     assert [r.stale_rows for r in log.orderBy("batch_id").collect()] == [0, 2, 0]
     state = live.states(spark).first()
@@ -228,6 +235,37 @@ def test_no_data_alert_is_written(spark, tmp_path):
     )
 
 
+def test_silent_feed_raises_one_alert(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.noDataProgressEventInterval", "300")
+    live = LiveTables(str(tmp_path / "live"))
+    listener = NoDataAlerts(spark, live, 0.5, 2)
+    spark.streams.addListener(listener)
+    feed = split_feed(spark, tmp_path / "in", 1)
+    query = (
+        feed.writeStream.format("noop")
+        .option("checkpointLocation", str(tmp_path / "checkpoint"))
+        .queryName("telemetry_events")
+        .trigger(processingTime="200 milliseconds")
+        .start()
+    )
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline and live.alerts(spark).isEmpty():
+            time.sleep(0.5)
+        time.sleep(3)
+    finally:
+        query.stop()
+        spark.streams.removeListener(listener)
+        spark.conf.unset("spark.sql.streaming.noDataProgressEventInterval")
+    assert [(r.alert_type, r.severity) for r in live.alerts(spark).collect()] == [("NO_DATA", "CRITICAL")]
+
+
+def test_state_processor_travels_without_the_package(tmp_path):
+    (tmp_path / "processor").write_bytes(cloudpickle.dumps(live_idle.IdleWatch(5.0)))
+    code = "import pickle; pickle.load(open('processor', 'rb')); import sys; assert 'roadbook' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
 def test_progress_rows_are_written(spark, tmp_path):
     listener = ProgressTable(spark, str(tmp_path / "progress"))
     spark.streams.addListener(listener)
