@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 400  # distinct labelled texts taken per language
 DICTIONARY_BYTES = 96 * 1024  # per language
+DICTIONARY_TEXTS = 48  # a text fills at most this part of a dictionary
 ALL_BYTES = 24 * 1024 * 1024  # of all languages; more languages get smaller dictionaries
 PIECE_BYTES = 8 * 1024
-LEVEL = 3
+LEVEL = 6  # lower ones miss matches of a few letters
 MIN_MARGIN = 0.004
 UNDETERMINED = "und"
 
@@ -40,6 +41,19 @@ def letters_only(text: str | None) -> bytes:
     return _NOT_LETTERS.sub(" ", text.lower()).strip().encode() if text else b""
 
 
+def without_echoes(cleaned: bytes, most: int) -> bytes:
+    """The first words of a sample, up to ``most`` bytes, without words that stood shortly before."""
+    out: list[bytes] = []
+    size = 0
+    for word in cleaned.split():
+        if word not in out[-8:]:
+            size += len(word) + 1
+            if size > most:
+                break
+            out.append(word)
+    return b" ".join(out)
+
+
 def train(
     labelled: DataFrame,
     text: str = "text",
@@ -50,8 +64,7 @@ def train(
     """Dictionaries from the ``sample_rows`` distinct texts of each language with the smallest hash.
 
     The first step ranks hashes only; copies of a text count once. The texts of the chosen
-    hashes come to the driver, each cut at the dictionary's size, so at most
-    languages · sample_rows · dictionary_bytes.
+    hashes come to the driver one partition at a time, each cut at the dictionary's size.
     """
     rows = labelled.select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
     rows = rows.where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}")).withColumn("h", F.xxhash64("t"))
@@ -60,12 +73,13 @@ def train(
     chosen = ranked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows).drop("n")
     pieces = rows.join(chosen, ["l", "h"]).select("l", "h", F.substring("t", 1, dictionary_bytes).alias("t"))
     found = pieces.groupBy("l", "h").agg(F.min("t").alias("t")).orderBy("l", "h")
+    share = max(64, dictionary_bytes // DICTIONARY_TEXTS)
     samples: dict[str, list[bytes]] = {}
     held: dict[str, int] = {}
     for row in found.toLocalIterator():
         if held.get(row.l, 0) < dictionary_bytes:
-            samples.setdefault(row.l, []).append(cleaned := letters_only(row.t))
-            held[row.l] = held.get(row.l, 0) + len(cleaned) + 1
+            samples.setdefault(row.l, []).append(part := without_echoes(letters_only(row.t), share))
+            held[row.l] = held.get(row.l, 0) + len(part) + 1
     size = min(dictionary_bytes, max(1024, ALL_BYTES // max(1, len(samples))))
     return {code: b" ".join(parts)[:size].decode(errors="ignore").encode() for code, parts in sorted(samples.items())}
 

@@ -30,8 +30,8 @@ from roadbook.llm.words import coded, hash_each, mixed, split_words, text_column
 TRAIN_ROWS = 8_000
 BUCKETS = 1 << 15
 FACTORS = 6
-EPOCHS = 6
-RATE = 0.08
+EPOCHS = 12
+RATE = 0.15
 DECAY = 1e-5
 SEED = 11
 
