@@ -8,15 +8,17 @@ language with the smallest sum of sizes wins. A text is rejected if the runner-u
 Texts and samples are lower-cased and every run of other characters than letters becomes one
 blank, so that capitals, digits and marks do not decide. The whole text is read.
 
-Defined results: null texts and texts without a letter are ``und``, score 0, rejected. Equal sizes
-are settled by how many of the text's words the dictionary holds, then by language code. Without
+Defined results: null texts and texts without a letter are ``und``, score 0, rejected. Equal
+or nearly equal ones are settled by how common the text's words are in the dictionaries, then by language code. Without
 any labelled text every row is ``und``. Rows that repeat get equal results. Other columns are not
 read.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,7 @@ PIECE_BYTES = 8 * 1024
 LEVEL = 6  # lower ones miss matches of a few letters
 MIN_MARGIN = 0.004
 UNDETERMINED = "und"
+FLAT = 1 << 15  # a word's share of a dictionary is 1 in this many if it is unknown, about
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -89,7 +92,7 @@ class Encoders:
 
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
         self.codes = sorted(dictionaries)
-        self.words = [frozenset(dictionaries[c].split()) for c in self.codes]
+        self.words = [Counter(dictionaries[c].split()) for c in self.codes]
         self.encode = []
         for code in self.codes:
             content = zstandard.ZstdCompressionDict(dictionaries[code], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -114,11 +117,11 @@ class Encoders:
         best = int(close[0])
         if len(close) > 1:
             words = cleaned.split()
-            known = {i: sum(w in self.words[i] for w in words) for i in close}
-            best = max(known, key=lambda i: (known[i], -sizes[i], -i))
             sizes = sizes.copy()
-            for i in close:  # a word found is worth a byte
-                sizes[i] -= known[i]
+            for i in close:  # bytes that the words cost by their share of the dictionary
+                total = self.words[i].total() + 1
+                sizes[i] -= sum(math.log2((self.words[i][w] + 0.5) / total * FLAT) for w in words) / 8
+            best = int(close[np.argmin(sizes[close])])
         others = np.delete(sizes, best)
         gap = float(others.min() - sizes[best])
         chances = np.exp(-np.clip((sizes - sizes[best]) * 0.5, -50, 50))
