@@ -3,8 +3,8 @@
 Markup is stripped to lines: each block element gives one line, white space inside it becomes one
 blank. Navigation, headers, footers, side columns, notices, adverts, forms, scripts, styles and
 comment sections leave a gap of empty lines. Over the lines, text lengths are summed in sliding windows; links
-count for nothing. A surge is where the sum rises from nothing, a dive where it falls back to nothing;
-between them lies a segment. If the page marks an article, its segments are the
+count for nothing. A surge is where the sum rises from nothing, a dive where it falls back to nothing or a line
+holds links only; between them lies a segment. If the page marks an article, its segments are the
 main text, else those whose densest window reaches a set part of the page's densest window. Nothing
 inside a segment is dropped.
 
@@ -184,19 +184,19 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
-def segments(lengths: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """(surge, dive, densest window sum) of each stretch with text."""
+def segments(lengths: np.ndarray, window: int, cuts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(surge, dive, densest window sum) of each stretch with text; a stretch also ends at a cut."""
     padded = np.concatenate([lengths, np.zeros(window, np.int64)])
     sums = np.convolve(padded, np.ones(window, np.int64))[window - 1 : window - 1 + len(lengths)]  # of line i and the next ones
     out, start = [], None
-    for i in range(len(lengths)):
-        if start is None and lengths[i] > 0:
-            start = i
-        if start is not None and sums[i] == 0:
-            out.append((start, i, int(sums[start:i].max())))
+    for i in range(len(lengths) + 1):
+        ended = i == len(lengths) or sums[i] == 0 or cuts[i]
+        if start is not None and ended:
+            own = lengths[start:i]
+            out.append((start, i, int(np.convolve(own, np.ones(window, np.int64)).max())))
             start = None
-    if start is not None:
-        out.append((start, len(lengths), int(sums[start:].max())))
+        if start is None and i < len(lengths) and lengths[i] > 0:
+            start = i
     return out
 
 
@@ -205,7 +205,8 @@ def main_text(page: str | None, window: int = WINDOW_LINES, dense_part: float =
     inside = np.array([m for _, _, m in lines], bool)
     # inside an article a line counts in full, so that a list of links there is no dive
     lengths = np.array([len(t) if m else n for t, n, m in lines], np.int64)
-    found = segments(lengths, window) if len(lines) else []
+    links = np.array([bool(t) and not n and not m for t, n, m in lines], bool)
+    found = segments(lengths, window, links) if len(lines) else []
     if inside.any():
         kept = [(a, b) for a, b, _ in found if inside[a:b].any()]
         return " ".join(lines[i][0] for a, b in kept for i in range(a, b) if lines[i][0] and inside[i])

@@ -1,0 +1,80 @@
+from __future__ import annotations
+
+import random
+
+import brute
+import numpy as np
+import pytest
+from conftest import tuples
+
+from roadbook.llm import minhash
+from roadbook.llm.components import components
+
+COLUMNS = ("doc_id", "n_shingles", "component_id", "kept")
+
+
+def same(df, docs):
+    return tuples(minhash.near_duplicates(df), *COLUMNS) == sorted(brute.near(docs), key=repr)
+
+
+def test_given_table(given):
+    assert same(*given("documents"))
+
+
+def test_chains_and_large_groups(make_docs):
+    rng = random.Random(3)
+    draw = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    texts, base = [], draw(120)
+    for _ in range(60):  # a chain: each text a little away from the one before
+        base = base[2:] + draw(2)
+        texts.append(" ".join(base))
+    middle = draw(200)
+    for _ in range(120):  # a star: all near one text, and each at the border to the others
+        copy = list(middle)
+        copy[rng.randrange(200)] = "changed"
+        texts.append(" ".join(copy))
+    texts += [" ".join(draw(80)) for _ in range(60)]
+    rng.shuffle(texts)
+    assert same(make_docs(*texts), [{"doc_id": i, "text": t} for i, t in enumerate(texts)])
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_nulls_short_and_repeated(make_docs, extra):
+    texts = [None, "", " ", "One two", "one  TWO", "one two three", "a b c d e", "a b c d e", "A B C D E f", "x " * 40_000, "x " * 40_000]
+    df = make_docs(*texts, extra=extra)
+    assert same(df, [{"doc_id": i, "text": t} for i, t in enumerate(texts)])
+    left = minhash.drop_near(df)
+    assert left.columns == df.columns
+    assert sorted(r.doc_id for r in left.collect()) == [0, 1, 2, 3, 5, 6, 8, 9]
+
+
+def test_null_ids_have_no_link(make_docs):
+    df = make_docs((None, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (2, "a b c d e"))
+    found = tuples(minhash.near_duplicates(df), *COLUMNS)
+    assert found == sorted([(None, 1, None, True), (1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False)], key=repr)
+    assert minhash.drop_near(df).count() == 2
+
+
+def test_empty(make_docs):
+    df = make_docs("a").where("false")
+    assert minhash.near_duplicates(df).count() == 0 and minhash.drop_near(df).count() == 0
+
+
+def test_signatures_agree_as_often_as_sets_do():
+    rng, orders = np.random.default_rng(1), minhash.probe_orders(128)
+    for n in (4, 40, 600):
+        agree = []
+        for _ in range(60):
+            pool = rng.integers(0, 2**63, n + n // 4, dtype=np.uint64) * np.uint64(2)
+            a, b = np.sort(pool[:n]), np.sort(pool[n // 4 :])
+            agree.append((minhash.signature(a, orders) == minhash.signature(b, orders)).mean())
+        assert abs(np.mean(agree) - (n - n // 4) / (n + n // 4)) < 0.06
+
+
+def test_components_of_a_long_path_and_a_hub(spark):
+    path = [(i, i + 1) for i in range(100, 400)]
+    hub = [(1000, 1000 + i) for i in range(1, 300)]
+    rng = random.Random(1)
+    edges = [(b, a) if rng.random() < 0.5 else (a, b) for a, b in path + hub] + [(5, 5)]
+    found = dict(components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
+    assert found == {**{i: 100 for i in range(100, 401)}, **{i: 1000 for i in range(1000, 1300)}}
