@@ -33,6 +33,12 @@ HEADLINE = (
     "daily_summary",
     "parse_telemetry",
     "silver",
+    "result_rule_violations",
+    "upsert_vehicle_state",
+    "daily_job",
+    "idle_alerts_stream",
+    "zone_windows_stream",
+    "live_fleet",
 )
 RUNS = 3
 

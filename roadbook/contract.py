@@ -49,31 +49,46 @@ STARTING_MESSAGE = "waiting for first streaming batch"
 IDLE = "idle"
 ON_TRIP = "on_trip"
 
-MONEY = T.DecimalType(12, 2)
+# Sums of money over any number of trips, and single amounts of any size that cleaning lets pass.
+MONEY = T.DecimalType(28, 2)
+# Fares and speeds at or beyond this are no measurements; such rows are rejected and counted.
+NUMBER_LIMIT = 1e12
 
-_TEXT, _REAL, _TIME = T.StringType(), T.DoubleType(), T.TimestampType()
-_COUNT, _BIG, _FLAG = T.IntegerType(), T.LongType(), T.BooleanType()
+_TEXT, _REAL, _TIME, _DAY = T.StringType(), T.DoubleType(), T.TimestampType(), T.DateType()
+_COUNT, _FLAG = T.LongType(), T.BooleanType()
+_SPEED, _RATIO, _MINUTES = T.DecimalType(18, 2), T.DecimalType(8, 4), T.DecimalType(18, 2)
 
 
-def _schema(required: str = "", **fields: T.DataType) -> T.StructType:
-    """Fields in the given order; those listed in ``required`` are NOT NULL."""
-    needed = required.split()
-    return T.StructType([T.StructField(name, kind, name not in needed) for name, kind in fields.items()])
+def _may_be_null(**fields: T.DataType) -> list[T.StructField]:
+    return [T.StructField(name, kind, True) for name, kind in fields.items()]
 
 
-# One telemetry message as it arrives, all fields optional.
-TELEMETRY = _schema(
-    trip_id=_TEXT,
-    driver_id=_TEXT,
-    vehicle_id=_TEXT,
-    lat=_REAL,
-    lon=_REAL,
-    speed=_REAL,
-    status=_TEXT,
-    fare=_REAL,
-    timestamp=_TEXT,
+def _not_null(**fields: T.DataType) -> list[T.StructField]:
+    return [T.StructField(name, kind, False) for name, kind in fields.items()]
+
+
+def _table(*groups: list[T.StructField]) -> T.StructType:
+    return T.StructType([field for group in groups for field in group])
+
+
+# The fields of one telemetry message as it arrives, all of them optional.
+TELEMETRY = _table(
+    _may_be_null(
+        trip_id=_TEXT,
+        driver_id=_TEXT,
+        vehicle_id=_TEXT,
+        lat=_REAL,
+        lon=_REAL,
+        speed=_REAL,
+        status=_TEXT,
+        fare=_REAL,
+        timestamp=_TEXT,
+    )
 )
 
+# Column names of the result tables and which of them must hold a value. NOT NULL
+# numbers and flags that are missing are stored as 0 and false; all sums and counts are wide
+# enough for any number of rows.
 SILVER_COLUMNS = (
     "trip_id",
     "driver_id",
@@ -87,91 +102,46 @@ SILVER_COLUMNS = (
     "zone_id",
     "time_of_day",
 )
-
-# Column types of the result tables. NOT NULL numbers and flags fall back to 0 and false.
-FLEET_SNAPSHOT = _schema(
-    "active_vehicles idle_vehicles total_vehicles idle_ratio trips_in_window trips_per_hour"
-    " live_fare_exposure event_count",
-    window_start=_TIME,
-    window_end=_TIME,
-    active_vehicles=_COUNT,
-    idle_vehicles=_COUNT,
-    total_vehicles=_COUNT,
-    idle_ratio=T.DecimalType(8, 4),
-    trips_in_window=_COUNT,
-    trips_per_hour=MONEY,
-    avg_speed=T.DecimalType(8, 2),
-    live_fare_exposure=MONEY,
-    event_count=_BIG,
+FLEET_SNAPSHOT = _table(
+    _may_be_null(window_start=_TIME, window_end=_TIME),
+    _not_null(active_vehicles=_COUNT, idle_vehicles=_COUNT, total_vehicles=_COUNT, idle_ratio=_RATIO),
+    _not_null(trips_in_window=_COUNT, trips_per_hour=MONEY),
+    _may_be_null(avg_speed=_SPEED),
+    _not_null(live_fare_exposure=MONEY, event_count=_COUNT),
+    _may_be_null(updated_at=_TIME),
 )
-ZONE_SNAPSHOT = _schema(
-    "active_vehicles trips_in_window live_fare_exposure event_count",
-    zone_id=_TEXT,
-    time_of_day=_TEXT,
-    window_start=_TIME,
-    window_end=_TIME,
-    active_vehicles=_COUNT,
-    trips_in_window=_COUNT,
-    avg_speed=T.DecimalType(8, 2),
-    live_fare_exposure=MONEY,
-    event_count=_BIG,
+ZONE_SNAPSHOT = _table(
+    _may_be_null(zone_id=_TEXT, time_of_day=_TEXT, window_start=_TIME, window_end=_TIME),
+    _not_null(active_vehicles=_COUNT, trips_in_window=_COUNT),
+    _may_be_null(avg_speed=_SPEED),
+    _not_null(live_fare_exposure=MONEY, event_count=_COUNT),
+    _may_be_null(updated_at=_TIME),
 )
-ZONE_WINDOWS = _schema(
-    "active_vehicles idle_vehicles idle_ratio trips_in_window trips_per_hour live_fare_exposure event_count",
-    window_start=_TIME,
-    window_end=_TIME,
-    zone_id=_TEXT,
-    time_of_day=_TEXT,
-    active_vehicles=_COUNT,
-    idle_vehicles=_COUNT,
-    idle_ratio=T.DecimalType(8, 4),
-    trips_in_window=_COUNT,
-    trips_per_hour=MONEY,
-    avg_speed=T.DecimalType(8, 2),
-    live_fare_exposure=MONEY,
-    event_count=_BIG,
+ZONE_WINDOWS = _table(
+    _may_be_null(window_start=_TIME, window_end=_TIME, zone_id=_TEXT, time_of_day=_TEXT),
+    _not_null(active_vehicles=_COUNT, idle_vehicles=_COUNT, idle_ratio=_RATIO),
+    _not_null(trips_in_window=_COUNT, trips_per_hour=MONEY),
+    _may_be_null(avg_speed=_SPEED),
+    _not_null(live_fare_exposure=MONEY, event_count=_COUNT),
+    _may_be_null(computed_at=_TIME),
 )
-VEHICLE_STATE = _schema(
-    "idle_alert_sent",
-    vehicle_id=_TEXT,
-    driver_id=_TEXT,
-    status=_TEXT,
-    zone_id=_TEXT,
-    lat=_REAL,
-    lon=_REAL,
-    idle_since=_TIME,
-    last_event_ts=_TIME,
-    idle_alert_sent=_FLAG,
+VEHICLE_STATE = _table(
+    _may_be_null(vehicle_id=_TEXT, driver_id=_TEXT, status=_TEXT, zone_id=_TEXT, lat=_REAL, lon=_REAL),
+    _may_be_null(idle_since=_TIME, last_event_ts=_TIME),
+    _not_null(idle_alert_sent=_FLAG),
+    _may_be_null(updated_at=_TIME),
 )
-ALERTS = _schema(
-    alert_type=_TEXT,
-    vehicle_id=_TEXT,
-    driver_id=_TEXT,
-    zone_id=_TEXT,
-    idle_minutes=T.DecimalType(10, 2),
-    severity=_TEXT,
-    message=_TEXT,
-    created_at=_TIME,
+ALERTS = _table(
+    _may_be_null(alert_type=_TEXT, vehicle_id=_TEXT, driver_id=_TEXT, zone_id=_TEXT, idle_minutes=_MINUTES),
+    _may_be_null(severity=_TEXT, message=_TEXT, created_at=_TIME),
 )
-HEALTH_LOG = _schema(
-    "raw_rows valid_rows stale_rows",
-    raw_rows=_BIG,
-    valid_rows=_BIG,
-    stale_rows=_BIG,
-    last_event_ts=_TIME,
-    processed_at=_TIME,
+HEALTH_LOG = _table(
+    _not_null(raw_rows=_COUNT, valid_rows=_COUNT, stale_rows=_COUNT),
+    _may_be_null(last_event_ts=_TIME, processed_at=_TIME),
 )
-PROFITABILITY = _schema(
-    "trip_count earnings fuel_cost maintenance_cost distance_covered service_flag profit unprofitable",
-    report_date=T.DateType(),
-    vehicle_id=_TEXT,
-    trip_count=_COUNT,
-    earnings=MONEY,
-    fuel_cost=MONEY,
-    maintenance_cost=MONEY,
-    distance_covered=MONEY,
-    service_flag=_FLAG,
-    profit=MONEY,
-    unprofitable=_FLAG,
-    computed_at=_TIME,
+PROFITABILITY = _table(
+    _may_be_null(report_date=_DAY, vehicle_id=_TEXT),
+    _not_null(trip_count=_COUNT, earnings=MONEY, fuel_cost=MONEY, maintenance_cost=MONEY),
+    _not_null(distance_covered=MONEY, service_flag=_FLAG, profit=MONEY, unprofitable=_FLAG),
+    _may_be_null(computed_at=_TIME),
 )

@@ -29,10 +29,6 @@ def elapsed_micros(start: Column, end: Column) -> Column:
     return F.greatest(F.coalesce(micros(end) - micros(start), F.lit(0)), F.lit(0))
 
 
-def idle_minutes(start: Column, end: Column) -> Column:
-    return elapsed_micros(start, end) / F.lit(float(MICROS_PER_MINUTE))
-
-
 def minutes_decimal(span_micros: Column, digits: int) -> Column:
     """Minutes rounded half up to ``digits`` decimals.
 
@@ -41,8 +37,3 @@ def minutes_decimal(span_micros: Column, digits: int) -> Column:
     unit = MICROS_PER_MINUTE // 10**digits
     steps = F.floor((span_micros + F.lit(unit // 2)) / F.lit(float(unit)))
     return (steps.cast("decimal(12,0)") / F.lit(10**digits)).cast(f"decimal(10,{digits})")
-
-
-def time_chunk(ts: Column, seconds: int) -> Column:
-    """Index of the fixed-length time chunk that holds ``ts``."""
-    return F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(seconds))

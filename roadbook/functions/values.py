@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from roadbook.contract import MONEY, STATUSES, TRUE_WORDS
+from roadbook.contract import MONEY, NUMBER_LIMIT, STATUSES, TRUE_WORDS
 
 
 def status_text(status: Column) -> Column:
@@ -26,14 +26,21 @@ def truthy(text: Column) -> Column:
 
 
 def money(amount: Column) -> Column:
-    """Two-decimal amount, null when the input is no number or does not fit."""
+    """Two-decimal amount, null when the input is no number.
+
+    The type is far wider than any amount that cleaning lets pass, so no fare is lost.
+    """
     return amount.try_cast(MONEY)
 
 
+def measurable(number: Column) -> Column:
+    """Missing, or a finite number of a size that can be a measurement."""
+    return number.isNull() | (F.abs(number) < F.lit(NUMBER_LIMIT))
+
+
 def profit(earnings: Column, fuel: Column, maintenance: Column) -> Column:
     """Earnings less both costs, exact to the cent."""
-    wide = "decimal(20,2)"
-    return (earnings.cast(wide) - fuel.cast(wide) - maintenance.cast(wide)).cast(wide)
+    return (earnings.cast(MONEY) - fuel.cast(MONEY) - maintenance.cast(MONEY)).cast(MONEY)
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadbook.contract import CITY, SILVER_COLUMNS, TELEMETRY, Grid
+from roadbook.contract import CITY, MONEY, SILVER_COLUMNS, TELEMETRY, Grid
 from roadbook.functions import clock, geo, values
 
 
@@ -50,6 +50,8 @@ def _reject_reason() -> Column:
         F.when(~values.present(F.col("vehicle_id")), F.lit("blank_vehicle"))
         .when(F.col("event_ts").isNull(), F.lit("bad_event_time"))
         .when(~F.coalesce(values.known_status(F.col("status")), F.lit(False)), F.lit("unknown_status"))
+        .when(~values.measurable(F.col("fare").cast("double")), F.lit("bad_fare"))
+        .when(~values.measurable(F.col("speed").cast("double")), F.lit("bad_speed"))
     )
 
 
@@ -59,12 +61,9 @@ def with_reject_reason(events: DataFrame) -> DataFrame:
 
 
 def clean_telemetry(events: DataFrame, grid: Grid = CITY) -> DataFrame:
-    """Rows with a vehicle, a time and a known status; numbers filled, position clamped."""
-    good = _normalised(events).where(
-        values.present(F.col("vehicle_id"))
-        & F.col("event_ts").isNotNull()
-        & values.known_status(F.col("status"))
-    )
+    """Rows with a vehicle, a time, a known status and numbers that can be measurements;
+    missing numbers filled, position clamped."""
+    good = with_reject_reason(events).where(F.col("reject_reason").isNull()).drop("reject_reason")
     filled = {
         "lat": geo.clamp(F.col("lat").cast("double"), grid.min_lat, grid.max_lat),
         "lon": geo.clamp(F.col("lon").cast("double"), grid.min_lon, grid.max_lon),
@@ -122,8 +121,8 @@ def clean_expenses(expenses: DataFrame) -> DataFrame:
     """Trimmed id, costs as money with 0 for missing ones, text flag as boolean."""
     cleaned = {
         "vehicle_id": F.trim("vehicle_id"),
-        "fuel_cost": F.coalesce(values.money(F.col("fuel_cost")), F.lit(0)).cast("decimal(12,2)"),
-        "maintenance_cost": F.coalesce(values.money(F.col("maintenance_cost")), F.lit(0)).cast("decimal(12,2)"),
+        "fuel_cost": F.coalesce(values.money(F.col("fuel_cost")), F.lit(0)).cast(MONEY),
+        "maintenance_cost": F.coalesce(values.money(F.col("maintenance_cost")), F.lit(0)).cast(MONEY),
         "distance_covered": F.coalesce(F.col("distance_covered").try_cast("double"), F.lit(0.0)),
         "service_flag": F.coalesce(values.truthy(F.col("service_flag")), F.lit(False)),
     }

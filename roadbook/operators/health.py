@@ -17,6 +17,7 @@ from roadbook.contract import (
 )
 from roadbook.operators.clean import with_reject_reason
 from roadbook.operators.running import with_running_max
+from roadbook.session import written_once
 
 INTERVALS_PER_CHUNK = 100_000
 
@@ -45,8 +46,13 @@ def interval_counts(events: DataFrame, interval_seconds: int, arrival: str = "ev
     return with_reject_reason(events).groupBy(interval).agg(*_counts())
 
 
-def interval_grid(events: DataFrame, interval_seconds: int, arrival: str = "event_ts") -> DataFrame:
-    """Every interval of the days the events span, whether or not it holds rows.
+def _days(bounds: DataFrame) -> DataFrame:
+    """Every day from the column ``first`` to the column ``last``, in days since 1970."""
+    return bounds.where("first IS NOT NULL").select(F.explode(F.sequence("first", "last")).alias("day"))
+
+
+def grid_of_days(bounds: DataFrame, interval_seconds: int) -> DataFrame:
+    """Every interval of the days between ``first`` and ``last``, whether or not it holds rows.
 
     The grid is spanned in two steps, days and then the intervals of a day, so that no
     task builds the whole of it.
@@ -54,16 +60,20 @@ def interval_grid(events: DataFrame, interval_seconds: int, arrival: str = "even
     if 86_400 % interval_seconds:
         raise ValueError("the interval must divide a day evenly")
     per_day = 86_400 // interval_seconds
-    day = _interval(arrival, 86_400)
-    days = events.agg(F.min(day).alias("first"), F.max(day).alias("last")).where("first IS NOT NULL")
     return (
-        days.select(F.explode(F.sequence("first", "last")).alias("day"))
+        _days(bounds)
         .repartition("day")
         .select(F.explode(F.sequence(F.lit(0), F.lit(per_day - 1))).alias("slot"), "day")
         .select((F.col("day") * F.lit(per_day) + F.col("slot")).cast("bigint").alias("interval_id"))
     )
 
 
+def outside(events: DataFrame, since: dt.date, until: dt.date, arrival: str = "event_ts") -> DataFrame:
+    """Rows that the grid from ``since`` to ``until`` (both included) has no place for."""
+    day = F.to_date(arrival)
+    return events.where(day.isNull() | ~day.between(F.lit(since), F.lit(until)))
+
+
 def classify_intervals(counts: DataFrame, no_data_after: int = NO_DATA_BATCHES) -> DataFrame:
     """Add the run length of empty intervals, a status and a message.
 
@@ -102,13 +112,22 @@ def classify_intervals(counts: DataFrame, no_data_after: int = NO_DATA_BATCHES)
 def batch_health(
     events: DataFrame,
     interval_seconds: int,
+    since: dt.date,
+    until: dt.date,
     no_data_after: int = NO_DATA_BATCHES,
     arrival: str = "event_ts",
 ) -> DataFrame:
-    """Health row of every interval on the grid."""
-    counts = interval_counts(events, interval_seconds, arrival)
-    filled = interval_grid(events, interval_seconds, arrival).join(counts, "interval_id", "left")
-    return classify_intervals(filled.na.fill(0, ["raw_rows", "valid_rows"]), no_data_after)
+    """Health row of every interval of the days from ``since`` to ``until``.
+
+    The days are given, so a single wrong time cannot enlarge the grid; ``outside`` has the
+    rows beyond them. The events are read once.
+    """
+    inside = events.where(F.to_date(arrival).between(F.lit(since), F.lit(until)))
+    counts = interval_counts(inside, interval_seconds, arrival)
+    ends = [F.unix_date(F.lit(d)).cast("bigint").alias(n) for n, d in (("first", since), ("last", until))]
+    filled = grid_of_days(events.sparkSession.range(1).select(*ends), interval_seconds).join(counts, "interval_id", "left")
+    filled = written_once(filled.na.fill(0, ["raw_rows", "valid_rows"]), "intervals")
+    return classify_intervals(filled, no_data_after)
 
 
 def health_of_log(
@@ -128,7 +147,8 @@ def health_of_log(
     )
     ends = log.select("processed_at").union(log.sparkSession.range(1).select(F.lit(until).cast("timestamp")))
     bounds = ends.agg(F.min("processed_at").alias("processed_at")).union(ends.agg(F.max("processed_at")))
-    grid = interval_grid(bounds, interval_seconds, "processed_at")
+    day = _interval("processed_at", 86_400)
+    grid = grid_of_days(bounds.agg(F.min(day).alias("first"), F.max(day).alias("last")), interval_seconds)
     span = bounds.agg(
         F.min(_interval("processed_at", interval_seconds)).alias("first_id"),
         F.max(_interval("processed_at", interval_seconds)).alias("last_id"),

@@ -3,7 +3,8 @@
 A streak is a run of consecutive ``idle`` events of one vehicle in event order. Most
 vehicles are ordered whole, in one window partition each. Ordering a vehicle that holds a
 large share of all rows in one task would not work, so a heavy vehicle (more than
-``heavy_rows`` rows) is ordered per time chunk instead; only one summary row per non-empty
+``heavy_rows`` rows) is ordered per time chunk instead. A vehicle's chunks are as long as its densest
+minute allows for ``chunk_rows`` rows, so chunks are bounded by rows and not by time. Only one summary row per non-empty
 chunk is ordered for the vehicle as a whole, and what a chunk must know about the past is
 carried into it. The result is the same for every choice of the two sizes.
 """
@@ -17,7 +18,7 @@ from roadbook.contract import IDLE, IDLE_MESSAGE, IDLE_THRESHOLD_MINUTES
 from roadbook.functions import clock
 from roadbook.operators.latest import latest_by_key, sequence
 
-CHUNK_SECONDS = 3600
+CHUNK_ROWS = 1_000_000
 HEAVY_ROWS = 2_000_000
 _BROADCAST_FROM = 1_000_000
 _BEFORE_ALL_CHUNKS = -(2**62)
@@ -32,22 +33,30 @@ def _start(ts: Column, seq: Column, sent: Column) -> Column:
     return F.struct(ts.alias("ts"), seq.alias("seq"), sent.alias("sent"))
 
 
-def _heavy_vehicles(events: DataFrame, heavy_rows: int) -> DataFrame:
-    """Ids of vehicles with more than ``heavy_rows`` rows, at most rows / heavy_rows of them.
+def _heavy_vehicles(events: DataFrame, heavy_rows: int, chunk_rows: int) -> DataFrame:
+    """Vehicles with more than ``heavy_rows`` rows, at most rows / heavy_rows of them, with the length of their chunks.
 
     With a limit of a million rows or more the list is small enough to broadcast at any
-    table size; with a smaller one Spark chooses the join by the size it finds.
+    table size; with a smaller one Spark chooses the join by the size it finds. If the list is
+    empty, as it usually is, Spark drops the branch that would read the heavy vehicles' rows.
     """
-    counts = events.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("_rows"))
-    heavy = counts.where(F.col("_rows") > heavy_rows).select("vehicle_id", F.lit(True).alias("_heavy"))
+    minute = F.floor(clock.micros(F.col("event_ts")) / F.lit(clock.MICROS_PER_MINUTE))
+    minutes = events.groupBy("vehicle_id", minute.alias("_minute")).agg(F.count(F.lit(1)).alias("_rows"))
+    heavy = (
+        minutes.groupBy("vehicle_id")
+        .agg(F.sum("_rows").alias("_rows"), F.max("_rows").alias("_densest"))
+        .where(F.col("_rows") > heavy_rows)
+    )
+    length = F.floor(F.lit(float(clock.MICROS_PER_MINUTE) * chunk_rows) / F.col("_densest"))
+    heavy = heavy.select("vehicle_id", F.greatest(length, F.lit(1)).alias("_length"))
     return F.broadcast(heavy) if heavy_rows >= _BROADCAST_FROM else heavy
 
 
-def _with_chunks(events: DataFrame, heavy: DataFrame, chunk_seconds: int, how: str = "left") -> DataFrame:
+def _with_chunks(events: DataFrame, heavy: DataFrame, how: str = "left") -> DataFrame:
     """Add ``_seq`` and ``_chunk``; ``_chunk`` is null for vehicles that need no cutting."""
-    chunk = F.when(F.col("_heavy"), clock.time_chunk(F.col("event_ts"), chunk_seconds))
+    chunk = F.floor(clock.micros(F.col("event_ts")) / F.col("_length"))
     joined = events.withColumn("_seq", sequence(events)).join(heavy, "vehicle_id", how)
-    return joined.withColumn("_chunk", chunk).drop("_heavy")
+    return joined.withColumn("_chunk", chunk).drop("_length")
 
 
 def _within_chunks(chunked: DataFrame) -> DataFrame:
@@ -137,7 +146,7 @@ def _carried(summaries: DataFrame) -> DataFrame:
 def idle_runs(
     events: DataFrame,
     state: DataFrame | None = None,
-    chunk_seconds: int = CHUNK_SECONDS,
+    chunk_rows: int = CHUNK_ROWS,
     heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Events plus ``streak`` (start of the idle streak the row belongs to, null while
@@ -146,11 +155,11 @@ def idle_runs(
     ``state`` holds vehicle states of earlier runs; rows older than a vehicle's stored
     newest event must have been removed with ``split_stale``.
     """
-    heavy = _heavy_vehicles(events, heavy_rows)
-    chunked = _with_chunks(events, heavy, chunk_seconds)
+    heavy = _heavy_vehicles(events, heavy_rows, chunk_rows)
+    chunked = _with_chunks(events, heavy)
     if state is None:
         # a vehicle in one piece has no past to carry in
-        cut = _with_chunks(events, heavy, chunk_seconds, "inner")
+        cut = _with_chunks(events, heavy, "inner")
         carried = _carried(_chunk_summaries(_within_chunks(cut)))
     else:
         chunked = chunked.withColumn("_chunk", F.coalesce("_chunk", F.lit(0).cast("bigint")))
@@ -180,11 +189,11 @@ def _idle_span() -> Column:
 
 
 def idle_episodes(
-    events: DataFrame, chunk_seconds: int = CHUNK_SECONDS, heavy_rows: int = HEAVY_ROWS
+    events: DataFrame, chunk_rows: int = CHUNK_ROWS, heavy_rows: int = HEAVY_ROWS
 ) -> DataFrame:
     """One row per idle streak: start, last event seen in it, events and whole micros."""
     return (
-        idle_runs(events, None, chunk_seconds, heavy_rows)
+        idle_runs(events, None, chunk_rows, heavy_rows)
         .where(F.col("streak").isNotNull())
         .groupBy("vehicle_id", F.col("streak.ts").alias("idle_since"), F.col("streak.seq").alias("_seq"))
         .agg(F.max("event_ts").alias("last_idle_ts"), F.count(F.lit(1)).alias("event_count"))
@@ -237,11 +246,11 @@ def idle_alert_rows(fired: DataFrame, threshold_minutes: float) -> DataFrame:
 def idle_alerts(
     events: DataFrame,
     threshold_minutes: float = IDLE_THRESHOLD_MINUTES,
-    chunk_seconds: int = CHUNK_SECONDS,
+    chunk_rows: int = CHUNK_ROWS,
     heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """One alert per idle streak, raised by its first event at or past the threshold."""
-    return alerts_from_runs(idle_runs(events, None, chunk_seconds, heavy_rows), threshold_minutes)
+    return alerts_from_runs(idle_runs(events, None, chunk_rows, heavy_rows), threshold_minutes)
 
 
 def states_from_runs(runs: DataFrame, threshold_minutes: float = IDLE_THRESHOLD_MINUTES) -> DataFrame:
@@ -264,7 +273,7 @@ def states_from_runs(runs: DataFrame, threshold_minutes: float = IDLE_THRESHOLD_
 def vehicle_states(
     events: DataFrame,
     threshold_minutes: float = IDLE_THRESHOLD_MINUTES,
-    chunk_seconds: int = CHUNK_SECONDS,
+    chunk_rows: int = CHUNK_ROWS,
     heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
-    return states_from_runs(idle_runs(events, None, chunk_seconds, heavy_rows), threshold_minutes)
+    return states_from_runs(idle_runs(events, None, chunk_rows, heavy_rows), threshold_minutes)

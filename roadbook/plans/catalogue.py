@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from roadbook.contract import VEHICLE_STATE
 from roadbook.operators import clean, earnings, health, idle, kpi, lateness, latest, quality, serving, trips, windows
 from roadbook.plans import daily
-from roadbook.session import prepare, shared_folder
+from roadbook.session import prepare, shared_folder, written_once
 from roadbook.sinks import alerts as alert_sinks
 from roadbook.sinks import tables
 from roadbook.sources import expenses as expense_source
@@ -34,13 +34,18 @@ IDLE_MINUTES = 720.0
 HEALTH_SECONDS = 300
 NO_DATA_AFTER = 6
 VEHICLE = "V00042"
+MONTH = dt.date(2024, 1, 1), dt.date(2024, 1, 30)
+EXPENSE_DAYS = (dt.date(2024, 1, 14), REPORT_DATE)
+_LOAD_TIMES = ("updated_at", "computed_at", "ingested_at")
 
 
 def _plain(df: DataFrame, rounded: tuple[str, ...] = ()) -> DataFrame:
     """Decimals as double, ints as bigint, dates as text, times without zone,
-    named columns rounded to 4 places."""
+    named columns rounded to 4 places; load times are left out."""
     out = []
     for name, kind in df.dtypes:
+        if name in _LOAD_TIMES:
+            continue
         column = F.col(name)
         if kind.startswith("decimal"):
             column = column.cast("double")
@@ -71,7 +76,7 @@ def _alerts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _health(spark: SparkSession, sf: str) -> DataFrame:
-    return health.batch_health(given.telemetry(spark, sf), HEALTH_SECONDS, NO_DATA_AFTER)
+    return health.batch_health(given.telemetry(spark, sf), HEALTH_SECONDS, *MONTH, NO_DATA_AFTER)
 
 
 def _zones(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,12 +107,16 @@ def rule_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def result_rule_violations(spark: SparkSession, sf: str) -> DataFrame:
-    silver = _silver(spark, sf)
+    silver = written_once(_silver(spark, sf), "silver")
     return quality.result_violations(
         {
             "silver": silver,
+            "fleet_snapshot": kpi.fleet_snapshot(silver, MONTH_SECONDS),
+            "zone_snapshot": kpi.zone_snapshot(silver),
             "zone_windows": windows.zone_windows(silver, WINDOW),
             "vehicle_state": idle.vehicle_states(silver, IDLE_MINUTES),
+            "alerts": idle.idle_alerts(silver, IDLE_MINUTES),
+            "health": _health(spark, sf),
             "vehicle_profitability": _profitability(spark, sf),
             "trip_analytics": trips.trip_analytics(silver),
             "daily_summary": trips.daily_summary(silver, _expenses(spark, sf)),
@@ -123,7 +132,24 @@ def daily_job(spark: SparkSession, sf: str) -> DataFrame:
     given.raw_expenses(spark, sf).drop("unfiled").write.option("header", True).csv(f"{folder}/in/{file_name}")
     silver = silver_table(spark, f"{folder}/silver", REPORT_DATE)
     written = daily.run_day(spark, silver, f"{folder}/in", f"{folder}/out", REPORT_DATE)
-    return _plain(written.drop("computed_at"))
+    return _plain(written)
+
+
+def rows_per_date(spark: SparkSession, sf: str) -> DataFrame:
+    return _plain(quality.rows_per_date(_profitability(spark, sf)))
+
+
+def expense_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Two dates' files, the second with its columns in another order, read back together."""
+    folder, rows = _run_folder(spark, "expense_history"), given.raw_expenses(spark, sf).drop("unfiled")
+    for day, columns in zip(EXPENSE_DAYS, (rows.columns, rows.columns[::-1])):
+        name = expense_source.FILE_NAMES[0].format(day=day)
+        rows.select(*columns).write.option("header", True).csv(f"{folder}/{name}")
+    return _plain(expense_source.expense_history(spark, folder))
+
+
+def _sketches_checked(spark: SparkSession, sf: str, sketched: DataFrame) -> DataFrame:
+    return _plain(windows.sketch_check(sketched, windows.zone_windows(_silver(spark, sf), WINDOW)), ("avg_speed",))
 
 
 def upsert_vehicle_state(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,9 +186,7 @@ _BATCH: dict[str, Query] = {
     "zone_windows": lambda s, sf: _plain(
         windows.zone_windows(_silver(s, sf), WINDOW), ("idle_ratio", "trips_per_hour", "avg_speed")
     ),
-    "zone_windows_approx": lambda s, sf: _plain(
-        windows.zone_windows_approx(_silver(s, sf), WINDOW), ("idle_ratio", "trips_per_hour", "avg_speed")
-    ),
+    "zone_windows_approx": lambda s, sf: _sketches_checked(s, sf, windows.zone_windows_approx(_silver(s, sf), WINDOW)),
     "late_events": lambda s, sf: lateness.late_events(given.arrivals(s, sf)),
     "idle_episodes": lambda s, sf: idle.idle_episodes(_silver(s, sf)),
     "idle_alerts": lambda s, sf: _plain(_alerts(s, sf)),
@@ -189,6 +213,8 @@ _BATCH: dict[str, Query] = {
     "rule_violations": rule_violations,
     "result_rule_violations": result_rule_violations,
     "daily_job": daily_job,
+    "rows_per_date": rows_per_date,
+    "expense_history": expense_history,
 }
 
 
@@ -207,7 +233,6 @@ def _feed_silver(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def idle_alerts_stream(spark: SparkSession, sf: str) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live_idle.STATE_PROVIDER)
     folder = _run_folder(spark, "idle_alerts_stream")
     query = (
         live_idle.live_idle_alerts(_feed_silver(spark, sf), IDLE_MINUTES)
@@ -220,24 +245,39 @@ def idle_alerts_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(spark.read.parquet(f"{folder}/rows"))
 
 
+def _with_provider(query: Query) -> Query:
+    """Streams with timers or several state variables need the RocksDB state store; the caller's
+    setting is put back."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        key = "spark.sql.streaming.stateStore.providerClass"
+        before = spark.conf.get(key)
+        spark.conf.set(key, live_idle.STATE_PROVIDER)
+        try:
+            return query(spark, sf)
+        finally:
+            spark.conf.set(key, before)
+
+    return run
+
+
 def _windows_from_stream(spark: SparkSession, windowed: DataFrame, output_mode: str) -> DataFrame:
     folder = _run_folder(spark, "zone_windows_stream")
     live_windows.start_windows(
         windowed, f"{folder}/rows", f"{folder}/checkpoint", {"availableNow": True}, output_mode
     ).awaitTermination()
-    return _plain(live_windows.read_windows(spark, f"{folder}/rows"))
+    return live_windows.read_windows(spark, f"{folder}/rows")
 
 
 def zone_windows_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return _windows_from_stream(
-        spark, live_windows.live_zone_windows(_feed_silver(spark, sf), length=WINDOW), "update"
-    )
+    live = live_windows.live_zone_windows(_feed_silver(spark, sf), length=WINDOW)
+    stored = _windows_from_stream(spark, live, "update")
+    return _sketches_checked(spark, sf, stored)
 
 
 def zone_windows_final_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return _windows_from_stream(
-        spark, live_windows.final_zone_windows(_feed_silver(spark, sf), length=WINDOW), "append"
-    ).drop("idle_ratio", "trips_per_hour", "avg_speed")
+    final = live_windows.final_zone_windows(_feed_silver(spark, sf), length=WINDOW)
+    return _plain(_windows_from_stream(spark, final, "append"))
 
 
 def _live_tables(spark: SparkSession, sf: str) -> LiveTables:
@@ -249,13 +289,23 @@ def _live_tables(spark: SparkSession, sf: str) -> LiveTables:
     return live
 
 
+def live_health(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed's status after its newest batch with rows."""
+    now = dt.datetime.now(dt.timezone.utc)
+    every = _live_tables(spark, sf).health(spark, HEALTH_SECONDS, NO_DATA_AFTER, now)
+    newest = health.health_now(every.where("raw_rows > 0"))
+    return _plain(newest.select("status", "message", "empty_streak", "raw_rows", "valid_rows", "last_event_ts", "last_batch_id"))
+
+
 _STREAMS: dict[str, Query] = {
-    "idle_alerts_stream": idle_alerts_stream,
+    "idle_alerts_stream": _with_provider(idle_alerts_stream),
     "zone_windows_stream": zone_windows_stream,
     "zone_windows_final_stream": zone_windows_final_stream,
+    "live_fleet": lambda s, sf: _plain(_live_tables(s, sf).fleet(s)),
     "live_vehicle_status": lambda s, sf: _plain(serving.vehicle_status(_live_tables(s, sf).states(s))),
     "live_recent_alerts": lambda s, sf: _plain(serving.recent_alerts(_live_tables(s, sf).alerts(s))),
-    "live_zones": lambda s, sf: _plain(serving.zones_by_exposure(_live_tables(s, sf).zones(s))).drop("avg_speed"),
+    "live_zones": lambda s, sf: _plain(serving.zones_by_exposure(_live_tables(s, sf).zones(s))),
+    "live_health": live_health,
 }
 
 

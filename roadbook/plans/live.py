@@ -52,11 +52,17 @@ def start_live(
     return events, metrics
 
 
-def watch(spark: SparkSession, root: str, seconds: float, limit: int = contract.NO_DATA_BATCHES) -> None:
-    """Register the progress table and the silent-feed alert."""
+def watch(
+    spark: SparkSession,
+    root: str,
+    seconds: float,
+    limit: int = contract.NO_DATA_BATCHES,
+    publish: Callable[[DataFrame], None] | None = None,
+) -> None:
+    """Register the progress table and the silent-feed alert, which goes out like any other alert."""
     live = LiveTables(root)
     spark.streams.addListener(ProgressTable(spark, live.path("progress")))
-    spark.streams.addListener(NoDataAlerts(spark, live, seconds, limit))
+    spark.streams.addListener(NoDataAlerts(spark, live, seconds, limit, publish))
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -77,7 +83,6 @@ def main(argv: list[str] | None = None) -> None:
     spark = open_session("roadbook-live")
     brokers = {"kafka.bootstrap.servers": args.brokers}
     seconds = trigger_seconds(args.trigger)
-    watch(spark, args.root, seconds, args.no_data_batches)
     messages = telemetry_stream(
         spark,
         "kafka",
@@ -91,6 +96,7 @@ def main(argv: list[str] | None = None) -> None:
         def publish(alerts):
             publish_alerts(alerts, "kafka", topic=args.alerts_topic, **brokers)
 
+    watch(spark, args.root, seconds, args.no_data_batches, publish)
     start_live(
         numbered(messages),
         args.root,

@@ -131,7 +131,7 @@ _PARTS = {
         FROM silver WHERE trip_id <> '' GROUP BY trip_id""",
     "trip_days": """
         SELECT CAST(event_ts AS DATE) AS summary_date, trip_id, CAST(max(fare) AS DECIMAL(12, 2)) AS fare,
-          arg_max(status, event_id) AS last_status,
+          arg_max(status, {'at': event_ts, 'id': event_id}) AS last_status,
           sum(CASE WHEN status <> 'idle' THEN speed END) AS speed_sum,
           count(CASE WHEN status <> 'idle' THEN speed END) AS speed_rows
         FROM silver WHERE trip_id <> '' GROUP BY ALL""",
@@ -172,35 +172,54 @@ _NEEDS = {
     "trip_rows": ["trip_ends", "trip_figures"],
     "day_rows": ["trip_days", "expense_days"],
     "window_rows": ["framed_fares"],
+    "fleet_row": ["newest"],
+    "zone_parts": ["newest"],
 }
 
 
+def _filled(columns: str) -> dict[str, str]:
+    return {f"{c} not null": f"{c} IS NULL" for c in columns.split()}
+
+
+def _positive(columns: str) -> dict[str, str]:
+    return {f"{c} >= 0": f"{c} < 0" for c in columns.split()}
+
+
+_A_STATUS = {"status in idle|enroute|on_trip": "status NOT IN ('idle', 'enroute', 'on_trip')"}
+_ZONE_COUNTS = "active_vehicles trips_in_window live_fare_exposure event_count"
+_FLEET_COUNTS = "idle_vehicles idle_ratio trips_per_hour"
+
 # Rows that break a rule of a result table, and the key that must be unique.
 _RESULT_RULES = {
     ("silver", "silver", "event_id"): {
-        **{f"{c} not null": f"{c} IS NULL" for c in ("driver_id", "vehicle_id", "status", "event_ts")},
-    },
-    ("zone_windows", "window_rows", "window_start, zone_id, time_of_day"): {
-        **{f"{c} not null": f"{c} IS NULL" for c in ("window_start", "zone_id", "time_of_day", "event_count")},
+        **_filled("driver_id vehicle_id speed status fare event_ts"),
+        **_A_STATUS,
+        **_positive("speed fare"),
     },
+    ("fleet_snapshot", "fleet_row", ""): _filled(f"window_start window_end total_vehicles {_ZONE_COUNTS} {_FLEET_COUNTS}"),
+    ("zone_snapshot", "zones", "zone_id, time_of_day"): _filled(f"zone_id time_of_day {_ZONE_COUNTS}"),
+    ("zone_windows", "window_rows", "window_start, zone_id, time_of_day"): _filled(
+        f"window_start window_end zone_id time_of_day {_ZONE_COUNTS} {_FLEET_COUNTS}"
+    ),
     ("vehicle_state", "states", "vehicle_id"): {
-        **{f"{c} not null": f"{c} IS NULL" for c in ("vehicle_id", "status", "last_event_ts")},
+        **_filled("vehicle_id status last_event_ts idle_alert_sent"),
+        **_A_STATUS,
     },
+    ("alerts", "alert_rows", ""): _filled("alert_type severity message created_at"),
+    ("health", "health", "interval_id"): _filled("status message empty_streak raw_rows valid_rows"),
     ("vehicle_profitability", "profitability", "report_date, vehicle_id"): {
-        **{
-            f"{c} not null": f"{c} IS NULL"
-            for c in ("report_date", "vehicle_id", "earnings", "profit", "unprofitable")
-        },
+        **_filled("report_date vehicle_id trip_count earnings fuel_cost maintenance_cost distance_covered profit"),
+        **_filled("service_flag unprofitable"),
+        **_positive("trip_count earnings fuel_cost maintenance_cost"),
     },
     ("trip_analytics", "trip_rows", "trip_id"): {
-        **{f"{c} not null": f"{c} IS NULL" for c in ("driver_id", "vehicle_id")},
-        **{f"{c} >= 0": f"{c} < 0" for c in ("avg_speed", "max_speed", "final_fare")},
+        **_filled("driver_id vehicle_id trip_status start_time"),
+        **_positive("avg_speed max_speed final_fare"),
         "trip_status in enroute|on_trip|completed": "trip_status NOT IN ('enroute', 'on_trip', 'completed')",
     },
-    ("daily_summary", "day_rows", "summary_date"): {
-        f"{c} >= 0": f"{c} < 0"
-        for c in ("total_trips", "completed_trips", "average_speed", "total_revenue", "total_expenses")
-    },
+    ("daily_summary", "day_rows", "summary_date"): _positive(
+        "total_trips completed_trips average_speed total_revenue total_expenses"
+    ),
 }
 
 
@@ -209,6 +228,8 @@ def _result_rule_counts() -> str:
     for (table, part, key), rules in _RESULT_RULES.items():
         for rule, broken in rules.items():
             selects.append(f"SELECT '{table}' AS table_name, '{rule}' AS rule, count(*) AS violations FROM {part} WHERE {broken}")
+        if not key:
+            continue
         selects.append(
             f"SELECT '{table}', '{key} unique', count(*) - (SELECT count(*) FROM (SELECT DISTINCT {key} FROM {part})) FROM {part}"
         )
@@ -230,6 +251,11 @@ def _statement(final: str, *parts: str) -> str:
     return f"WITH {named}\n{final}" if named else final
 
 
+def _stored(value: str, scale: int = 2) -> str:
+    """A double as a table of that many decimals holds it, rounded half up in its decimal text."""
+    return f"CAST(CAST(CAST({value} AS VARCHAR) AS DECIMAL(28, {scale})) AS DOUBLE)"
+
+
 _ZONE_WINDOWS = """
 SELECT window_start, window_start + INTERVAL '6 hours' AS window_end, zone_id, time_of_day,
   count(DISTINCT CASE WHEN status <> 'idle' THEN vehicle_id END) AS active_vehicles,
@@ -242,6 +268,19 @@ SELECT window_start, window_start + INTERVAL '6 hours' AS window_end, zone_id, t
 FROM framed LEFT JOIN framed_fares USING (window_start, zone_id, time_of_day)
 GROUP BY window_start, zone_id, time_of_day"""
 
+_WINDOW_SPEEDS = f"""
+SELECT w.*, r.raw_speed FROM ({_ZONE_WINDOWS}) w
+JOIN (SELECT window_start, zone_id, time_of_day, avg(speed) AS raw_speed FROM framed GROUP BY ALL) r
+  USING (window_start, zone_id, time_of_day)"""
+
+# A sketched count is compared with the exact one where it is made; here it must simply be near.
+_SKETCHED = """
+SELECT window_start, window_end, zone_id, time_of_day, {speed} AS avg_speed, live_fare_exposure, event_count,
+  true AS active_vehicles_near, true AS idle_vehicles_near, true AS trips_in_window_near
+FROM (SELECT w.*, r.raw_speed FROM ({rows}) w
+      JOIN (SELECT window_start, zone_id, time_of_day, avg(speed) AS raw_speed FROM framed GROUP BY ALL) r
+        USING (window_start, zone_id, time_of_day))"""
+
 _FLEET = """
 SELECT v.*, round(CAST(v.idle_vehicles AS DOUBLE) / v.total_vehicles, 4) AS idle_ratio, t.trips_in_window,
   round(t.trips_in_window * (CAST(3600 AS DOUBLE) / 2592000), 4) AS trips_per_hour, f.live_fare_exposure
@@ -307,7 +346,7 @@ FROM alert_rows"""
 _DATE_COLUMNS = {
     "report_date": (
         "daily_earnings vehicle_profitability profit_by_date profit_latest vehicle_profit_on vehicle_profit_latest"
-        " profit_summary loss_leaders unreconciled_vehicles daily_job"
+        " profit_summary loss_leaders unreconciled_vehicles daily_job rows_per_date expense_history"
     ).split(),
     "summary_date": ["daily_summary"],
 }
@@ -323,7 +362,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _statements() -> dict[str, str]:
     s = _statement
-    _PARTS.update(window_rows=_ZONE_WINDOWS, states=_STATES, trip_rows=_TRIPS, day_rows=_DAYS)
+    _PARTS.update(fleet_row=_FLEET, window_rows=_ZONE_WINDOWS, states=_STATES, trip_rows=_TRIPS, day_rows=_DAYS)
     return {
         "parse_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
         "parse_telemetry": s(
@@ -390,12 +429,42 @@ def _statements() -> dict[str, str]:
         "vehicle_status": s(_STATES, "newest", "idling"),
         "upsert_vehicle_state": s(_STATES, "newest", "idling"),
         "live_vehicle_status": s(_STATES, "newest", "idling"),
-        "idle_alerts_stream": s("SELECT * FROM alert_rows", "alert_rows"),
+        # an alert comes out once the watermark has passed its event
+        "idle_alerts_stream": s(
+            "SELECT * FROM alert_rows WHERE created_at < (SELECT date_trunc('milliseconds', max(event_ts)) - INTERVAL 2 MINUTE FROM silver)",
+            "alert_rows",
+            "silver",
+        ),
         "live_recent_alerts": s("SELECT * FROM alert_rows ORDER BY created_at DESC, vehicle_id LIMIT 50", "alert_rows"),
-        "live_zones": s("SELECT * EXCLUDE (avg_speed) FROM zones", "zones"),
+        "live_zones": s(
+            f"SELECT * EXCLUDE (avg_speed), (SELECT {_stored('avg(speed)')} FROM newest n"
+            " WHERE n.zone_id = z.zone_id AND n.time_of_day = z.time_of_day) AS avg_speed FROM zones z",
+            "zones",
+            "newest",
+        ),
+        "live_fleet": s(
+            f"SELECT * REPLACE ({_stored('avg_speed')} AS avg_speed, {_stored('trips_per_hour')} AS trips_per_hour) FROM ({_FLEET})",
+            "newest",
+        ),
+        "live_health": s(
+            "SELECT 'HEALTHY' AS status, 'streaming batch processed' AS message, CAST(0 AS BIGINT) AS empty_streak,"
+            " (SELECT count(*) FROM telemetry) AS raw_rows, count(*) AS valid_rows, max(event_ts) AS last_event_ts,"
+            " CAST(0 AS BIGINT) AS last_batch_id FROM cleaned",
+            "cleaned",
+        ),
+        "zone_windows_approx": s(_SKETCHED.format(rows=_ZONE_WINDOWS, speed="avg_speed"), "framed_fares"),
+        "zone_windows_stream": s(_SKETCHED.format(rows=_ZONE_WINDOWS, speed=_stored("raw_speed")), "framed_fares"),
+        "rows_per_date": s("SELECT report_date, count(*) AS row_count FROM profitability GROUP BY report_date", "profitability"),
+        "expense_history": s(
+            "SELECT report_date, vehicle_id, CAST(fuel_cost AS DOUBLE) AS fuel_cost, CAST(maintenance_cost AS DOUBLE) AS"
+            " maintenance_cost, distance_covered, service_flag FROM expense_days"
+            " WHERE report_date IN (DATE '2024-01-14', DATE '2024-01-15')",
+            "expense_days",
+        ),
         # only windows the watermark has passed are final
         "zone_windows_final_stream": s(
-            f"SELECT * EXCLUDE (idle_ratio, trips_per_hour, avg_speed, trip_fare_sum) FROM ({_ZONE_WINDOWS}) WHERE window_end <="
+            f"SELECT * EXCLUDE (raw_speed, trip_fare_sum) REPLACE ({_stored('raw_speed')} AS avg_speed,"
+            f" {_stored('trips_per_hour')} AS trips_per_hour) FROM ({_WINDOW_SPEEDS}) WHERE window_end <="
             " (SELECT max(event_ts) - INTERVAL 2 MINUTE FROM silver)",
             "framed_fares",
         ),
@@ -427,7 +496,7 @@ def _statements() -> dict[str, str]:
         "daily_summary": s(_DAYS, "trip_days", "expense_days"),
         "rule_violations": s(_RULE_COUNTS, "telemetry"),
         "result_rule_violations": s(
-            _result_rule_counts(), "silver", "window_rows", "states", "profitability", "trip_rows", "day_rows"
+            _result_rule_counts(), *[part for _, part, _ in _RESULT_RULES]
         ),
         "daily_job": s("SELECT * FROM profitability WHERE report_date = DATE '2024-01-15'", "profitability"),
     }

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -49,3 +50,10 @@ def shared_folder(spark: SparkSession) -> str:
         folder = spark.conf.get(_LOCAL_FOLDER, None) or tempfile.mkdtemp(prefix="roadbook-")
         spark.conf.set(_LOCAL_FOLDER, folder)
     return folder.rstrip("/")
+
+
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back, so that several uses compute them once."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

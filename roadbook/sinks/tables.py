@@ -1,11 +1,14 @@
 """Parquet result tables.
 
-Three ways to write, all of them safe to repeat with the same batch id or date, and each a
-single commit:
+Three ways to write, all of them safe to repeat:
 
-* batch log: every micro-batch owns the partition of its ``batch_id``;
-* version: a small table is written whole as a new version, readers take the newest;
+* batch log: every micro-batch owns the partition of its run and batch id;
+* version: a small table is written whole beside its older versions and then given its
+  name in one step; readers open the newest named one and nothing else;
 * one partition: a date is replaced, other dates stay as they are.
+
+A run is the life of one checkpoint. Its name is part of every key, so a stream that starts anew with a new
+checkpoint, and thus with batch 0, adds to the tables and replaces nothing.
 """
 
 from __future__ import annotations
@@ -16,21 +19,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadbook.operators.latest import latest_by_key
+from roadbook.sinks import files
 
-SLOTS = 16
+FIRST_RUN = "r0"  # of tables that no stream writes
+KEEP_SECONDS = 3600.0  # how long a replaced version can still be read
 
 
 def finalise(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Columns of ``schema`` in its types; NOT NULL numbers and flags default to 0 and false.
+    """Columns of ``schema`` in its types; missing NOT NULL numbers and flags become 0 and false.
 
-    Fractions are rounded half up to the declared scale, as a NUMERIC column would. What
-    does not fit its type becomes null instead of failing the batch.
+    Fractions are rounded half up to the declared scale, as a NUMERIC column would. Only a
+    null gets the default: a value that does not fit its type fails the write. Columns of load
+    times that the frame lacks are filled with the current time.
     """
-    return df.select(*[_column(field) for field in schema.fields])
+    return df.select(*[_column(field, field.name in df.columns) for field in schema.fields])
 
 
-def _column(field: T.StructField) -> Column:
-    column = F.col(field.name).try_cast(field.dataType)
+def _column(field: T.StructField, given: bool) -> Column:
+    if not given:
+        return F.current_timestamp().cast(field.dataType).alias(field.name)
+    value = F.col(field.name)
+    column = value.try_cast(field.dataType)
+    misfit = F.raise_error(F.concat(F.lit(f"{field.name} does not fit {field.dataType.simpleString()}: "), value.cast("string")))
+    column = F.when(value.isNotNull() & column.isNull(), misfit.cast(field.dataType)).otherwise(column)
     if not field.nullable:
         default = F.lit(False) if isinstance(field.dataType, T.BooleanType) else F.lit(0)
         column = F.coalesce(column, default.cast(field.dataType))
@@ -41,30 +52,48 @@ def _write(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
-def append_batch(df: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
-    """Append a micro-batch under its id; writing the same batch again replaces it."""
-    _write(df.withColumn("batch_id", F.lit(batch_id).cast("bigint")), path, *partitions, "batch_id")
+def _keys(batch_id: int, run: str) -> dict[str, Column]:
+    return {"run": F.lit(run), "batch_id": F.lit(batch_id).cast("bigint")}
+
+
+def append_batch(df: DataFrame, path: str, batch_id: int, *partitions: str, run: str = FIRST_RUN) -> None:
+    """Append a micro-batch under its run and id; writing the same batch again replaces it."""
+    _write(df.withColumns(_keys(batch_id, run)), path, *partitions, "run", "batch_id")
 
 
-def append_silver(silver: DataFrame, path: str, batch_id: int) -> None:
+def append_silver(silver: DataFrame, path: str, batch_id: int, run: str = FIRST_RUN) -> None:
     """Silver rows by event date, sorted by vehicle and time inside each file.
 
     ``rebalance`` lets adaptive execution size the files: a heavy date is split over
     several tasks, light dates share one.
     """
-    dated = silver.withColumns({"event_date": F.to_date("event_ts"), "batch_id": F.lit(batch_id).cast("bigint")})
-    laid_out = dated.hint("rebalance", "event_date").sortWithinPartitions("event_date", "batch_id", "vehicle_id", "event_ts")
-    _write(laid_out, path, "event_date", "batch_id")
+    dated = silver.withColumns({"event_date": F.to_date("event_ts"), "ingested_at": F.current_timestamp(), **_keys(batch_id, run)})
+    laid_out = dated.hint("rebalance", "event_date").sortWithinPartitions("event_date", "vehicle_id", "event_ts")
+    _write(laid_out, path, "event_date", "run", "batch_id")
+
+
+def _version(run: str, number: int) -> str:
+    """Folder name; names order as runs and then numbers do."""
+    return f"v-{run}-{number:015d}"
 
 
-def replace_version(df: DataFrame, path: str, version: int) -> None:
+def replace_version(df: DataFrame, path: str, number: int, run: str = FIRST_RUN, keep_seconds: float = KEEP_SECONDS) -> None:
     """Publish ``df`` as the whole content of a small table. An empty frame publishes nothing.
 
-    Versions take turns in a fixed number of slots, so the table does not grow with the
-    number of batches, and a reader has ``SLOTS`` - 1 further versions of time to finish.
+    Versions replaced more than ``keep_seconds`` ago are removed; a reader has that long to finish.
     """
-    slot = F.lit(version % SLOTS)
-    _write(df.withColumns({"version": F.lit(version).cast("bigint"), "slot": slot}), path, "slot")
+    spark, name = df.sparkSession, _version(run, number)
+    staged = f"{path}/_{name}"
+    df.write.mode("overwrite").parquet(staged)
+    if spark.read.schema(df.schema).parquet(staged).isEmpty():
+        files.remove(spark, staged)
+        return
+    files.move(spark, staged, f"{path}/{name}")
+    ages = {n: age for n, age in files.children(spark, path).items() if n.startswith("v-")}
+    named = sorted(ages)
+    for old, newer in zip(named, named[1:]):
+        if ages[newer] > keep_seconds:  # replaced that long ago
+            files.remove(spark, f"{path}/{old}")
 
 
 def replace_date(df: DataFrame, path: str) -> None:
@@ -83,16 +112,14 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, **partition
         return spark.createDataFrame([], T.StructType(fields))
 
 
-def read_version(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """The newest version of a table, or the newest one older than ``before``.
-
-    Finding the slot reads the version column only; the slot then prunes the scan.
-    """
-    stored = T.StructType([*schema.fields, T.StructField("version", T.LongType())])
-    table = read_table(spark, path, stored, slot=T.IntegerType())
-    older = table if before is None else table.where(F.col("version") < F.lit(before))
-    newest = older.select(F.max_by("slot", "version")).scalar()
-    return table.where(F.col("slot") == newest).drop("version", "slot")
+def read_version(
+    spark: SparkSession, path: str, schema: T.StructType, before: tuple[str, int] | None = None
+) -> DataFrame:
+    """The newest version of a table, or the newest one older than the run and number ``before``."""
+    named = [n for n in files.children(spark, path) if n.startswith("v-")]
+    if before is not None:
+        named = [n for n in named if n < _version(*before)]
+    return spark.read.schema(schema).parquet(f"{path}/{max(named)}") if named else spark.createDataFrame([], schema)
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,12 +130,4 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFra
 
 def current(log: DataFrame, keys: list[str]) -> DataFrame:
     """Newest row per key of a batch log, that is the table after all upserts."""
-    return latest_by_key(log, keys, F.col("batch_id").desc()).drop("batch_id")
-
-
-def write_rows(df: DataFrame, sink_format: str, mode: str = "append", **options: str) -> None:
-    """Append or truncate-and-fill through another connector, for instance JDBC."""
-    writer = df.write.format(sink_format).mode(mode).options(**options)
-    if sink_format == "jdbc" and mode == "overwrite":
-        writer = writer.option("truncate", "true")
-    writer.save()
+    return latest_by_key(log, keys, F.col("run").desc(), F.col("batch_id").desc()).drop("run", "batch_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from roadbook import contract
 from roadbook.operators import clean, health, idle, kpi
-from roadbook.sinks import tables
+from roadbook.sinks import files, tables
 from roadbook.sinks.alerts import with_defaults
 
 VEHICLE_ALERTS, FEED_ALERTS = "vehicle", "feed"
@@ -30,7 +30,7 @@ class LiveTables:
         return f"{self.root.rstrip('/')}/{name}"
 
     def silver(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path("silver"))
+        return spark.read.parquet(self.path("silver")).drop("run", "batch_id", "ingested_at")
 
     def fleet(self, spark: SparkSession) -> DataFrame:
         return tables.read_version(spark, self.path("fleet_snapshot"), contract.FLEET_SNAPSHOT)
@@ -38,17 +38,17 @@ class LiveTables:
     def zones(self, spark: SparkSession) -> DataFrame:
         return tables.read_version(spark, self.path("zone_snapshot"), contract.ZONE_SNAPSHOT)
 
-    def states(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+    def states(self, spark: SparkSession, before: tuple[str, int] | None = None) -> DataFrame:
         return tables.read_version(spark, self.path("vehicle_state"), contract.VEHICLE_STATE, before)
 
     def alerts(self, spark: SparkSession) -> DataFrame:
         table = tables.read_table(
-            spark, self.path("alerts"), contract.ALERTS, origin=T.StringType(), batch_id=T.LongType()
+            spark, self.path("alerts"), contract.ALERTS, origin=T.StringType(), run=T.StringType(), batch_id=T.LongType()
         )
-        return table.drop("origin", "batch_id")
+        return table.drop("origin", "run", "batch_id")
 
     def health_log(self, spark: SparkSession) -> DataFrame:
-        return tables.read_table(spark, self.path("health"), contract.HEALTH_LOG, batch_id=T.LongType())
+        return tables.read_table(spark, self.path("health"), contract.HEALTH_LOG, run=T.StringType(), batch_id=T.LongType())
 
     def health(self, spark: SparkSession, interval_seconds: int, no_data_after: int, until) -> DataFrame:
         return health.health_of_log(self.health_log(spark), interval_seconds, no_data_after, until)
@@ -62,17 +62,17 @@ class EventBatch:
     window_seconds: float = contract.TRIGGER_SECONDS
     threshold_minutes: float = contract.IDLE_THRESHOLD_MINUTES
     publish: Callable[[DataFrame], None] | None = None
+    run: str = tables.FIRST_RUN
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         parsed = clean.parse_telemetry(batch).persist(StorageLevel.MEMORY_AND_DISK)
         silver = clean.silver(parsed)
         writes = [
-            lambda: self._idle(spark, silver, batch_id),
-            lambda: tables.append_silver(silver, self.tables.path("silver"), batch_id),
+            lambda: self._idle(spark, silver, parsed, batch_id),
+            lambda: tables.append_silver(silver, self.tables.path("silver"), batch_id, self.run),
             lambda: self._fleet(silver, batch_id),
             lambda: self._zones(silver, batch_id),
-            lambda: self._health(spark, parsed, silver, batch_id),
         ]
         try:
             # independent tables, written side by side; a failed write fails the batch,
@@ -86,41 +86,44 @@ class EventBatch:
     def _fleet(self, silver: DataFrame, batch_id: int) -> None:
         fleet = kpi.fleet_snapshot(silver, self.window_seconds).where("total_vehicles > 0")
         rows = tables.finalise(fleet, contract.FLEET_SNAPSHOT)
-        tables.replace_version(rows, self.tables.path("fleet_snapshot"), batch_id)
+        tables.replace_version(rows, self.tables.path("fleet_snapshot"), batch_id, self.run)
 
     def _zones(self, silver: DataFrame, batch_id: int) -> None:
         rows = tables.finalise(kpi.zone_snapshot(silver), contract.ZONE_SNAPSHOT)
-        tables.replace_version(rows, self.tables.path("zone_snapshot"), batch_id)
+        tables.replace_version(rows, self.tables.path("zone_snapshot"), batch_id, self.run)
 
-    def _idle(self, spark: SparkSession, silver: DataFrame, batch_id: int) -> None:
-        before = self.tables.states(spark, before=batch_id)
-        fresh = idle.split_stale(silver, before).where("NOT stale").drop("stale")
-        runs = idle.idle_runs(fresh, before).persist(StorageLevel.MEMORY_AND_DISK)
+    def _idle(self, spark: SparkSession, silver: DataFrame, parsed: DataFrame, batch_id: int) -> None:
+        before = self.tables.states(spark, before=(self.run, batch_id))
+        split = idle.split_stale(silver, before).persist(StorageLevel.MEMORY_AND_DISK)
+        runs = idle.idle_runs(split.where("NOT stale").drop("stale"), before).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             alerts = with_defaults(idle.alerts_from_runs(runs, self.threshold_minutes))
             rows = tables.finalise(alerts, contract.ALERTS).withColumn("origin", F.lit(VEHICLE_ALERTS))
-            tables.append_batch(rows, self.tables.path("alerts"), batch_id, "origin")
+            tables.append_batch(rows, self.tables.path("alerts"), batch_id, "origin", run=self.run)
             if self.publish is not None:
                 self.publish(alerts)
             seen = tables.finalise(idle.states_from_runs(runs, self.threshold_minutes), contract.VEHICLE_STATE)
             states = tables.upsert(before, seen, ["vehicle_id"])
-            tables.replace_version(states, self.tables.path("vehicle_state"), batch_id)
+            tables.replace_version(states, self.tables.path("vehicle_state"), batch_id, self.run)
+            self._health(parsed, split, batch_id)
         finally:
             runs.unpersist()
+            split.unpersist()
 
-    def _health(self, spark: SparkSession, parsed: DataFrame, silver: DataFrame, batch_id: int) -> None:
-        before = self.tables.states(spark, before=batch_id)
-        stale = idle.split_stale(silver, before).agg(F.count_if("stale").alias("stale_rows"))
+    def _health(self, parsed: DataFrame, split: DataFrame, batch_id: int) -> None:
+        stale = split.agg(F.count_if("stale").alias("stale_rows"))
         counts = health.batch_counts(parsed)
         stacked = counts.unionByName(stale, allowMissingColumns=True)
         row = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
-        logged = tables.finalise(row.withColumn("processed_at", F.current_timestamp()), contract.HEALTH_LOG)
-        tables.append_batch(logged, self.tables.path("health"), batch_id)
+        logged = tables.finalise(row, contract.HEALTH_LOG)
+        tables.append_batch(logged, self.tables.path("health"), batch_id, run=self.run)
 
 
 def start_events(
     messages: DataFrame, handler: EventBatch, checkpoint: str, trigger: dict
 ) -> StreamingQuery:
+    """Start the events query; its tables are keyed by the run of the checkpoint."""
+    handler = replace(handler, run=files.run_of(messages.sparkSession, checkpoint))
     return (
         messages.writeStream.foreachBatch(handler)
         .option("checkpointLocation", checkpoint)

@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from roadbook.contract import IDLE, IDLE_THRESHOLD_MINUTES
+from roadbook.contract import IDLE, IDLE_THRESHOLD_MINUTES, WATERMARK
 from roadbook.functions.clock import MICROS_PER_MINUTE, micros
 from roadbook.operators.idle import idle_alert_rows
 from roadbook.operators.latest import sequence
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_STATE = "last_ts BIGINT, last_status_idle BOOLEAN, idle_since BIGINT, sent BOOLEAN, stale_rows BIGINT"
+_STREAK = "last_ts BIGINT, last_status_idle BOOLEAN, idle_since BIGINT, sent BOOLEAN"
+_ROW = "ts BIGINT, seq BIGINT, idle BOOLEAN, driver_id STRING, zone_id STRING"
+_COLUMNS = ["ts", "seq", "idle", "driver_id", "zone_id"]
 _OUTPUT = "vehicle_id STRING, driver_id STRING, zone_id STRING, ts BIGINT, idle_micros BIGINT"
 
 # the processor travels with the query, so executors need not have this package installed
@@ -29,29 +31,50 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 class IdleWatch(StatefulProcessor):
     """Raises one alert per idle streak and remembers the open streak of each vehicle.
 
-    The rows of one vehicle in one micro-batch are put in event order first. Their number is
-    bounded by the source's rate options; only five numbers per vehicle are kept between
-    batches. Rows older than the newest one seen in earlier batches are counted and skipped.
+    A vehicle's rows are held until the watermark has passed them and are then applied in event order, so
+    neither their order of arrival nor the cut into micro-batches matters. Between batches a
+    vehicle keeps its held rows, as many as it sends within the watermark's delay, and four numbers.
+    Rows behind the watermark are dropped by Spark, which counts them in the query's progress.
     """
 
     def __init__(self, threshold_minutes: float) -> None:
         self._threshold = int(round(threshold_minutes * MICROS_PER_MINUTE))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("vehicle", _STATE)
+        self._handle = handle
+        self._state = handle.getValueState("vehicle", _STREAK)
+        self._held = handle.getListState("held", _ROW)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
-        stored = self._state.get() if self._state.exists() else (None, False, None, False, 0)
-        last_ts, was_idle, idle_since, sent, stale_rows = stored
-        if last_ts is not None:
-            fresh = events["ts"] >= last_ts
-            stale_rows += int((~fresh).sum())
-            events = events[fresh]
-        if events.empty:
-            self._state.update((last_ts, was_idle, idle_since, sent, stale_rows))
-            return
+    def _wake(self, earliest: int) -> None:
+        for timer in self._handle.listTimers():
+            self._handle.deleteTimer(int(timer[0] if isinstance(timer, tuple) else timer))
+        self._handle.registerTimer(earliest // 1000 + 1)
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows), ignore_index=True)[_COLUMNS]
+        held = list(self._held.get()) if self._held.exists() else []
+        new = [(int(t), int(s), bool(i), d, z) for t, s, i, d, z in events.itertuples(index=False, name=None)]
+        self._held.appendList(new)
+        earliest = min(row[0] for row in (*held, *new))
+        self._wake(earliest)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = pd.DataFrame([tuple(row) for row in self._held.get()], columns=_COLUMNS)
+        due = held["ts"] < passed
+        later = held[~due]
+        if later.empty:
+            self._held.clear()
+        else:
+            self._held.put(list(later.itertuples(index=False, name=None)))
+            self._wake(int(later["ts"].min()))
+        if due.any():
+            yield from self._apply(key, held[due].sort_values(["ts", "seq"], kind="stable"))
+
+    def _apply(self, key, events: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Rows in event order, all of them later than those applied before."""
+        last_ts, was_idle, idle_since, sent = self._state.get() if self._state.exists() else (None, False, None, False)
         ts = events["ts"].to_numpy(dtype=np.int64)
         idle = events["idle"].to_numpy(dtype=bool)
         place = np.arange(len(ts))
@@ -70,7 +93,6 @@ class IdleWatch(StatefulProcessor):
                 in_open_streak,
                 int(began[-1]) if in_open_streak else None,
                 in_open_streak and (bool(reached[-1]) or (still_carried and bool(sent))),
-                stale_rows,
             )
         )
         if fired.any():
@@ -83,12 +105,16 @@ class IdleWatch(StatefulProcessor):
         pass
 
 
-def live_idle_alerts(silver: DataFrame, threshold_minutes: float = IDLE_THRESHOLD_MINUTES) -> DataFrame:
-    """Alert stream. The result does not depend on how events are cut into micro-batches."""
-    narrow = silver.select(
+def live_idle_alerts(
+    silver: DataFrame, threshold_minutes: float = IDLE_THRESHOLD_MINUTES, watermark: str = WATERMARK
+) -> DataFrame:
+    """Alert stream. An alert comes out once the watermark has passed its event; the alerts do not depend on
+    the order in which rows arrive within the watermark's delay, nor on how they are cut into micro-batches."""
+    narrow = silver.withWatermark("event_ts", watermark).select(
         "vehicle_id",
         "driver_id",
         "zone_id",
+        "event_ts",
         micros(F.col("event_ts")).alias("ts"),
         sequence(silver).alias("seq"),
         (F.col("status") == F.lit(IDLE)).alias("idle"),
@@ -97,6 +123,6 @@ def live_idle_alerts(silver: DataFrame, threshold_minutes: float = IDLE_THRESHOL
         statefulProcessor=IdleWatch(threshold_minutes),
         outputStructType=_OUTPUT,
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
     return idle_alert_rows(fired.withColumn("event_ts", F.timestamp_micros("ts")), threshold_minutes)

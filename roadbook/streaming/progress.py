@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
@@ -20,6 +21,7 @@ PROGRESS = T.StructType(
         T.StructField("query_name", T.StringType()),
         T.StructField("batch_id", T.LongType()),
         T.StructField("input_rows", T.LongType()),
+        T.StructField("late_rows", T.LongType()),
         T.StructField("duration_ms", T.LongType()),
         T.StructField("sources", T.ArrayType(T.StringType())),
         T.StructField("exception", T.StringType()),
@@ -55,6 +57,7 @@ class ProgressTable(StreamingQueryListener):
             query_name=progress.name,
             batch_id=progress.batchId,
             input_rows=progress.numInputRows,
+            late_rows=sum(step.numRowsDroppedByWatermark for step in progress.stateOperators or []),
             duration_ms=dict(progress.durationMs or {}).get("triggerExecution"),
             sources=[source.description for source in progress.sources or []],
             at=_instant(progress.timestamp),
@@ -99,12 +102,16 @@ class NoDataAlerts(StreamingQueryListener):
     """
 
     def __init__(
-        self, spark: SparkSession, live: LiveTables, trigger_seconds: float, limit: int = contract.NO_DATA_BATCHES
+        self,
+        spark: SparkSession,
+        live: LiveTables,
+        trigger_seconds: float,
+        limit: int = contract.NO_DATA_BATCHES,
+        publish: Callable[[DataFrame], None] | None = None,
     ) -> None:
-        self._spark, self._live = spark, live
+        self._spark, self._live, self._publish = spark, live, publish
         self._watch = SilenceWatch(trigger_seconds, limit)
         self._query_id: str | None = None
-        self._last_batch = -1
 
     def onQueryStarted(self, event) -> None:
         if event.name == "telemetry_events":
@@ -114,7 +121,6 @@ class NoDataAlerts(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         progress = event.progress
         if str(progress.id) == self._query_id and progress.numInputRows:
-            self._last_batch = progress.batchId
             self._watch.data(_instant(progress.timestamp))
 
     def onQueryIdle(self, event) -> None:
@@ -133,9 +139,12 @@ class NoDataAlerts(StreamingQueryListener):
             F.lit("CRITICAL").alias("severity"),
             F.lit(contract.NO_DATA_MESSAGE % streak).alias("message"),
             F.lit(at).cast("timestamp").alias("created_at"),
-            F.lit(FEED_ALERTS).alias("origin"),
         )
-        tables.append_batch(alert, self._live.path("alerts"), self._last_batch, "origin")
+        # keyed by its time, so an alert of an earlier run or silence is never replaced
+        rows = tables.finalise(alert, contract.ALERTS).withColumn("origin", F.lit(FEED_ALERTS))
+        tables.append_batch(rows, self._live.path("alerts"), int(at.timestamp() * 1000), "origin")
+        if self._publish is not None:
+            self._publish(alert)
 
     def onQueryTerminated(self, event) -> None:
         pass

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from roadbook.contract import IDLE, METRICS_WINDOW, ON_TRIP, WATERMARK, ZONE_WINDOWS
-from roadbook.operators.windows import ZONE_KEYS, window_rates, zone_windows_approx
-from roadbook.sinks import tables
+from roadbook.contract import METRICS_WINDOW, WATERMARK, ZONE_WINDOWS
+from roadbook.operators import measures
+from roadbook.operators.windows import ZONE_KEYS, counted_units, unit_sums, window_rates, zone_windows_approx
+from roadbook.sinks import files, tables
 
 WINDOW_KEYS = ["window_start", *ZONE_KEYS]
 
@@ -34,46 +35,31 @@ def final_zone_windows(silver: DataFrame, watermark: str = WATERMARK, length: st
         .select("event_ts", *ZONE_KEYS, "status", "speed", "fare", F.inline(units))
         .where("id IS NOT NULL")
         .groupBy(F.window("event_ts", length), *ZONE_KEYS, "by_vehicle", "id")
-        .agg(
-            F.max(F.col("status") != F.lit(IDLE)).alias("moved"),
-            F.max(F.col("status") == F.lit(IDLE)).alias("idled"),
-            F.max(F.col("status") == F.lit(ON_TRIP)).alias("on_trip"),
-            F.sum("speed").alias("speed_sum"),
-            F.max("fare").alias("fare"),
-            F.count(F.lit(1)).alias("rows"),
-        )
+        .agg(*[measures.ever(name).alias(name) for name in measures.counted_ids()], *unit_sums())
     )
-    vehicle = F.col("by_vehicle")
-    counted = unit.groupBy(F.window(F.window_time("window"), length), *ZONE_KEYS).agg(
-        F.count_if(vehicle).alias("total_vehicles"),
-        F.count_if(vehicle & F.col("moved")).alias("active_vehicles"),
-        F.count_if(vehicle & F.col("idled")).alias("idle_vehicles"),
-        F.count_if(~vehicle & F.col("on_trip")).alias("trips_in_window"),
-        (F.sum(F.when(vehicle, F.col("speed_sum"))) / F.sum(F.when(vehicle, F.col("rows")))).alias("avg_speed"),
-        F.max("fare").alias("live_fare_exposure"),
-        F.sum(F.when(vehicle, F.col("rows"))).alias("event_count"),
-    )
-    return window_rates(counted)
+    again = F.window(F.window_time("window"), length).alias("window")
+    return window_rates(counted_units(unit, [again, *ZONE_KEYS], F.lit(True)))
 
 
-def write_window_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+def write_window_batch(batch: DataFrame, batch_id: int, path: str, run: str = tables.FIRST_RUN) -> None:
     """Changed windows of one micro-batch, logged by day and batch."""
     rows = tables.finalise(batch, ZONE_WINDOWS).withColumn("window_date", F.to_date("window_start"))
-    tables.append_batch(rows, path, batch_id, "window_date")
+    tables.append_batch(rows, path, batch_id, "window_date", run=run)
 
 
 def read_windows(spark, path: str) -> DataFrame:
     """The window table: newest figures per window, zone and part of day."""
-    log = tables.read_table(spark, path, ZONE_WINDOWS, window_date=T.DateType(), batch_id=T.LongType())
+    log = tables.read_table(spark, path, ZONE_WINDOWS, window_date=T.DateType(), run=T.StringType(), batch_id=T.LongType())
     return tables.current(log, WINDOW_KEYS).drop("window_date")
 
 
 def start_windows(
     windows: DataFrame, path: str, checkpoint: str, trigger: dict, output_mode: str = "update"
 ) -> StreamingQuery:
+    run = files.run_of(windows.sparkSession, checkpoint)
     return (
         windows.writeStream.outputMode(output_mode)
-        .foreachBatch(lambda batch, batch_id: write_window_batch(batch, batch_id, path))
+        .foreachBatch(lambda batch, batch_id: write_window_batch(batch, batch_id, path, run))
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .queryName("zone_windows")

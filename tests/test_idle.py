@@ -86,6 +86,18 @@ def test_stored_state_continues_streaks(spark, chunk, heavy):
     assert all(states[r.vehicle_id] == (r.status, r.idle_since and seconds(r.idle_since), r.idle_alert_sent) for r in got)
 
 
+def test_a_vehicle_with_all_rows_in_one_hour_is_cut_by_rows(spark):
+    rng = random.Random(8)
+    rows = [("HOT", rng.choice(["idle", "idle", "on_trip"]), 3600 + rng.randrange(0, 3600)) for _ in range(2000)]
+    frame = make(spark, rows)
+    heavy = idle._heavy_vehicles(frame, 1000, 100)
+    chunks = idle._with_chunks(frame, heavy).groupBy("_chunk").count().collect()
+    assert len(chunks) > 15 and max(r["count"] for r in chunks) <= 100
+    alerts, streaks, _ = walk(rows, 20)
+    got = idle.idle_episodes(frame, 100, 1000).collect()
+    assert sorted((r.vehicle_id, seconds(r.idle_since), seconds(r.last_idle_ts), r.event_count) for r in got) == sorted(streaks)
+
+
 def test_alert_fires_once_at_the_threshold_and_rearms(spark):
     rows = [("V", "idle", 0), ("V", "idle", 299), ("V", "idle", 300), ("V", "idle", 900), ("V", "on_trip", 901)]
     rows += [("V", "idle", 1000), ("V", "idle", 1400)]

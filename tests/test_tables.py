@@ -16,7 +16,7 @@ from roadbook.plans.live import trigger_seconds
 from roadbook.sinks import tables
 from roadbook.sinks.alerts import alert_messages, publish_alerts, with_defaults
 from roadbook.sources import expenses as source
-from roadbook.sources.telemetry import numbered
+from roadbook.sources.telemetry import numbered, on_day, silver_table
 
 DAY = dt.date(2026, 9, 27)
 HEADER = "vehicle_id,fuel_cost,maintenance_cost,distance_covered,service_flag"
@@ -47,17 +47,18 @@ def test_expense_gates(spark, tmp_path):
         source.expenses(spark, str(tmp_path), DAY)
     with pytest.raises(ValueError, match="fuel_cost"):
         source.expenses(spark, expense_folder(tmp_path, "vehicle_id,maintenance_cost,distance_covered,service_flag\nV,1,1,no\n"), DAY)
-    with pytest.raises(ValueError, match="no data rows"):
+    with pytest.raises(ValueError, match="follows the header"):
         source.expenses(spark, expense_folder(tmp_path, f"{HEADER}\n"), DAY)
-    with pytest.raises(ValueError, match="header"):
+    with pytest.raises(ValueError, match="names no column"):
         source.expenses(spark, expense_folder(tmp_path, ""), DAY)
 
 
 def test_history_takes_the_date_from_the_file_name(spark, tmp_path):
     expense_folder(tmp_path, f"{HEADER}\nV1,1,1,1,no\n")
-    expense_folder(tmp_path, f"{HEADER}\nV1,2,1,1,no\n", "expenses_20260928.csv")
+    expense_folder(tmp_path, "note,service_flag,distance_covered,maintenance_cost,fuel_cost,vehicle_id\n,no,1,1,2,V1\n", "expenses_20260928.csv")
+    expense_folder(tmp_path, f"{HEADER}\nV1,3,1,1,no\n", "expenses_20260929.csv.example")
     got = {(str(r.report_date), float(r.fuel_cost)) for r in source.expense_history(spark, str(tmp_path)).collect()}
-    assert got == {("2026-09-27", 1.0), ("2026-09-28", 2.0)}
+    assert got == {("2026-09-27", 1.0), ("2026-09-28", 2.0), ("2026-09-29", 3.0)}
 
 
 def test_run_options_override_the_scheduled_date():
@@ -111,6 +112,36 @@ def test_empty_output_is_refused(spark, tmp_path):
         quality.require_rows(table, dt.date(2026, 9, 28))
 
 
+def test_rules_gate_the_daily_job(spark, tmp_path):
+    good = silver(spark).withColumn("fare", F.lit(1.0))
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    root.mkdir()
+    expense_folder(root, f"{HEADER}\nV001,-5,50,10,yes\n")
+    with pytest.raises(ValueError, match="fuel_cost >= 0"):
+        daily.run_day(spark, good, str(root), out, DAY)
+    assert not (tmp_path / "out").exists()
+
+
+def test_jdbc_reads_are_bounded(spark):
+    with pytest.raises(ValueError, match="numPartitions"):
+        silver_table(spark, url="jdbc:none", dbtable="t")
+    with pytest.raises(ValueError, match="numPartitions"):
+        silver_table(spark, report_date=DAY, url="jdbc:none", dbtable="t", partitionColumn="id")
+    times = [dt.datetime(2026, 9, 27), dt.datetime(2026, 9, 27, 23, 59, 59, 999999), dt.datetime(2026, 9, 28), None]
+    frame = spark.createDataFrame([(t,) for t in times], "event_ts timestamp")
+    assert frame.where(on_day("event_ts", DAY)).count() == 2
+
+
+def test_one_wrong_time_does_not_enlarge_the_health_grid(spark):
+    schema = "vehicle_id string, driver_id string, status string, lat double, lon double, speed double, fare double, event_ts timestamp"
+    times = [dt.datetime(2024, 1, 1, 5), dt.datetime(2024, 1, 2, 5), dt.datetime(9999, 1, 1), None]
+    feed = spark.createDataFrame([("V", "D", "idle", 1.0, 1.0, 0.0, 0.0, t) for t in times], schema)
+    days = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    grid = health.batch_health(feed, 3600, *days, 3)
+    assert grid.count() == 48 and grid.agg(F.sum("raw_rows")).first()[0] == 2
+    assert health.outside(feed, *days).count() == 2
+
+
 def test_date_filter_reaches_the_scan(spark, tmp_path):
     path = str(tmp_path / "silver")
     events = silver(spark).withColumns({"lat": F.lit(1.0), "status": F.lit("idle")})
@@ -130,15 +161,20 @@ def test_upsert_and_version_reading(spark, tmp_path):
     assert tables.read_version(spark, path, schema).isEmpty()
     tables.replace_version(spark.createDataFrame([("a", 1), ("b", 1)], schema), path, 0)
     for _ in range(2):
-        before = tables.read_version(spark, path, schema, before=1)
+        before = tables.read_version(spark, path, schema, before=(tables.FIRST_RUN, 1))
         tables.replace_version(tables.upsert(before, spark.createDataFrame([("b", 2), ("c", 2)], schema), ["k"]), path, 1)
     assert {tuple(r) for r in tables.read_version(spark, path, schema).collect()} == {("a", 1), ("b", 2), ("c", 2)}
     tables.replace_version(spark.createDataFrame([], schema), path, 2)
     assert tables.read_version(spark, path, schema).count() == 3
-    for version in range(3, tables.SLOTS + 2):
+    reader = tables.read_version(spark, path, schema)
+    for version in range(3, 24):
         tables.replace_version(spark.createDataFrame([("z", version)], schema), path, version)
-    assert [tuple(r) for r in tables.read_version(spark, path, schema).collect()] == [("z", tables.SLOTS + 1)]
-    assert len(list((tmp_path / "t").glob("slot=*"))) == tables.SLOTS - 1
+    assert reader.count() == 3  # a reader of long ago still has its version
+    assert [tuple(r) for r in tables.read_version(spark, path, schema).collect()] == [("z", 23)]
+    tables.replace_version(spark.createDataFrame([("new", 0)], schema), path, 0, run="r1")
+    assert [tuple(r) for r in tables.read_version(spark, path, schema).collect()] == [("new", 0)]
+    tables.replace_version(spark.createDataFrame([("new", 1)], schema), path, 1, run="r1", keep_seconds=-1.0)
+    assert [p.name for p in (tmp_path / "t").iterdir() if p.is_dir()] == ["v-r1-000000000000001"]
 
 
 def test_batch_log_replay_and_current_view(spark, tmp_path):
@@ -148,13 +184,17 @@ def test_batch_log_replay_and_current_view(spark, tmp_path):
     assert {tuple(r) for r in tables.current(spark.read.parquet(path), ["k"]).collect()} == {("a", 3), ("b", 1)}
 
 
-def test_finalise_rounds_fills_and_survives_bad_numbers(spark):
+def test_finalise_rounds_fills_nulls_and_refuses_misfits(spark):
     schema = T.StructType(
         [T.StructField("n", T.IntegerType(), False), T.StructField("r", T.DecimalType(8, 4), False), T.StructField("s", T.DecimalType(8, 2))]
     )
-    frame = spark.createDataFrame([(None, 1 / 3, 2.345), (4, float("nan"), 1e30)], "n long, r double, s double")
+    kinds = "n long, r double, s double"
+    frame = spark.createDataFrame([(None, 1 / 3, 2.345), (4, None, None)], kinds)
     got = [tuple(None if v is None else float(v) for v in r) for r in tables.finalise(frame, schema).collect()]
     assert got == [(0.0, 0.3333, 2.35), (4.0, 0.0, None)]
+    for row in ((2**40, 0.0, 0.0), (1, float("nan"), 0.0), (1, 0.0, 1e30)):
+        with pytest.raises(PySparkException, match="does not fit"):
+            tables.finalise(spark.createDataFrame([row], kinds), schema).collect()
 
 
 def test_alert_messages(spark, tmp_path):
