@@ -102,6 +102,10 @@ SILVER_COLUMNS = (
     "zone_id",
     "time_of_day",
 )
+SILVER = _table(
+    _may_be_null(event_id=_COUNT, trip_id=_TEXT, driver_id=_TEXT, vehicle_id=_TEXT, lat=_REAL, lon=_REAL, speed=_REAL),
+    _may_be_null(status=_TEXT, fare=_REAL, event_ts=_TIME, zone_id=_TEXT, time_of_day=_TEXT, ingested_at=_TIME),
+)
 FLEET_SNAPSHOT = _table(
     _may_be_null(window_start=_TIME, window_end=_TIME),
     _not_null(active_vehicles=_COUNT, idle_vehicles=_COUNT, total_vehicles=_COUNT, idle_ratio=_RATIO),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,8 +68,8 @@ def watch(
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description="Live telemetry tables")
-    parser.add_argument("--brokers", required=True)
-    parser.add_argument("--topic", required=True)
+    parser.add_argument("--brokers")
+    parser.add_argument("--topic")
     parser.add_argument("--alerts-topic")
     parser.add_argument("--root", required=True, help="folder of the live tables")
     parser.add_argument("--starting-offsets", default="latest")
@@ -78,9 +79,13 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--window", default=contract.METRICS_WINDOW)
     parser.add_argument("--idle-minutes", type=float, default=contract.IDLE_THRESHOLD_MINUTES)
     parser.add_argument("--no-data-batches", type=int, default=contract.NO_DATA_BATCHES)
+    parser.add_argument("--compact-before", type=dt.date.fromisoformat, help="merge the logs' files of earlier dates and end")
     args = parser.parse_args(argv)
 
     spark = open_session("roadbook-live")
+    if args.compact_before:
+        print(LiveTables(args.root).compact(spark, args.compact_before))
+        return
     brokers = {"kafka.bootstrap.servers": args.brokers}
     seconds = trigger_seconds(args.trigger)
     messages = telemetry_stream(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
@@ -9,15 +10,14 @@ from dataclasses import dataclass, replace
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from roadbook import contract
 from roadbook.operators import clean, health, idle, kpi
-from roadbook.sinks import files, tables
+from roadbook.sinks import compact, files, tables
 from roadbook.sinks.alerts import with_defaults
 
-VEHICLE_ALERTS, FEED_ALERTS = "vehicle", "feed"
+VEHICLE_ALERTS, FEED_ALERTS = "alerts", "feed_alerts"
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,8 @@ class LiveTables:
         return f"{self.root.rstrip('/')}/{name}"
 
     def silver(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path("silver")).drop("run", "batch_id", "ingested_at")
+        """Silver rows with their ``event_date``."""
+        return compact.read_log(spark, self.path("silver"), contract.SILVER, "event_date").drop("run", "batch_id", "ingested_at")
 
     def fleet(self, spark: SparkSession) -> DataFrame:
         return tables.read_version(spark, self.path("fleet_snapshot"), contract.FLEET_SNAPSHOT)
@@ -42,18 +43,35 @@ class LiveTables:
         return tables.read_version(spark, self.path("vehicle_state"), contract.VEHICLE_STATE, before)
 
     def alerts(self, spark: SparkSession) -> DataFrame:
-        table = tables.read_table(
-            spark, self.path("alerts"), contract.ALERTS, origin=T.StringType(), run=T.StringType(), batch_id=T.LongType()
-        )
-        return table.drop("origin", "run", "batch_id")
+        """Alerts of vehicles and of the feed; the two have logs of their own, as they have writers of their own."""
+        logs = [compact.read_log(spark, self.path(name), contract.ALERTS, "alert_date") for name in (VEHICLE_ALERTS, FEED_ALERTS)]
+        return logs[0].unionByName(logs[1]).drop("alert_date", "run", "batch_id")
 
     def health_log(self, spark: SparkSession) -> DataFrame:
-        return tables.read_table(spark, self.path("health"), contract.HEALTH_LOG, run=T.StringType(), batch_id=T.LongType())
+        return compact.read_log(spark, self.path("health"), contract.HEALTH_LOG, "log_date_utc").drop("log_date_utc")
+
+    def compact(self, spark: SparkSession, before: dt.date, keep_seconds: float = tables.KEEP_SECONDS) -> dict[str, list[str]]:
+        """Merge the files of all logs' dates before ``before``; the dates merged, per log."""
+        logs = {
+            "silver": (contract.SILVER, "event_date", ("vehicle_id", "event_ts")),
+            VEHICLE_ALERTS: (contract.ALERTS, "alert_date", ()),
+            FEED_ALERTS: (contract.ALERTS, "alert_date", ()),
+            "health": (contract.HEALTH_LOG, "log_date_utc", ()),
+            "zone_windows": (contract.ZONE_WINDOWS, "window_date", ()),
+        }
+        return {
+            name: compact.merge_dates(spark, self.path(name), schema, column, before, order, keep_seconds)
+            for name, (schema, column, order) in logs.items()
+        }
 
     def health(self, spark: SparkSession, interval_seconds: int, no_data_after: int, until) -> DataFrame:
         return health.health_of_log(self.health_log(spark), interval_seconds, no_data_after, until)
 
 
+def append_alerts(rows: DataFrame, path: str, batch_id: int, run: str = tables.FIRST_RUN) -> None:
+    tables.append_batch(rows.withColumn("alert_date", F.to_date("created_at")), path, batch_id, "alert_date", run=run)
+
+
 @dataclass(frozen=True)
 class EventBatch:
     """``foreachBatch`` handler: reads the batch once, writes every live table, collects nothing."""
@@ -98,8 +116,8 @@ class EventBatch:
         runs = idle.idle_runs(split.where("NOT stale").drop("stale"), before).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             alerts = with_defaults(idle.alerts_from_runs(runs, self.threshold_minutes))
-            rows = tables.finalise(alerts, contract.ALERTS).withColumn("origin", F.lit(VEHICLE_ALERTS))
-            tables.append_batch(rows, self.tables.path("alerts"), batch_id, "origin", run=self.run)
+            rows = tables.finalise(alerts, contract.ALERTS)
+            append_alerts(rows, self.tables.path(VEHICLE_ALERTS), batch_id, self.run)
             if self.publish is not None:
                 self.publish(alerts)
             seen = tables.finalise(idle.states_from_runs(runs, self.threshold_minutes), contract.VEHICLE_STATE)
@@ -115,8 +133,8 @@ class EventBatch:
         counts = health.batch_counts(parsed)
         stacked = counts.unionByName(stale, allowMissingColumns=True)
         row = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
-        logged = tables.finalise(row, contract.HEALTH_LOG)
-        tables.append_batch(logged, self.tables.path("health"), batch_id, run=self.run)
+        logged = tables.finalise(row, contract.HEALTH_LOG).withColumn("log_date_utc", F.to_date("processed_at"))
+        tables.append_batch(logged, self.tables.path("health"), batch_id, "log_date_utc", run=self.run)
 
 
 def start_events(

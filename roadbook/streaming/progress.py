@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from roadbook import contract
 from roadbook.sinks import tables
-from roadbook.streaming.events import FEED_ALERTS, LiveTables
+from roadbook.streaming.events import FEED_ALERTS, LiveTables, append_alerts
 
 PROGRESS = T.StructType(
     [
@@ -140,9 +140,9 @@ class NoDataAlerts(StreamingQueryListener):
             F.lit(contract.NO_DATA_MESSAGE % streak).alias("message"),
             F.lit(at).cast("timestamp").alias("created_at"),
         )
-        # keyed by its time, so an alert of an earlier run or silence is never replaced
-        rows = tables.finalise(alert, contract.ALERTS).withColumn("origin", F.lit(FEED_ALERTS))
-        tables.append_batch(rows, self._live.path("alerts"), int(at.timestamp() * 1000), "origin")
+        # numbered by its time, so no alert of an earlier silence or run is replaced
+        rows = tables.finalise(alert, contract.ALERTS)
+        append_alerts(rows, self._live.path(FEED_ALERTS), int(at.timestamp() * 1000))
         if self._publish is not None:
             self._publish(alert)
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from roadbook.contract import METRICS_WINDOW, WATERMARK, ZONE_WINDOWS
 from roadbook.operators import measures
 from roadbook.operators.windows import ZONE_KEYS, counted_units, unit_sums, window_rates, zone_windows_approx
-from roadbook.sinks import files, tables
+from roadbook.sinks import compact, files, tables
 
 WINDOW_KEYS = ["window_start", *ZONE_KEYS]
 
@@ -49,7 +48,7 @@ def write_window_batch(batch: DataFrame, batch_id: int, path: str, run: str = ta
 
 def read_windows(spark, path: str) -> DataFrame:
     """The window table: newest figures per window, zone and part of day."""
-    log = tables.read_table(spark, path, ZONE_WINDOWS, window_date=T.DateType(), run=T.StringType(), batch_id=T.LongType())
+    log = compact.read_log(spark, path, ZONE_WINDOWS, "window_date")
     return tables.current(log, WINDOW_KEYS).drop("window_date")
 
 

@@ -194,6 +194,42 @@ def test_a_new_checkpoint_adds_and_replaces_nothing(spark, tmp_path):
     assert live.fleet(spark).first().window_end == at + dt.timedelta(minutes=10)
 
 
+def test_merging_keeps_every_row_once_beside_new_batches(spark, tmp_path):
+    live, schema = LiveTables(str(tmp_path / "live")), "value string, timestamp timestamp"
+    at = dt.datetime(2024, 1, 1, 8)
+
+    def text(number):
+        time = at + dt.timedelta(minutes=number)
+        return json.dumps({"vehicle_id": f"V{number % 3}", "status": "idle", "timestamp": time.isoformat()})
+
+    def batch(number):
+        EventBatch(live)(spark.createDataFrame([(text(number), at)], schema), number)
+
+    def seen():
+        return [rows(d.drop("processed_at")) for d in (live.silver(spark), live.alerts(spark), live.health_log(spark))]
+
+    def stored(name):
+        return len([p for p in (tmp_path / "live").glob(f"{name}/**/*.parquet")])
+
+    for number in range(8):
+        batch(number)
+    before, small = seen(), stored("silver")
+    tomorrow = dt.datetime.now(dt.timezone.utc).date() + dt.timedelta(days=1)
+    assert live.compact(spark, dt.date(2024, 1, 1))["silver"] == []
+    assert live.compact(spark, tomorrow)["silver"] == ["2024-01-01"]
+    assert seen() == before
+    batch(8)
+    after = seen()
+    assert len(after[0]) == len(before[0]) + 1
+    assert live.compact(spark, tomorrow)["silver"] == ["2024-01-01"]
+    assert seen() == after
+    assert live.compact(spark, tomorrow, keep_seconds=-1.0)["silver"] == []  # removes what is merged
+    assert seen() == after
+    assert small == 8 and stored("silver") == 0 and stored("silver_merged") <= 2
+    batch(9)
+    assert len(live.silver(spark).collect()) == 10
+
+
 def test_many_batches_and_amounts_of_any_size(spark, tmp_path):
     live, schema = LiveTables(str(tmp_path / "live")), "value string, timestamp timestamp"
     at = dt.datetime(2024, 1, 1, 8)
