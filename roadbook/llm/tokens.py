@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 CHUNK_CHARS = 60_000
 OVERLAP_CHARS = 600
 AGREE = 4  # tokens on either side that must be equal
-CACHED_WORDS = 200_000
 
 
 class Counter:
@@ -50,7 +49,6 @@ class Counter:
             self.coder = Tokenizer.from_file(path)
             self.coder.no_truncation()
             self.coder.no_padding()
-            self.coder.model._resize_cache(CACHED_WORDS)
             probe = self.coder.encode("a b", add_special_tokens=False).offsets
             self.blank_leads = any(start == 1 for start, _ in probe)
 
@@ -131,11 +129,12 @@ def count_tokens(
         counts = counter(tokenizer).counts
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
+            once = texts.dictionary_encode()  # copies in a batch are encoded once
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     pc.binary_length(texts).cast(pa.int64()),
-                    pa.array(counts(texts.to_pylist()), pa.int64()),
+                    pc.take(pa.array(counts(once.dictionary.to_pylist()), pa.int64()), once.indices),
                 ],
                 ["id", "n_bytes", "n_tokens"],
             )
