@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadbook.llm.words import BASE, coded, hash_each, mixed, split_words, text_column
+from roadbook.llm.words import BASE, coded, hash_each, mixed, pieces, split_words, text_column
 
 WINDOW = 35
 RUN_WORDS = (2, 3)  # longest run of a round
 PAIR_WORDS = (3, 6)  # longest pair of a round
 _LONGEST = PAIR_WORDS[-1]
+CUT_BYTES = 16 << 20  # of text that a task cuts into windows at once
 _FP_BYTES = 5
 
 
@@ -219,9 +220,10 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if (out := _blocks(batch.column("row").to_numpy(), text_column(batch, "text"), window)) is not None:
-                for i in range(0, out.num_rows, 100_000):
-                    yield out.slice(i, 100_000)
+            for piece in pieces(batch, "text", CUT_BYTES):
+                if (out := _blocks(piece.column("row").to_numpy(), text_column(piece, "text"), window)) is not None:
+                    for i in range(0, out.num_rows, 100_000):
+                        yield out.slice(i, 100_000)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held := list(batches):
