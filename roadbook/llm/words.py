@@ -5,6 +5,8 @@ A word is a run of characters other than the six ASCII white-space ones.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,8 +16,27 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
-    """A text column; null counts as empty."""
-    return pc.fill_null(batch.column(name).cast(pa.large_string()), "")
+    """A text column; null counts as empty.
+
+    Of a slice the values are copied, as lower-casing misreads large strings that start inside a buffer.
+    """
+    column = batch.column(name)
+    if column.offset:
+        column = pa.concat_arrays([column, column.slice(0, 0)])
+    return pc.fill_null(column.cast(pa.large_string()), "")
+
+
+def pieces(batch: pa.RecordBatch, name: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``most`` bytes of text, or of one longer text, to bound a task's memory."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def split_words(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray]:
