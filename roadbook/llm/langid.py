@@ -27,6 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadbook.llm.folders import stored
+
 SAMPLE_ROWS = 400  # distinct labelled texts taken per language
 DICTIONARY_BYTES = 96 * 1024  # per language
 DICTIONARY_TEXTS = 48  # a text fills at most this part of a dictionary
@@ -74,6 +76,7 @@ def train(
     ranked = rows.select("l", "h").distinct()
     order = Window.partitionBy("l").orderBy("h")
     chosen = ranked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows).drop("n")
+    chosen = stored(chosen, "sample")  # of known size, so that Spark need not shuffle the texts if it is small
     pieces = rows.join(chosen, ["l", "h"]).select("l", "h", F.substring("t", 1, dictionary_bytes).alias("t"))
     found = pieces.groupBy("l", "h").agg(F.min("t").alias("t")).orderBy("l", "h")
     share = max(64, dictionary_bytes // DICTIONARY_TEXTS)
