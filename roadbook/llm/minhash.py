@@ -158,7 +158,9 @@ def near_duplicates(
     if not more.isEmpty():
         joined = stored(components(links.unionByName(more)), "components")
     # a row's class, then its class's component
-    classed = found.select("id", "n_shingles", "set_key").join(classes, "set_key", "left")
+    # keys are spelled out, so that both sides are dealt anew and Spark can split a heavy class
+    of_class = classes.select(F.hex("set_key").alias("class"), "node")
+    classed = found.select("id", "n_shingles", F.hex("set_key").alias("own")).join(of_class, F.col("own") == F.col("class"), "left")
     out = classed.join(joined.withColumnRenamed("id", "joined"), F.col("node") == F.col("joined"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id"))
     return out.select(
