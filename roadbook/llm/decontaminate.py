@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadbook.llm.folders import stored
+
 WINDOW = 10
 BLOCK_CHARS = 400_000
 
@@ -150,7 +152,7 @@ def find_hits(
     done = 0
     for block in blocks(benchmark, item_id, item_text, block_chars):
         if done:
-            rows = rows.checkpoint()  # one automaton at a time
+            rows = stored(rows, "scanned")  # one automaton at a time
         rows, done = _scan(rows, block, window, kind), done + 1
     if not done:
         rows = _scan(rows, [], window, kind)
@@ -203,6 +205,6 @@ def drop_contaminated(
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         if done:
-            docs = docs.checkpoint()
+            docs = stored(docs, "scanned")
         docs, done = docs.mapInArrow(run, docs.schema), done + 1
     return docs
