@@ -58,39 +58,41 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     single = groups.groupBy("h", "sha").agg(
         F.max("group_size").alias("group_size"), F.max("keep_id").alias("keep_id"), F.count(F.lit(1)).alias("texts")
     )
+    # joined by the two hashes as one value, so that both sides are dealt anew and Spark can split a heavy group
+    stand_in = F.concat("h", "sha")
     single = single.select(
-        "h",
-        "sha",
+        stand_in.alias("text_key"),
         F.when(F.col("texts") == 1, F.col("group_size"))
         .otherwise(F.raise_error(F.lit("two texts share MD5 and SHA-256")).cast("bigint"))
         .alias("group_size"),
         "keep_id",
     )
     members = hashed.select("id", F.unhex(F.md5("norm")).alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"))
-    joined = members.join(single, ["h", "sha"]).select("id", "sha", "keep_id", "group_size")
-    chosen = joined.where(F.col("id").eqNullSafe(F.col("keep_id")))
-    first = Window.partitionBy("id", "sha").orderBy("group_size")
-    kept = chosen.withColumn("kept", F.row_number().over(first) == 1)
-    dropped = joined.where(~F.col("id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.lit(False))
-    return kept.unionByName(dropped).select(
+    joined = members.select("id", stand_in.alias("text_key"), "sha").join(single, "text_key")
+    same_row = Window.partitionBy("id", "sha").orderBy("group_size")
+    first = F.row_number().over(same_row) == 1
+    return joined.select(
         F.col("id").alias(key),
         "keep_id",
         "group_size",
-        "kept",
+        (F.col("id").eqNullSafe(F.col("keep_id")) & first).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
 def drop_exact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    kept = exact_groups(docs, key, text).where("kept").select(F.col(key).alias("id"), F.unhex("text_sha256").alias("sha"))
+
+    def row_key(identity: Column, digest: Column) -> Column:
+        return F.concat(F.coalesce(identity.cast("bigint").cast("string"), F.lit("")), F.lit(":"), digest).alias("row_key")
+
+    kept = exact_groups(docs, key, text).where("kept").select(row_key(F.col(key), F.col("text_sha256")))
     tagged = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-        docs[key].cast("bigint").alias("id"),
-        F.unhex(F.sha2(normalised(docs[text].cast("string")), 256)).alias("sha"),
+        row_key(docs[key], F.sha2(normalised(docs[text].cast("string")), 256)),
         F.length(F.coalesce(docs[text], F.lit(""))).alias("points"),
     )
-    same = kept.select(F.col("id").alias("kept_id"), F.col("sha").alias("kept_sha"))
-    here = tagged.join(same, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
-    best = Window.partitionBy("id", "sha").orderBy(F.desc("points"))
+    # of rows that repeat id and text the longest original stays; the window finds the rows dealt by the join
+    best = Window.partitionBy("row_key").orderBy(F.desc("points"))
+    here = tagged.join(kept, "row_key", "left_semi")
     return here.withColumn("n", F.row_number().over(best)).where("n = 1").select("row.*")
