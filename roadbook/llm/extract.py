@@ -2,7 +2,8 @@
 
 Markup is stripped to lines: each block element gives one line, white space inside it becomes one
 blank. Navigation, headers, footers, side columns, notices, adverts, forms, scripts, styles and
-comment sections leave a gap of empty lines. Over the lines, text lengths are summed in sliding windows; links
+comment sections leave a gap of empty lines; an element that only its class or id marks so is kept if it frames the article or most of
+the page's text. Over the lines, text lengths are summed in sliding windows; links
 count for nothing. A surge is where the sum rises from nothing, a dive where it falls back to nothing or a line
 holds links only; between them lies a segment. If the page marks an article, its segments are the
 main text, else those whose densest window reaches a set part of the page's densest window. Nothing
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 
 WINDOW_LINES = 3
 DENSE_PART = 0.3  # of the densest window, for pages without a marked article
+MOST_PART = 0.6  # of a page's text: an element with more is no boilerplate, whatever its name
 ENOUGH = 300  # characters in a window that are dense on any page
 
 _TOKEN = re.compile(
@@ -63,10 +65,9 @@ _SPACE = re.compile(r"\s+")
 _CLOSERS = {n: re.compile(rf"</{n}\s*>|</{n}\b[^>]*>", re.I) for n in _RAW}
 
 
-def _boilerplate(name: str, attrs: str, inside: int) -> bool:
-    if name in _GONE:
-        return not (name == "header" and inside)  # an article's own header holds its heading
-    if name in _MAIN or name in ("body", "html") or not attrs:
+def _boilerplate(name: str, attrs: str) -> bool:
+    """Whether an element's class, id, role or state says that it is no part of the article."""
+    if name in ("body", "html") or not attrs:
         return False
     for match in _ATTR.finditer(attrs):
         kind = match[1].lower()
@@ -120,10 +121,24 @@ def _ends(tokens: list[tuple[str, str, str]]) -> dict[int, int]:
     return ends
 
 
+def _sums(tokens: list[tuple[str, str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of text outside head, scripts and menus, and articles opened, before each token."""
+    chars, mains, quiet = np.zeros(len(tokens) + 1, np.int64), np.zeros(len(tokens) + 1, np.int64), None
+    for i, (kind, name, _) in enumerate(tokens):
+        if kind == "open" and name in _GONE and name != "header" and quiet is None:
+            quiet = name
+        elif kind == "close" and name == quiet:
+            quiet = None
+        chars[i + 1] = chars[i] + (len(name.strip()) if kind == "text" and quiet is None else 0)
+        mains[i + 1] = mains[i] + (kind == "open" and name in _MAIN)
+    return chars, mains
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters outside links, inside an article) per line; gaps are empty lines."""
     tokens = _tokens(page)
     ends = _ends(tokens)
+    text_before, mains_before = _sums(tokens)
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     plain = links = mains = 0
@@ -149,10 +164,19 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             parts.append(text)
             plain += 0 if links else len(text.strip())
         elif kind == "open":
-            if name not in _VOID and not attrs.endswith("/") and _boilerplate(name, attrs, mains):
+            end = ends.get(i)
+            if name in _GONE:
+                off = not (name == "header" and mains)  # an article's own header holds its heading
+            else:
+                off = name not in _VOID and not attrs.endswith("/") and _boilerplate(name, attrs)
+                stop = len(tokens) if end is None else end
+                if off and end is not None and name not in ("article", "main") and mains_before[stop] > mains_before[i + 1]:
+                    off = False  # a frame around the article, named after what stands beside it
+                if off and end is not None and text_before[stop] - text_before[i] > MOST_PART * text_before[-1]:
+                    off = False
+            if off:
                 if name not in _INLINE:
                     gap()
-                end = ends.get(i)
                 if end is None:
                     end = next((j for j in range(i + 1, len(tokens)) if tokens[j][0] == "open" and tokens[j][1] in _RESUME), len(tokens))
                     i = end

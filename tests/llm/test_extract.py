@@ -29,6 +29,13 @@ def test_aside_inside_an_article_and_its_own_header():
     assert extract.main_text(PAGE % body) == "Head One. Two."
 
 
+def test_frames_named_after_what_stands_beside_the_article():
+    frame = "<div class='layout with-sidebar'><article class='post has-comments'>%s</article><div class='sidebar'>Beside it.</div></div>"
+    assert extract.main_text(PAGE % (frame % (BODY * 12))) == " ".join([TEXT] * 12)
+    comment = "<article>%s</article><article class='comment'>A reader says that this was a good story.</article>"
+    assert extract.main_text(PAGE % (comment % (BODY * 3))) == " ".join([TEXT] * 3)
+
+
 def test_unclosed_and_broken_markup():
     assert extract.main_text("<article><p><b>One.<br><p>Two.</article><footer>off") == "One. Two."
     assert extract.main_text("<article><p>a < b and 3 > 2 <p title='x > y'>c</article>") == "a < b and 3 > 2 c"
@@ -56,12 +63,12 @@ def test_given_pages_hold_their_article(spark):
         assert r.text == " ".join(want.split()) and r.n_chars == len(r.text)
 
 
-@pytest.mark.parametrize("extra", ["", ", 'x' AS id, 'y' AS text, 'z' AS n_chars"])
+@pytest.mark.parametrize("extra", [[], ["'x' AS id", "'y' AS text", "'z' AS n_chars"]])
 def test_edges(spark, extra):
     pages = spark.createDataFrame(
         [(1, "u", None), (2, None, ""), (None, "v", "<p>a</p>"), (3, "w", "<p>" + "word " * 100_000), (3, "w", "plain")],
         "page_id bigint, url string, html string",
-    ).selectExpr("page_id", "url", "html" + extra)
+    ).selectExpr("page_id", "url", "html", *extra)
     found = {(r.page_id, r.url, r.text[:6], r.n_chars) for r in extract.extract(pages).collect()}
     assert found == {(1, "u", "", 0), (2, None, "", 0), (None, "v", "a", 1), (3, "w", "word w", 499_999), (3, "w", "plain", 5)}
     assert extract.extract(pages.where("false")).count() == 0
