@@ -36,8 +36,6 @@ HEADLINE = (
     "result_rule_violations",
     "upsert_vehicle_state",
     "daily_job",
-    "idle_alerts_stream",
-    "zone_windows_stream",
     "live_fleet",
 )
 RUNS = 3
