@@ -74,8 +74,12 @@ def train(
     rows = labelled.select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
     rows = rows.where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}")).withColumn("h", F.xxhash64("t"))
     ranked = rows.select("l", "h").distinct()
-    order = Window.partitionBy("l").orderBy("h")
-    chosen = ranked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows).drop("n")
+    # in two steps, so that a language in every task's rows does not meet in one task
+    chosen = ranked.withColumn("part", F.pmod("h", F.lit(256)))
+    for keys in (("l", "part"), ("l",)):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+        chosen = chosen.withColumn("n", place).where(F.col("n") <= sample_rows)
+    chosen = chosen.select("l", "h")
     chosen = stored(chosen, "sample")  # of known size, so that Spark need not shuffle the texts if it is small
     pieces = rows.join(chosen, ["l", "h"]).select("l", "h", F.substring("t", 1, dictionary_bytes).alias("t"))
     found = pieces.groupBy("l", "h").agg(F.min("t").alias("t")).orderBy("l", "h")
