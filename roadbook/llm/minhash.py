@@ -4,10 +4,12 @@ A document's set holds its distinct runs of five lower-cased words. One hash dea
 into bins; a bin keeps its smallest member, and an empty bin borrows from the first
 filled one in its own fixed random order of bins. Bands of bins give bucket keys.
 
-Equal sets are one node from the start, so copies are never paired. In each bucket, members are joined to
+Equal sets are one node from the start, so copies are never paired. In each bucket, members are first joined to
 the bucket's leaders only (star-shaped candidates): the smallest id, the largest, and the smallest in an
 order of the bucket's own. Candidates of the first kind are confirmed on the full sets; of the others only those
-whose ends are not connected yet. A bucket of n nodes thus gives 3n pairs at most.
+whose ends are not connected yet. Where other members of a bucket are in several components after that, all their
+sets are compared, tile by tile of the bucket's square. So any two documents that share a bucket are compared or
+connected otherwise, and a bucket is only worked off in full if it does not hang together.
 
 With 32 bands of 4 bins a pair of similarity 0.75 meets in some bucket with probability 0.99999.
 
@@ -35,6 +37,8 @@ BINS = 128
 BAND_ROWS = 4
 PERCENT = 75
 _SEED = 2026
+_TILE_ROWS = 256  # of a bucket's members on either side of a tile
+_TILE_BYTES = 16 << 20  # of sets, likewise
 
 
 def sets_of(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -97,21 +101,101 @@ def sketches(docs: DataFrame, key: str, text: str, words: int, bins: int, rows:
     return source.mapInArrow(run, "id bigint, n_shingles bigint, set_key binary, bands array<bigint>")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b, first): members and leaders of each bucket; ``first`` where the leader is the smallest id."""
-    bands = nodes.select("id", F.explode("bands").alias("band"))
+def bucketed(nodes: DataFrame) -> DataFrame:
+    """(band, id, n_shingles) with the bucket's size ``n`` and leaders, for buckets of several members."""
+    bands = nodes.select("id", "n_shingles", F.explode("bands").alias("band"))
     buckets = bands.groupBy("band").agg(
-        F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.col("id").bitwiseXOR(F.col("band"))).alias("own")
+        F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.col("id").bitwiseXOR(F.col("band"))).alias("own"), F.count("id").alias("n")
     )
     buckets = buckets.where("low < high").withColumn("own", F.col("own").bitwiseXOR(F.col("band")))
+    return bands.join(buckets, "band")
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """(a, b, first): members and leaders of each bucket; ``first`` where the leader is the smallest id."""
     leaders = F.explode(F.array_distinct(F.array("low", "high", "own")))
-    met = bands.join(buckets, "band").select("id", "low", leaders.alias("leader")).where("id <> leader")
+    met = members.select("id", "low", leaders.alias("leader")).where("id <> leader")
     pairs = met.select(
         F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b"), (F.col("leader") == F.col("low")).alias("first")
     )
     return pairs.groupBy("a", "b").agg(F.max("first").alias("first"))
 
 
+def similar(common, x, y, percent: int):
+    """Whether sets of sizes x and y reach the similarity with so many common members; of numbers or arrays."""
+    return (common > 0) & (100 * common >= percent * (x + y - common))
+
+
+def tile_links(
+    band: int, bands: np.ndarray, chunk: np.ndarray, label: np.ndarray, sets: list[np.ndarray], within: bool, percent: int
+) -> list[tuple[int, int]]:
+    """Similar pairs that connect what has different labels, of one chunk (``within``) or across two.
+
+    A pair is left to the first band in which it meets.
+    """
+    at = np.flatnonzero(bands[0] == band)[0]
+    links, label = [], label.copy()
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    codes = np.split(codes, np.cumsum([len(x) for x in sets])[:-1])
+    marked = np.zeros(max(c.max() for c in codes) + 1, bool)
+    for i, own in enumerate(codes):
+        wanted = label != label[i]
+        wanted[:i] = False
+        if not within:
+            wanted &= chunk != chunk[i]
+        wanted[wanted] = ~(bands[wanted, :at] == bands[i, :at]).any(axis=1)
+        marked[own] = True
+        for j in np.flatnonzero(wanted):
+            if label[j] != label[i] and similar(np.count_nonzero(marked[codes[j]]), len(own), len(codes[j]), percent):
+                links.append((i, int(j)))
+                label[label == label[j]] = label[i]
+        marked[own] = False
+    return links
+
+
+def remaining(
+    crowded: DataFrame, joined: DataFrame, docs: DataFrame, key: str, text: str, words: int, bins: int, rows: int, percent: int
+) -> DataFrame:
+    """Similar pairs of members that are no leaders of their bucket and in different components (a bucket's tiles bound a task)."""
+    of = joined.select(F.col("id").alias("joined"), "component")
+    placed = crowded.join(of, F.col("id") == F.col("joined"), "left").select(
+        "band", "id", "n_shingles", F.coalesce("component", "id").alias("component")
+    )
+    buckets = placed.groupBy("band").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("id").alias("n"), F.sum("n_shingles").alias("total")
+    )
+    sides = F.greatest(F.ceil(F.col("n") / _TILE_ROWS), F.ceil(F.col("total") * 8 / _TILE_BYTES)).cast("bigint")
+    open_buckets = buckets.where("low < high").select("band", sides.alias("sides"))
+    members = stored(placed.join(open_buckets, "band"), "open-members")
+    ids = members.select(F.col("id").alias("wanted")).distinct()
+    texts = docs.select(docs[key].cast("bigint").alias("id"), docs[text].cast("string").alias("text")).join(ids, F.col("id") == F.col("wanted"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = probe_orders(bins)
+        for batch in batches:
+            sets = list(sets_of(text_column(batch, "text"), words))
+            bands = [band_keys(signature(x, orders), rows).tobytes() if len(x) else None for x in sets]
+            columns = [batch.column("id"), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(bands, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["of", "members", "bands"])
+
+    sets = texts.select("id", "text").mapInArrow(make, "of bigint, members binary, bands binary").where("bands IS NOT NULL").distinct()
+    chunk = F.pmod(F.xxhash64("id"), "sides")
+    dealt = members.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sides") - 1)))
+    dealt = dealt.select("band", "id", "component", "chunk", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"))
+
+    def meet(tile: pa.Table) -> pa.Table:
+        ids, chunk, label = (tile[c].to_numpy() for c in ("id", "chunk", "component"))
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in tile["members"]]
+        bands = np.stack([np.frombuffer(x.as_py(), np.int64) for x in tile["bands"]])
+        links = tile_links(tile["band"][0].as_py(), bands, chunk, label, sets, tile["x"][0] == tile["y"][0], percent)
+        at = np.array(links, np.int64).reshape(-1, 2)
+        ends = ids[at[:, 0]], ids[at[:, 1]]
+        return pa.table({"a": np.maximum(*ends), "b": np.minimum(*ends)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    full = dealt.join(sets, F.col("id") == F.col("of")).select("band", "x", "y", "id", "chunk", "component", "members", "bands")
+    return full.groupBy("band", "x", "y").applyInArrow(meet, "a bigint, b bigint").distinct()
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
     texts = docs.select(docs[key].cast("bigint").alias("id"), docs[text].cast("string").alias("text"))
@@ -123,7 +207,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int
             good = []
             for x, y in zip(sets_of(text_column(batch, "left"), words), sets_of(text_column(batch, "right"), words)):
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
+                good.append(bool(similar(common, len(x), len(y), percent)))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(run, "a bigint, b bigint")
@@ -142,8 +226,9 @@ def near_duplicates(
     found = stored(sketches(docs, key, text, words, bins, band_rows), "sketches")
     usable = found.where("set_key IS NOT NULL AND id IS NOT NULL")
     classes = usable.groupBy("set_key").agg(F.min("id").alias("node"))
-    nodes = usable.select("id", "set_key", "bands").join(classes.withColumnRenamed("set_key", "of"), (F.col("id") == F.col("node")) & (F.col("set_key") == F.col("of")))
-    pairs = stored(candidates(nodes), "pairs")
+    nodes = usable.select("id", "n_shingles", "set_key", "bands").join(classes.withColumnRenamed("set_key", "of"), (F.col("id") == F.col("node")) & (F.col("set_key") == F.col("of")))
+    members = bucketed(nodes)
+    pairs = stored(candidates(members), "pairs")
     links = stored(confirmed(pairs.where("first"), docs, key, text, words, percent), "links")
     joined = stored(components(links), "components")
     names = [joined.select(F.col("id").alias(f"{e}_id"), F.col("component").alias(f"{e}_of")) for e in "ab"]
@@ -156,7 +241,12 @@ def near_duplicates(
     )
     more = stored(confirmed(stored(open_pairs, "open-pairs"), docs, key, text, words, percent), "links")
     if not more.isEmpty():
-        joined = stored(components(links.unionByName(more)), "components")
+        links = links.unionByName(more)
+        joined = stored(components(links), "components")
+    crowded = stored(members.where("n > 3 AND id <> low AND id <> high AND id <> own").select("band", "id", "n_shingles"), "crowded")
+    rest = stored(remaining(crowded, joined, docs, key, text, words, bins, band_rows, percent), "links")
+    if not rest.isEmpty():
+        joined = stored(components(links.unionByName(rest)), "components")
     # a row's class, then its class's component
     # keys are spelled out, so that both sides are dealt anew and Spark can split a heavy class
     of_class = classes.select(F.hex("set_key").alias("class"), "node")

@@ -38,6 +38,27 @@ def test_chains_and_large_groups(make_docs):
     assert same(make_docs(*texts), [{"doc_id": i, "text": t} for i, t in enumerate(texts)])
 
 
+def test_pairs_inside_a_family_below_the_threshold(make_docs, monkeypatch):
+    """All near 0.70 to each other, so buckets are full of strangers; planted pairs are near 0.76."""
+    monkeypatch.setattr(minhash, "_TILE_ROWS", 48, raising=False)  # so that buckets have several tiles
+    rng = random.Random(8)
+    base, texts = [f"b{i}" for i in range(800)], []
+
+    def changed(places):
+        return " ".join(places.get(i, w) for i, w in enumerate(base))
+
+    draw = lambda n: {i: f"x{rng.randrange(10**9)}" for i in rng.sample(range(800), n)}
+    for k in range(160):
+        places = draw(15)
+        texts.append(changed(places))
+        if k % 2 == 0:
+            texts.append(changed(dict(rng.sample(sorted(places.items()), 8)) | draw(7)))
+    rng.shuffle(texts)
+    docs = [{"doc_id": i, "text": t} for i, t in enumerate(texts)]
+    assert sum(not kept for *_, kept in brute.near(docs)) > 50
+    assert same(make_docs(*texts), docs)
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_nulls_short_and_repeated(make_docs, extra):
     texts = [None, "", " ", "One two", "one  TWO", "one two three", "a b c d e", "a b c d e", "A B C D E f", "x " * 40_000, "x " * 40_000]
