@@ -10,7 +10,7 @@ With runs up to 2 and 3 words and pairs up to 3 and 6 words that is 2 + 2 + 3 +
 window of 35 words has 15 words within, and 15 ≥ 2·6 − 1 words always hold a whole symbol. Each window takes its longest
 symbol there, with the smallest name, as its anchor. Equal windows have equal anchors at equal distance.
 
-Windows are sent by their anchor's name, a block of consecutive windows at a time with a 40-bit hash of each window's words; windows
+Windows are sent by their anchor's name, a block of consecutive windows at a time with a 64-bit hash of each window's words; windows
 with equal anchor, distance and hash are one passage. Blocks that are equal within a batch of documents
 travel as one row with the places where they start, so a passage in a third of all documents sends one row per
 batch. Repeated windows go back to their documents, where the words they cover are removed.
@@ -36,7 +36,7 @@ RUN_WORDS = (2, 3)  # longest run of a round
 PAIR_WORDS = (3, 6)  # longest pair of a round
 _LONGEST = PAIR_WORDS[-1]
 CUT_BYTES = 16 << 20  # of text that a task cuts into windows at once
-_FP_BYTES = 5
+_FP_BYTES = 8
 
 
 def _edge() -> int:
@@ -189,8 +189,12 @@ def _repeated(blocks: pa.Table) -> pa.RecordBatch:
     inside = np.arange(len(prints)) - np.repeat(heads, counts)
     distance = np.repeat(blocks["first"].to_numpy().astype(np.int64), counts) - inside
     name = np.repeat(blocks["name"].to_numpy().view(np.uint64), counts)
-    key = mixed((prints | (distance.astype(np.uint64) << np.uint64(8 * _FP_BYTES))) + mixed(name))
-    _, group = np.unique(key, return_inverse=True)
+    anchor = mixed(name + distance.astype(np.uint64))
+    order = np.lexsort((prints, anchor))
+    new = np.ones(len(order), bool)
+    new[1:] = (prints[order[1:]] != prints[order[:-1]]) | (anchor[order[1:]] != anchor[order[:-1]])
+    group = np.zeros(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
     seen = np.bincount(group, np.repeat(n_places, counts))[group] > 1
     bits = np.add.reduceat(seen.astype(np.int64) << inside, heads) if len(heads) else np.zeros(0, np.int64)
     spread_bits = np.repeat(bits, n_places)

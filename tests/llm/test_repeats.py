@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import tuples
 
@@ -70,3 +71,16 @@ def test_equal_stretches_get_equal_symbols_inside():
             inside = (start >= low) & (start + size <= high)
             found.append([(int(n), int(a), int(s)) for n, a, s in zip(names[inside], start[inside], size[inside])])
         assert found[0] == found[1] and found[0]
+
+
+def test_windows_that_share_40_bits_of_their_hash_stay_apart(monkeypatch):
+    real = repeats._window_hashes
+    monkeypatch.setattr(repeats, "_window_hashes", lambda hashes, window: real(hashes, window) & np.uint64(0xFFFFFF))
+    inner = [f"i{k}" for k in range(15)]
+    texts = [" ".join([f"l{d}-{k}" for k in range(10)] + inner + [f"r{d}-{k}" for k in range(10)]) for d in range(2)]
+    found = []
+    for pair in (texts, texts[:1] * 2):
+        blocks = [repeats._blocks(np.array([i]), pa.array([t], pa.large_string()), 35) for i, t in enumerate(pair)]
+        assert len({b.column("name")[0].as_py() for b in blocks}) == 1
+        found.append(repeats._repeated(pa.Table.from_batches(blocks)).num_rows)
+    assert found == [0, 2]
