@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadbook.llm import decontaminate, exact, extract, kneser_ney, langid, minhash, mixing, quality, repeats, tokens
+from roadbook.llm import (
+    audit,
+    decontaminate,
+    exact,
+    extract,
+    kneser_ney,
+    langid,
+    minhash,
+    mixing,
+    packing,
+    quality,
+    repeats,
+    resample,
+    tokens,
+)
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -16,6 +30,7 @@ WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
 MAX_EPOCHS = 2
 MIX_SEED = 7
+PACK_TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +112,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), PACK_TOKENIZER)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _SQL_OP2 = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -142,6 +170,49 @@ SELECT d.doc_id, d.size, t.source_size, t.target,
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 """
 
+# from the definition, order by order: a document falls to the first filter of the order that it fails
+_SQL_OP11 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, w.doc_id, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         [len(words) < 50,
+          100 * len(list_distinct(words)) < 65 * len(words),
+          100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text),
+          regexp_matches(text, '[#$%&*|]'),
+          coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text),
+                   w.doc_id IS NULL AND min(w.doc_id) OVER (PARTITION BY text) IS NOT NULL)] AS fails
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+o(letters) AS (
+  SELECT '' UNION ALL
+  SELECT letters || x FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS u(x) WHERE NOT contains(letters, x)),
+orders AS (
+  SELECT letters AS filter_order, step::INTEGER AS step, [ascii(letters[i]) - 64 for i in range(1, 6)] AS turn
+  FROM o, range(1, 6) AS r(step) WHERE length(letters) = 5),
+steps AS (
+  SELECT part, filter_order, step, turn[step] AS f, n, good, toxic, fails[turn[step]] AS here,
+         len([i for i in turn[1:step - 1] if fails[i]]) > 0 AS gone, len([x for x in fails if x]) AS failed
+  FROM m, orders),
+summed AS (
+  SELECT part, filter_order, step, f,
+         sum(CASE WHEN NOT gone AND NOT here THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN NOT gone AND here THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN gone AND here THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN here AND failed = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN NOT gone AND here THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN NOT gone AND here THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM steps GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM summed
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -155,8 +226,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": op8_minhash,
         "op9_tokens": op9_tokens,
         "op10_mixing": op10_mixing,
+        "op11_audit": op11_audit,
+        "op12_packing": op12_packing,
+        "op13_resample": op13_resample,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact": _SQL_OP2, "op10_mixing": _SQL_OP10}
+    return {"op2_exact": _SQL_OP2, "op10_mixing": _SQL_OP10, "op11_audit": _SQL_OP11}

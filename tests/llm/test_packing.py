@@ -1,0 +1,125 @@
+from __future__ import annotations
+
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from roadbook.llm import packing, queries
+
+NAME = "byte_bpe_50k.json"
+
+
+@pytest.fixture(scope="module")
+def coder():
+    return packing.load(packing.tokenizer_file(NAME))
+
+
+def whole(coder, text):
+    return [*coder.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+def check(pieces, docs, coder, length=2048):
+    """Every id once and in order, sequences gapless and no longer than allowed; gives tokens and padding."""
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        by_doc[p.doc_id].append(p)
+        by_sequence[p.sequence_id].append(p)
+    want = defaultdict(list)
+    for key, text in docs:
+        want[key].append(whole(coder, text))
+    for key, texts in want.items():
+        parts = sorted(by_doc.pop(key), key=lambda p: (p.doc_tokens, p.sequence_id, p.offset))
+        if len(texts) == 1:
+            assert [p.start for p in parts] == np.cumsum([0, *(p.length for p in parts)])[:-1].tolist()
+        got = [i for p in parts for i in np.frombuffer(p.ids, "<u4").tolist()]
+        assert got == [i for t in sorted(texts, key=len) for i in t]
+        assert all(p.length == len(p.ids) // 4 > 0 and p.doc_tokens in map(len, texts) for p in parts)
+    assert not by_doc
+    padding = tokens = 0
+    for parts in by_sequence.values():
+        parts.sort(key=lambda p: p.offset)
+        ends = np.cumsum([0, *(p.length for p in parts)]).tolist()
+        assert [p.offset for p in parts] == ends[:-1] and ends[-1] <= length
+        tokens += ends[-1]
+        padding += 0 if ends[-1] & (ends[-1] - 1) == 0 else length - ends[-1]
+    return tokens, padding
+
+
+def test_given_table(given, coder):
+    df, docs = given("documents", "/root/testdata/sf0.01")
+    tokens, padding = check(packing.pack(df, NAME).collect(), [(d["doc_id"], d["text"]) for d in docs], coder)
+    assert padding < 0.01 * tokens
+
+
+def test_query_digests(spark, given):
+    _, docs = given("documents")
+    rows = queries.op12_packing(spark, "/root/testdata/sf0.001").collect()
+    pieces = packing.pack(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), NAME).collect()
+    key = lambda r: (r.sequence_id, r.offset)
+    assert {key(r): r.ids_crc32 for r in rows} == {key(p): zlib.crc32(p.ids) for p in pieces}
+    assert {r.doc_id for r in rows} == {d["doc_id"] for d in docs}
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_odd_rows(make_docs, coder, extra):
+    texts = [
+        (1, None),
+        (2, ""),
+        (3, "One. Two!  Three?\n\nFour"),
+        (4, "no sentence ends " * 3000),
+        (5, "x" * 30_000),
+        (None, "a null id."),
+        (6, "twice."),
+        (6, "twice."),
+        (7, "a <|endoftext|> b <|endoftext|><|endoftext|>  　 c\x1c d e   f"),
+    ]
+    docs = make_docs(*[(k, t, "en", "s") for k, t in texts], extra=extra).coalesce(1)
+    check(packing.pack(docs, NAME).collect(), texts, coder)
+    assert packing.pack(docs.where("false"), NAME).count() == 0
+
+
+def test_small_blocks(given, coder):
+    df, docs = given("documents")
+    some = [(d["doc_id"], d["text"]) for d in docs]
+    check(packing.pack(df, NAME, length=256, block_tokens=3000).collect(), some, coder, 256)
+
+
+def cost_of(at, penalty, cuts, length):
+    total = 0
+    for a, b in zip(cuts, cuts[1:]):
+        n = at[b] - at[a]
+        assert 0 < n <= length
+        total += penalty[b] + packing.SEQUENCE_COST + (0 if n & (n - 1) == 0 else length - n)
+    return total
+
+
+def test_cuts_cost_what_trying_all_would():
+    rng = random.Random(5)
+    for _ in range(300):
+        length = rng.choice([8, 16, 64])
+        at = [0]
+        for _ in range(rng.randrange(1, 60)):
+            at.append(at[-1] + rng.randrange(1, rng.choice([3, length // 2, length + 1])))
+        penalty = [0, *(rng.choice([0, 3, 24, 128]) for _ in at[2:]), 0]
+        best = [0] + [None] * (len(at) - 1)
+        for j in range(1, len(at)):
+            options = [
+                best[i] + packing.SEQUENCE_COST + penalty[j] + (0 if (n := at[j] - at[i]) & (n - 1) == 0 else length - n)
+                for i in range(j)
+                if at[j] - at[i] <= length
+            ]
+            best[j] = min(options)
+        cuts = packing.best_cuts(np.array(at), np.array(penalty), length)
+        assert cuts[0] == 0 and cuts[-1] == len(at) - 1
+        assert cost_of(at, penalty, cuts, length) == best[-1]
+
+
+def test_cuts_fall_between_sentences_where_they_can(coder):
+    ends, starts = (np.frombuffer(b, np.uint8) for b in packing.boundary_marks(packing.tokenizer_file(NAME)))
+    ids = np.array(coder.encode("One ends. Two ends!\nThree (ends?) Four", add_special_tokens=False).ids)
+    cuts = packing.sentence_cuts(ids, ends, starts)
+    parts = [coder.decode(p.tolist()) for p in np.split(ids, cuts)]
+    assert parts == ["One ends.", " Two ends!", "\nThree (ends?)", " Four"]

@@ -1,0 +1,105 @@
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import pytest
+
+from roadbook.llm import resample
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def features(text, max_n=1):
+    lowered = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    words = WORD.findall(lowered)
+    return len(words), [" ".join(words[i : i + n]) for n in range(1, max_n + 1) for i in range(len(words) - n + 1)]
+
+
+def brute(docs, target, max_n=1, percent=10):
+    def bucket(f):
+        return zlib.crc32(f.encode()) % 10000
+
+    have, want = (Counter(bucket(f) for t in texts for f in features(t, max_n)[1]) for texts in ([d[1] for d in docs], target))
+    s_all, t_all = sum(have.values()), sum(want.values())
+    gain = [math.floor(1000 * math.log((want[b] + 1) * (s_all + 10000) / ((have[b] + 1) * (t_all + 10000)))) for b in range(10000)]
+    rows = []
+    for key, text in docs:
+        n, found = features(text, max_n)
+        weight = sum(gain[bucket(f)] for f in found)
+        h = int(hashlib.sha256(f"2024:{'' if key is None else key}".encode()).hexdigest()[:8], 16)
+        rows.append([key, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, n])
+    able = sorted((r for r in rows if r[5] >= 20), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for rank, r in enumerate(able[: percent * len(able) // 100], 1):
+        r[4] = rank
+    return sorted((tuple(r[:5]) for r in rows), key=repr)
+
+
+def found(df):
+    assert df.columns == ["doc_id", "n_features", "weight", "score", "rank"]
+    assert {t for c, t in df.dtypes} == {"bigint"}
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("max_n", [1, 3])
+def test_given_tables(given, max_n, monkeypatch):
+    docs, rows = given("documents")
+    target, items = given("benchmark")
+    monkeypatch.setattr(resample, "PIECE_BYTES", 5000)
+    got = resample.resample(docs, target, max_n=max_n)
+    assert found(got) == brute([(r["doc_id"], r["text"]) for r in rows], [r["text"] for r in items], max_n)
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_odd_rows(make_docs, extra):
+    texts = [
+        (1, None),
+        (2, ""),
+        (3, "One two_three,four É é 日本 x9"),
+        (4, "A b " * 30_000),
+        (None, "word " * 25),
+        (None, "word " * 25),
+        *[(10 + i, f"some words of text {i} " * 6) for i in range(40)],
+        (60, "tie " * 20),
+        (60, "tie " * 20),
+        (61, "\x00\x7f[]`{}~"),
+    ]
+    docs = make_docs(*[(k, t, "en", "s") for k, t in texts], extra=extra)
+    target = make_docs("some words", None, "", "tie É")
+    got = found(resample.resample(docs, target, draw_percent=50))
+    want = brute(texts, ["some words", None, "", "tie É"], percent=50)
+    assert got == want
+    assert any(r[4] for r in got)
+
+
+def test_nothing_to_draw(make_docs):
+    none = make_docs("a").where("false")
+    assert found(resample.resample(none, make_docs("a"))) == []
+    few = found(resample.resample(make_docs("a b c"), none))
+    assert [r[4] for r in few] == [None]
+
+
+def test_table_is_what_the_word_pattern_says():
+    for b in range(128):
+        kept = resample.TABLE[b : b + 1] != b" "
+        assert kept == bool(re.fullmatch(r"[0-9A-Za-z]", chr(b)))
+        assert not kept or resample.TABLE[b] == ord(chr(b).lower())
+    assert resample.TABLE[128:] == bytes(range(128, 256))
+
+
+def test_memo_is_emptied_at_its_bound():
+    kept = resample.Kept(len, most=1000)
+    for i in range(500):
+        assert kept[b"x" * (i % 50 + 1)] == i % 50 + 1
+    assert len(kept) <= 11
+
+
+def test_ranks_over_many_ranges(spark):
+    rows = spark.range(0, 5000, 1, 7).selectExpr("id % 3 AS score", "id")
+    numbered = resample.numbered(rows, rows.score.desc(), rows.id.asc())
+    got = [r["id"] for r in numbered.orderBy("rank").collect()]
+    assert got == sorted(range(5000), key=lambda i: (-(i % 3), i))
+    assert [r["rank"] for r in numbered.orderBy("rank").select("rank").collect()] == list(range(1, 5001))
