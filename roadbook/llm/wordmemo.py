@@ -1,7 +1,7 @@
 """Texts encoded word by word with a bounded memo, for tokenizers that cut at white space first.
 
 A text is cut before a blank, tab or line break that follows a character which is white space by
-no definition. Tokenizers whose pre-tokenizer starts a new piece there, and whose normaliser and
+no definition, and between a letter of an alphabet based on Latin and a mark of punctuation. Tokenizers whose pre-tokenizer starts a new piece there, and whose normaliser and
 special strings do not reach across, give each cut piece the tokens it has inside the whole text;
 pieces come back often, so a piece is encoded once and then looked up. The memo only saves time:
 it is emptied when it reaches a bound in bytes.
@@ -20,11 +20,14 @@ DOUBTFUL = (
 )
 
 _DOUBT = re.compile(f"[{DOUBTFUL}]")
-_PIECES = re.compile(f"[{PLAIN}]*[^{PLAIN}]+|[{PLAIN}]+")
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+MARKS = ".,;:!?"
+
+_PIECES = re.compile(f"[{PLAIN}]*[{LETTERS}]++(?![^{PLAIN}{MARKS}])|[{PLAIN}]*[^{PLAIN}]+|[{PLAIN}]+")
 _CUT = re.compile(f"(?<=[^{PLAIN}{DOUBTFUL}])(?=[{PLAIN}])")
 
 SLICE_CHARS = 1 << 20
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 96 << 20
 
 
 def slices(text: str, most: int = SLICE_CHARS) -> Iterator[str]:
@@ -46,22 +49,55 @@ def word_pieces(text: str) -> list[str]:
     return _PIECES.findall(text)
 
 
-class Memo:
-    """What ``encode`` gives for pieces of text, encoded in batches when first seen."""
-
-    def __init__(self, encode: Callable[[list[str]], Iterable], cost: Callable[[object], int], most: int = MEMO_BYTES):
-        self.encode, self.cost, self.most = encode, cost, most
-        self.known: dict[str, object] = {}
-        self.held = 0
-
-    def look_up(self, pieces: list[str]) -> Iterator:
-        """The value of each piece in order."""
-        new = list(set(pieces).difference(self.known))
-        if new:
-            if self.held > self.most:
-                self.known.clear()
-                self.held, new = 0, list(set(pieces))
-            for piece, value in zip(new, self.encode(new)):
-                self.known[piece] = value
-                self.held += 4 * len(piece) + self.cost(value) + 160
-        return map(self.known.__getitem__, pieces)
+def cuts_at_blanks(parts: dict) -> bool:
+    """Whether a tokenizer, by its description, starts a new piece at every place where ``word_pieces`` cuts.
+
+    So do byte-level ones with the usual pattern and no normaliser, and those that split words by a pattern which leaves white
+    space out and normalise by steps that neither join nor reorder across a blank.
+    """
+    cutter = parts.get("pre_tokenizer") or {}
+    for token in parts.get("added_tokens", []):
+        if token.get("lstrip") or token.get("rstrip") or token.get("single_word") or set(token["content"]) & set(PLAIN + DOUBTFUL + MARKS):
+            return False
+    if cutter.get("type") == "ByteLevel":
+        return cutter["use_regex"] and not cutter["add_prefix_space"] and parts.get("normalizer") is None
+    steps = cutter.get("pretokenizers", [])
+    if [s["type"] for s in steps] != ["Split", "ByteLevel"] or steps[1]["use_regex"] or steps[1]["add_prefix_space"]:
+        return False
+    leaves_out = steps[0]["invert"] and steps[0]["behavior"] == "Removed" and steps[0]["pattern"].get("Regex", "").endswith(r"[^\s\p{L}\p{N}]+")
+    normaliser = parts.get("normalizer") or {"normalizers": []}
+    harmless = all(
+        n["type"] in ("NFC", "Lowercase") or (n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " ")
+        for n in normaliser.get("normalizers", [normaliser])
+    )
+    return leaves_out and harmless
+
+
+class Memo(dict):
+    """What an encoder gives for pieces of text; emptied when it reaches a bound in bytes."""
+
+    def __init__(self, cost: Callable[[object], int], most: int = MEMO_BYTES):
+        super().__init__()
+        self.cost, self.most, self.held = cost, most, 0
+
+    def keep(self, piece: str, value: object) -> None:
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+        self.held += 4 * len(piece) + self.cost(value) + 160
+        self[piece] = value
+
+    def values(self, texts: list[list[str]], encode: Callable[[list[str]], Iterable]) -> list[list]:
+        """The values of each text's pieces in order; new pieces of all texts are given to ``encode`` together."""
+        found = [list(map(self.get, pieces)) for pieces in texts]
+        new = {p for pieces, values in zip(texts, found) if None in values for p, v in zip(pieces, values) if v is None}
+        if not new:
+            return found
+        new = list(new)
+        fresh = dict(zip(new, encode(new)))
+        for pieces, values in zip(texts, found):
+            if None in values:
+                values[:] = [fresh[p] if v is None else v for p, v in zip(pieces, values)]
+        for piece, value in fresh.items():
+            self.keep(piece, value)
+        return found

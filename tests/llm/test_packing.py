@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -87,6 +88,26 @@ def test_small_blocks(given, coder):
     check(packing.pack(df, NAME, length=256, block_tokens=3000).collect(), some, coder, 256)
 
 
+def test_ids_are_the_librarys(coder):
+    from test_wordmemo import odd_text
+
+    encoder, rng = packing.Encoder(packing.tokenizer_file(NAME)), random.Random(4)
+    assert encoder.merge is not None and encoder.cuts
+    for _ in range(500):
+        texts = [odd_text(rng) for _ in range(10)]
+        for text, ids in zip(texts, encoder.ids(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == coder.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_merges_out_of_order_are_left_to_the_library(coder):
+    parts = json.loads(coder.to_str())
+    assert packing.same_merges(parts)[0] is not None
+    merges = parts["model"]["merges"]
+    changed = parts | {"model": parts["model"] | {"merges": [merges[1], merges[0], *merges[2:]]}}
+    assert packing.same_merges(changed)[0] is None
+    assert packing.same_merges(json.loads(packing.load(packing.tokenizer_file("word_bpe_49k.json")).to_str()))[0] is None
+
+
 def cost_of(at, penalty, cuts, length):
     total = 0
     for a, b in zip(cuts, cuts[1:]):
