@@ -1,10 +1,8 @@
 """Merging the many small files of batch logs, beside running streams and readers.
 
-A log keeps its rows by date, run and batch. Merging writes all rows of a date as one version of that date in a folder
-beside the log and names it in one step; the name says up to which run and batch it goes. Readers take the merged
-version of a date and, from the log, what came later, so a row is seen once at any moment, also while a
-merge runs or after one that broke off. Files of the log that a merge has covered are removed by a later call, when no
-reader can be at them any more.
+All rows of a date become one version of that date's partition in a folder beside the log, named in one step;
+``sources/logs.py`` says how the two are read together. Files of the log that a merge has covered are removed by a later
+call, when no reader can be at them any more. A merge that broke off leaves nothing that is read.
 """
 
 from __future__ import annotations
@@ -17,50 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadbook.sinks import files, tables
+from roadbook.sources import logs
 
-_NAME = re.compile(r"v-(r[0-9a-f]+)-(\d+)$")
+_DATE = re.compile(r"\d{4}-\d\d-\d\d$")
 
 
-def _merged_folder(path: str) -> str:
-    return f"{path.rstrip('/')}_merged"
-
-
-def _dates(spark: SparkSession, path: str, column: str) -> dict[str, str]:
-    """Dates that have a folder, with the folder's path."""
-    found = {}
-    for name in files.children(spark, path):
-        if name.startswith(f"{column}=") and re.fullmatch(r"\d{4}-\d\d-\d\d", name.split("=")[1]):
-            found[name.split("=")[1]] = f"{path}/{name}"
-    return found
-
-
-def _newest(spark: SparkSession, folder: str) -> tuple[str, float] | None:
-    versions = {n: age for n, age in files.children(spark, folder).items() if _NAME.match(n)}
-    return (max(versions), versions[max(versions)]) if versions else None
-
-
-def _place(run: Column, batch_id: Column) -> Column:
-    """Run and batch as text that orders as they do, like a version's name."""
-    return F.concat(F.lit("v-"), run, F.lit("-"), F.lpad(batch_id.cast("string"), 15, "0"))
-
-
-def read_log(spark: SparkSession, path: str, schema: T.StructType, date_column: str) -> DataFrame:
-    """All rows of a log with ``run``, ``batch_id`` and its date, merged or not."""
-    fields = [*schema.fields, T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType())]
-    kinds = {date_column: T.DateType(), "run": T.StringType(), "batch_id": T.LongType()}
-    log = tables.read_table(spark, path, schema, **kinds)
-    merged = {}
-    for date, folder in _dates(spark, _merged_folder(path), date_column).items():
-        if newest := _newest(spark, folder):
-            merged[date] = (newest[0], f"{folder}/{newest[0]}")
-    if not merged:
-        return log
-    until = F.create_map(*[F.lit(x) for date, (name, _) in merged.items() for x in (date, name)])
-    covered = _place(F.col("run"), F.col("batch_id")) <= until[F.col(date_column).cast("string")]
-    later = log.where(~F.coalesce(covered, F.lit(False)))
-    stored = T.StructType([*fields, T.StructField("log_date", T.DateType())])
-    rows = spark.read.schema(stored).parquet(*[place for _, place in merged.values()]).withColumnRenamed("log_date", date_column)
-    return later.unionByName(rows)
+def _until(run: str, batch_id: int) -> Column:
+    """Rows of the log up to a run and batch; runs order by name."""
+    return (F.col("run") < F.lit(run)) | ((F.col("run") == F.lit(run)) & (F.col("batch_id") <= F.lit(batch_id)))
 
 
 def merge_dates(
@@ -77,35 +39,26 @@ def merge_dates(
     Safe to repeat. A merge takes the batches that are complete when it starts; later ones stay in the log.
     """
     done = []
-    for date, folder in sorted(_dates(spark, path, date_column).items()):
-        if date >= before.isoformat():
+    for date, name in sorted(logs.dates(spark, path, date_column).items()):
+        if not _DATE.match(date) or date >= before.isoformat():
             continue
-        batches = _batches(spark, folder)
-        target = f"{_merged_folder(path)}/{date_column}={date}"
-        newest = _newest(spark, target)
-        last = max(batches, default=None)
+        found = logs.batches(spark, f"{path}/{name}")
+        target = f"{logs.merged_folder(path)}/{name}"
+        newest = logs.newest_version(spark, target)
+        last = max(found, default=None)
         if last is not None and (newest is None or last > newest[0]):
-            run, number = _NAME.match(last).groups()
-            day = F.col(date_column) == F.lit(dt.date.fromisoformat(date))
-            rows = read_log(spark, path, schema, date_column).where(day & (_place(F.col("run"), F.col("batch_id")) <= F.lit(last)))
-            laid_out = rows.withColumnRenamed(date_column, "log_date").hint("rebalance")
-            laid_out = laid_out.sortWithinPartitions(*order) if order else laid_out
-            tables.replace_version(laid_out, target, int(number), run, keep_seconds)
+            run, number = last.removeprefix("v-").rsplit("-", 1)
+            rows = logs.read_log(spark, path, schema, date_column, dt.date.fromisoformat(date))
+            laid_out = _laid_out(rows.where(_until(run, int(number))).drop(date_column), order)
+            tables.replace_version(laid_out, target, int(number), run, keep_seconds, f"{logs.UPTO}=")
             done.append(date)
         elif newest is not None and newest[1] > keep_seconds:
-            for name, place in batches.items():
-                if name <= newest[0]:
-                    files.remove(spark, place)
+            for batch, folder in found.items():
+                if batch <= newest[0]:
+                    files.remove(spark, folder)
     return done
 
 
-def _batches(spark: SparkSession, folder: str) -> dict[str, str]:
-    """Batch folders of a date under their ordering names."""
-    found = {}
-    for run in files.children(spark, folder):
-        if run.startswith("run="):
-            for batch in files.children(spark, f"{folder}/{run}"):
-                if batch.startswith("batch_id="):
-                    name = f"v-{run[4:]}-{int(batch[9:]):015d}"
-                    found[name] = f"{folder}/{run}/{batch}"
-    return found
+def _laid_out(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    sized = rows.hint("rebalance")
+    return sized.sortWithinPartitions(*order) if order else sized

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadbook.contract import SILVER
 from roadbook.operators import health, quality, serving
 from roadbook.plans import daily
-from roadbook.plans.live import trigger_seconds
-from roadbook.sinks import tables
+from roadbook.functions.clock import length_seconds
+from roadbook.sinks import compact, tables
 from roadbook.sinks.alerts import alert_messages, publish_alerts, with_defaults
 from roadbook.sources import expenses as source
 from roadbook.sources.telemetry import numbered, on_day, silver_table
@@ -136,10 +138,13 @@ def test_one_wrong_time_does_not_enlarge_the_health_grid(spark):
     schema = "vehicle_id string, driver_id string, status string, lat double, lon double, speed double, fare double, event_ts timestamp"
     times = [dt.datetime(2024, 1, 1, 5), dt.datetime(2024, 1, 2, 5), dt.datetime(9999, 1, 1), None]
     feed = spark.createDataFrame([("V", "D", "idle", 1.0, 1.0, 0.0, 0.0, t) for t in times], schema)
-    days = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
-    grid = health.batch_health(feed, 3600, *days, 3)
+    grid = health.batch_health(feed, 3600, 3)
     assert grid.count() == 48 and grid.agg(F.sum("raw_rows")).first()[0] == 2
-    assert health.outside(feed, *days).count() == 2
+    assert health.outside(feed).count() == 2
+    assert health.outside_counts(feed).first().asDict() == {"raw_rows": 4, "undated_rows": 1, "early_rows": 0, "late_rows": 1}
+    later = feed.withColumn("event_ts", F.expr("event_ts + INTERVAL 3 MONTHS")).where("event_ts < '9000-01-01'")
+    assert health.batch_health(later, 3600, 3).agg(F.sum("raw_rows"), F.min("interval_id") * 3600).first()[:] == (2, 1711929600)
+    assert health.batch_health(feed.where("event_ts IS NULL"), 3600, 3).count() == 0
 
 
 def test_date_filter_reaches_the_scan(spark, tmp_path):
@@ -177,6 +182,37 @@ def test_upsert_and_version_reading(spark, tmp_path):
     assert [p.name for p in (tmp_path / "t").iterdir() if p.is_dir()] == ["v-r1-000000000000001"]
 
 
+def test_a_batch_writes_only_the_buckets_of_its_keys(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.LongType())])
+    path = str(tmp_path / "t")
+
+    def batch(number, rows, run=tables.FIRST_RUN):
+        new = spark.createDataFrame(rows, schema)
+        touched = tables.touched_buckets(new, "k")
+        before = tables.read_buckets(spark, path, schema, (run, number), touched)
+        tables.replace_buckets(tables.upsert(before, new, ["k"]), path, "k", number, run)
+        return touched
+
+    def table():
+        return {r.k: r.v for r in tables.read_buckets(spark, path, schema).collect()}
+
+    assert table() == {} and tables.read_buckets(spark, path, schema).schema == schema
+    every = [(f"k{i}", 0) for i in range(500)]
+    assert len(batch(0, every)) == tables.BUCKETS
+    for _ in range(2):  # a batch that is replayed changes nothing more
+        touched = batch(1, [("k7", 1), ("k8", 1)])
+        assert len(touched) == 2 and table() == {**dict(every), "k7": 1, "k8": 1}
+    written = {p.parent.parent.parent.name for p in (tmp_path / "t").glob("bucket=*/run=*/batch_id=1/*.parquet")}
+    assert written == {f"bucket={b}" for b in touched}
+    batch(2, [("new", 2), ("k7", 2)])
+    batch(0, [("k9", 5)], run="r1")
+    assert table() == {**dict(every), "k7": 2, "k8": 1, "new": 2, "k9": 5}
+    old = tables.read_buckets(spark, path, schema)
+    tables.replace_buckets(old.where("k = 'k9'"), path, "k", 1, "r1", keep_seconds=-1.0)
+    assert not list((tmp_path / "t").glob(f"bucket={touched[0]}/run=*/batch_id=0/*.parquet"))
+    assert table()["k7"] == 2
+
+
 def test_batch_log_replay_and_current_view(spark, tmp_path):
     path = str(tmp_path / "log")
     for batch_id, rows in ((0, [("a", 1), ("b", 1)]), (1, [("a", 2)]), (1, [("a", 3)])):
@@ -236,6 +272,74 @@ def test_daily_job_from_the_command_line(spark, tmp_path, capsys):
     assert float(spark.read.parquet(out).first().profit) == 149.75
 
 
+def stored_silver(spark):
+    columns = {c: F.lit(None).cast("string") for c in ("driver_id", "status", "zone_id", "time_of_day")}
+    columns |= {c: F.lit(0.0) for c in ("lat", "lon", "speed")} | {"event_id": F.lit(1).cast("bigint")}
+    return silver(spark).withColumns(columns)
+
+
+def test_daily_job_is_the_same_before_between_and_after_merges(spark, tmp_path):
+    root, table = tmp_path / "in", str(tmp_path / "silver")
+    root.mkdir()
+    expense_folder(root, f"{HEADER}\nV001,100.25,50,10,yes\nV009,1,0,1,no\n")
+    expense_folder(root, f"{HEADER}\nV001,1,0,1,no\n", "expenses_20260928.csv")
+    events = stored_silver(spark)
+    first, later = events.where("fare < 200"), events.where("fare >= 200")
+
+    def figures():
+        got = {}
+        for day in (DAY, DAY + dt.timedelta(days=1)):
+            out = str(tmp_path / f"out-{uuid.uuid4().hex}")
+            written = daily.run_day(spark, silver_table(spark, table, day), str(root), out, day)
+            got |= {(day, r.vehicle_id): (r.trip_count, float(r.earnings), float(r.profit)) for r in written.collect()}
+        return got
+
+    def merge(keep_seconds=-1.0):
+        return compact.merge_dates(spark, table, SILVER, "event_date", dt.date(2026, 10, 1), ("vehicle_id",), keep_seconds)
+
+    tables.append_silver(first, table, 0)
+    tables.append_silver(later, table, 1)
+    want = {(DAY, "V001"): (1, 300.0, 149.75), (DAY, "V009"): (1, 10.0, 9.0), (dt.date(2026, 9, 28), "V001"): (1, 50.0, 49.0)}
+    assert figures() == want
+    assert merge() == ["2026-09-27", "2026-09-28"]
+    assert figures() == want  # both sides still hold the rows
+    tables.append_silver(later.withColumns({"trip_id": F.lit("T9"), "fare": F.lit(7.0)}), table, 2)
+    want[DAY, "V001"] = (2, 307.0, 156.75)
+    assert figures() == want  # one batch came after the merge
+    assert merge() == ["2026-09-27"]
+    assert merge() == [] and not list((tmp_path / "silver").glob("**/*.parquet"))
+    assert figures() == want  # only merged rows are left
+    assert silver_table(spark, table).count() == 5
+
+
+def test_a_day_of_merged_silver_reads_that_day_alone(spark, tmp_path):
+    table = str(tmp_path / "silver")
+    for batch in (0, 1):
+        tables.append_silver(stored_silver(spark), table, batch)
+    compact.merge_dates(spark, table, SILVER, "event_date", DAY + dt.timedelta(days=1))
+    compact.merge_dates(spark, table, SILVER, "event_date", dt.date(2026, 10, 1))
+    tables.append_silver(stored_silver(spark), table, 2)
+    files = silver_table(spark, table, DAY).inputFiles()
+    assert len(files) <= 3 and all("event_date=2026-09-27" in f for f in files)
+    every = silver_table(spark, table)
+    assert every.count() == 12
+    plan = every.where(F.col("event_date") == DAY)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scans) == 2 and all("PartitionFilters: [isnotnull(event_date" in line for line in scans)
+
+
+def test_costs_without_any_telemetry_stop_the_daily_job(spark, tmp_path):
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    root.mkdir()
+    expense_folder(root, f"{HEADER}\nV001,5,50,10,yes\n", "expenses_20261001.csv")
+    day = dt.date(2026, 10, 1)
+    with pytest.raises(ValueError, match="no event of that date"):
+        daily.run_day(spark, silver(spark), str(root), out, day)
+    assert not (tmp_path / "out").exists()
+    row = daily.run_day(spark, silver(spark), str(root), out, day, events_required=False).first()
+    assert (row.trip_count, float(row.profit)) == (0, -55.0)
+
+
 def test_kafka_messages_get_an_id_that_rises_along_a_partition(spark):
     rows = [(bytearray(b"x"), dt.datetime(2024, 1, 1), p, o) for p, o in ((0, 5), (1, 5), (1, 6))]
     frame = spark.createDataFrame(rows, "value binary, timestamp timestamp, partition int, offset long")
@@ -244,4 +348,4 @@ def test_kafka_messages_get_an_id_that_rises_along_a_partition(spark):
 
 
 def test_trigger_text():
-    assert [trigger_seconds(t) for t in ("10 seconds", "1 minute", "2 hours")] == [10, 60, 7200]
+    assert [length_seconds(t) for t in ("10 seconds", "1 minute", "2 hours")] == [10, 60, 7200]
