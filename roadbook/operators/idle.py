@@ -1,180 +1,64 @@
 """Idle streaks per vehicle and the alerts they raise.
 
-A streak is a run of consecutive ``idle`` events of one vehicle in event order. Most
-vehicles are ordered whole, in one window partition each. Ordering a vehicle that holds a
-large share of all rows in one task would not work, so a heavy vehicle (more than
-``heavy_rows`` rows) is ordered per time chunk instead. A vehicle's chunks are as long as its densest
-minute allows for ``chunk_rows`` rows, so chunks are bounded by rows and not by time. Only one summary row per non-empty
-chunk is ordered for the vehicle as a whole, and what a chunk must know about the past is
-carried into it. The result is the same for every choice of the two sizes.
+A streak is a run of consecutive ``idle`` events of one vehicle in event order. Events are dealt into ranges of
+(vehicle, time), scanned range by range and put together by one row per range (``operators/segments.py``), so a
+vehicle that holds most rows lies in many ranges and no task orders more than its own. The result is the same for
+every number of ranges.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadbook.contract import IDLE, IDLE_MESSAGE, IDLE_THRESHOLD_MINUTES
 from roadbook.functions import clock
 from roadbook.operators.latest import latest_by_key, sequence
-
-CHUNK_ROWS = 1_000_000
-HEAVY_ROWS = 2_000_000
-_BROADCAST_FROM = 1_000_000
-_BEFORE_ALL_CHUNKS = -(2**62)
-
+from roadbook.operators.segments import idle_scan
+from roadbook.session import written_once
 
 def _threshold_micros(minutes: float) -> Column:
     return F.lit(int(round(minutes * clock.MICROS_PER_MINUTE))).cast("bigint")
 
 
-def _start(ts: Column, seq: Column, sent: Column) -> Column:
-    """Where a streak began, and whether its alert went out in an earlier run."""
-    return F.struct(ts.alias("ts"), seq.alias("seq"), sent.alias("sent"))
-
-
-def _heavy_vehicles(events: DataFrame, heavy_rows: int, chunk_rows: int) -> DataFrame:
-    """Vehicles with more than ``heavy_rows`` rows, at most rows / heavy_rows of them, with the length of their chunks.
-
-    With a limit of a million rows or more the list is small enough to broadcast at any
-    table size; with a smaller one Spark chooses the join by the size it finds. If the list is
-    empty, as it usually is, Spark drops the branch that would read the heavy vehicles' rows.
-    """
-    minute = F.floor(clock.micros(F.col("event_ts")) / F.lit(clock.MICROS_PER_MINUTE))
-    minutes = events.groupBy("vehicle_id", minute.alias("_minute")).agg(F.count(F.lit(1)).alias("_rows"))
-    heavy = (
-        minutes.groupBy("vehicle_id")
-        .agg(F.sum("_rows").alias("_rows"), F.max("_rows").alias("_densest"))
-        .where(F.col("_rows") > heavy_rows)
-    )
-    length = F.floor(F.lit(float(clock.MICROS_PER_MINUTE) * chunk_rows) / F.col("_densest"))
-    heavy = heavy.select("vehicle_id", F.greatest(length, F.lit(1)).alias("_length"))
-    return F.broadcast(heavy) if heavy_rows >= _BROADCAST_FROM else heavy
-
-
-def _with_chunks(events: DataFrame, heavy: DataFrame, how: str = "left") -> DataFrame:
-    """Add ``_seq`` and ``_chunk``; ``_chunk`` is null for vehicles that need no cutting."""
-    chunk = F.floor(clock.micros(F.col("event_ts")) / F.col("_length"))
-    joined = events.withColumn("_seq", sequence(events)).join(heavy, "vehicle_id", how)
-    return joined.withColumn("_chunk", chunk).drop("_length")
-
-
-def _within_chunks(chunked: DataFrame) -> DataFrame:
-    """What each row can tell from its own chunk alone."""
-    chunk = Window.partitionBy("vehicle_id", "_chunk").orderBy("event_ts", "_seq")
-    so_far = chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    here = _start(F.col("event_ts"), F.col("_seq"), F.lit(False))
-    idle = F.col("status") == F.lit(IDLE)
-    previous = F.lag("status").over(chunk)
-    return chunked.withColumns(
-        {
-            "_prev_status": previous,
-            "_prev_ts": F.lag("event_ts").over(chunk),
-            "_first": F.first(here).over(so_far),
-        }
-    ).withColumn(
-        # the last streak that began after an earlier row of this chunk
-        "_began",
-        F.last(F.when(idle & (F.col("_prev_status") != F.lit(IDLE)), here), True).over(so_far),
-    )
-
-
-def _chunk_summaries(rows: DataFrame) -> DataFrame:
-    """One row per vehicle and chunk: how it starts and ends."""
-    order = F.struct("event_ts", "_seq")
-    ends = F.max(F.struct("event_ts", "_seq", "status", "_began"))
-    return (
-        rows.groupBy("vehicle_id", "_chunk")
-        .agg(
-            F.min(order).alias("_head"),
-            ends.alias("_tail"),
-            F.max(F.col("status") != F.lit(IDLE)).alias("_moved"),
-        )
-        .select(
-            "vehicle_id",
-            "_chunk",
-            F.col("_tail.status").alias("_end_status"),
-            F.col("_tail.event_ts").alias("_end_ts"),
-            "_moved",
-            # after a move only a streak begun inside the chunk can be open at its end
-            F.when(F.col("_moved"), F.col("_tail._began"))
-            .otherwise(_start(F.col("_head.event_ts"), F.col("_head._seq"), F.lit(False)))
-            .alias("_open"),
-            F.lit(False).alias("_stored"),
-        )
-        .withColumn("_open", F.when(F.col("_end_status") == F.lit(IDLE), F.col("_open")))
-    )
-
-
-def _state_summaries(state: DataFrame) -> DataFrame:
-    """Stored vehicle states in the shape of chunk summaries that precede all chunks."""
-    idle = F.col("status") == F.lit(IDLE)
-    began = _start(F.col("idle_since"), F.lit(0).cast("bigint"), F.coalesce("idle_alert_sent", F.lit(False)))
+def _stored_rows(state: DataFrame, events: DataFrame) -> DataFrame:
+    """Stored vehicle states as rows that come before all events of their vehicle."""
+    time = events.schema["event_ts"].dataType
+    has = {"vehicle_id": F.col("vehicle_id"), "status": F.col("status"), "event_ts": F.col("last_event_ts").cast(time)}
     return state.select(
-        "vehicle_id",
-        F.lit(_BEFORE_ALL_CHUNKS).cast("bigint").alias("_chunk"),
-        F.col("status").alias("_end_status"),
-        F.col("last_event_ts").alias("_end_ts"),
-        F.lit(True).alias("_moved"),
-        F.when(idle & F.col("idle_since").isNotNull(), began).alias("_open"),
-        F.lit(True).alias("_stored"),
-    )
-
-
-def _carried(summaries: DataFrame) -> DataFrame:
-    """For each chunk, how the vehicle's previous chunk ended."""
-    by_chunk = Window.partitionBy("vehicle_id").orderBy("_chunk")
-    since_move = (
-        Window.partitionBy("vehicle_id", "_moves")
-        .orderBy("_chunk")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        summaries.withColumn("_moves", F.count_if("_moved").over(by_chunk))
-        .withColumn("_open_end", F.when(F.col("_end_status") == F.lit(IDLE), F.min("_open").over(since_move)))
-        .select(
-            "vehicle_id",
-            "_chunk",
-            F.lag("_open_end").over(by_chunk).alias("_in_start"),
-            F.lag("_end_status").over(by_chunk).alias("_in_status"),
-            F.lag("_end_ts").over(by_chunk).alias("_in_ts"),
-            F.lag("_stored").over(by_chunk).alias("_in_stored"),
-        )
+        *[has.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in events.schema.fields],
+        F.lit(0).cast("bigint").alias("_seq"),
+        F.lit(True).alias("_known"),
+        F.col("idle_since").cast(time).alias("_since"),
+        F.coalesce("idle_alert_sent", F.lit(False)).alias("_sent"),
     )
 
 
 def idle_runs(
     events: DataFrame,
     state: DataFrame | None = None,
-    chunk_rows: int = CHUNK_ROWS,
-    heavy_rows: int = HEAVY_ROWS,
+    ranges: int | None = None,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Events plus ``streak`` (start of the idle streak the row belongs to, null while
     moving), ``prev_status``, ``prev_ts`` and ``prev_stored``.
 
     ``state`` holds vehicle states of earlier runs; rows older than a vehicle's stored
-    newest event must have been removed with ``split_stale``.
+    newest event must have been removed with ``split_stale``. ``keep`` says where the scanned rows are stored, by
+    default a table in the shared folder; ``ranges`` is left to Spark unless given.
     """
-    heavy = _heavy_vehicles(events, heavy_rows, chunk_rows)
-    chunked = _with_chunks(events, heavy)
-    if state is None:
-        # a vehicle in one piece has no past to carry in
-        cut = _with_chunks(events, heavy, "inner")
-        carried = _carried(_chunk_summaries(_within_chunks(cut)))
-    else:
-        chunked = chunked.withColumn("_chunk", F.coalesce("_chunk", F.lit(0).cast("bigint")))
-        known = state.join(events.select("vehicle_id").distinct(), "vehicle_id", "left_semi")
-        carried = _carried(_chunk_summaries(_within_chunks(chunked)).unionByName(_state_summaries(known)))
-    joined = _within_chunks(chunked).join(carried, ["vehicle_id", "_chunk"], "left")
-    first_row = F.col("_prev_status").isNull()
-    streak = F.when(F.col("status") == F.lit(IDLE), F.coalesce("_began", "_in_start", "_first"))
-    return joined.select(
+    rows = events.select(
         *events.columns,
-        streak.alias("streak"),
-        F.coalesce("_prev_status", "_in_status").alias("prev_status"),
-        F.coalesce("_prev_ts", "_in_ts").alias("prev_ts"),
-        (first_row & F.coalesce("_in_stored", F.lit(False))).alias("prev_stored"),
+        F.coalesce(sequence(events), F.lit(0)).cast("bigint").alias("_seq"),
+        F.lit(False).alias("_known"),
+        F.lit(None).cast(events.schema["event_ts"].dataType).alias("_since"),
+        F.lit(False).alias("_sent"),
     )
+    if state is not None:
+        rows = rows.union(_stored_rows(state, events))
+    return idle_scan(rows, keep or (lambda df: written_once(df, "idle-scan")), ranges)
 
 
 def split_stale(events: DataFrame, state: DataFrame) -> DataFrame:
@@ -188,13 +72,14 @@ def _idle_span() -> Column:
     return clock.elapsed_micros(F.col("streak.ts"), F.col("event_ts"))
 
 
-def idle_episodes(
-    events: DataFrame, chunk_rows: int = CHUNK_ROWS, heavy_rows: int = HEAVY_ROWS
-) -> DataFrame:
+def idle_episodes(events: DataFrame, ranges: int | None = None) -> DataFrame:
     """One row per idle streak: start, last event seen in it, events and whole micros."""
+    return episodes_from_runs(idle_runs(events, None, ranges))
+
+
+def episodes_from_runs(runs: DataFrame) -> DataFrame:
     return (
-        idle_runs(events, None, chunk_rows, heavy_rows)
-        .where(F.col("streak").isNotNull())
+        runs.where(F.col("streak").isNotNull())
         .groupBy("vehicle_id", F.col("streak.ts").alias("idle_since"), F.col("streak.seq").alias("_seq"))
         .agg(F.max("event_ts").alias("last_idle_ts"), F.count(F.lit(1)).alias("event_count"))
         .select(
@@ -244,13 +129,10 @@ def idle_alert_rows(fired: DataFrame, threshold_minutes: float) -> DataFrame:
 
 
 def idle_alerts(
-    events: DataFrame,
-    threshold_minutes: float = IDLE_THRESHOLD_MINUTES,
-    chunk_rows: int = CHUNK_ROWS,
-    heavy_rows: int = HEAVY_ROWS,
+    events: DataFrame, threshold_minutes: float = IDLE_THRESHOLD_MINUTES, ranges: int | None = None
 ) -> DataFrame:
     """One alert per idle streak, raised by its first event at or past the threshold."""
-    return alerts_from_runs(idle_runs(events, None, chunk_rows, heavy_rows), threshold_minutes)
+    return alerts_from_runs(idle_runs(events, None, ranges), threshold_minutes)
 
 
 def states_from_runs(runs: DataFrame, threshold_minutes: float = IDLE_THRESHOLD_MINUTES) -> DataFrame:
@@ -271,9 +153,6 @@ def states_from_runs(runs: DataFrame, threshold_minutes: float = IDLE_THRESHOLD_
 
 
 def vehicle_states(
-    events: DataFrame,
-    threshold_minutes: float = IDLE_THRESHOLD_MINUTES,
-    chunk_rows: int = CHUNK_ROWS,
-    heavy_rows: int = HEAVY_ROWS,
+    events: DataFrame, threshold_minutes: float = IDLE_THRESHOLD_MINUTES, ranges: int | None = None
 ) -> DataFrame:
-    return states_from_runs(idle_runs(events, None, chunk_rows, heavy_rows), threshold_minutes)
+    return states_from_runs(idle_runs(events, None, ranges), threshold_minutes)

@@ -55,47 +55,94 @@ def seconds(ts):
     return int((ts - START).total_seconds())
 
 
-@pytest.mark.parametrize("seed, chunk, heavy", [(1, 3600, 2_000_000), (2, 60, 0), (3, 7, 100), (4, 1, 0)])
-def test_streaks_and_alerts_match_a_plain_walk(spark, seed, chunk, heavy):
+@pytest.mark.parametrize("seed, ranges", [(1, None), (2, 1), (3, 7), (4, 200)])
+def test_streaks_and_alerts_match_a_plain_walk(spark, seed, ranges):
     rows = random_rows(seed)
     frame = make(spark, rows)
     alerts, streaks, states = walk(rows, 300)
-    got = idle.idle_alerts(frame, 5.0, chunk, heavy).collect()
+    got = idle.idle_alerts(frame, 5.0, ranges).collect()
     assert sorted((r.vehicle_id, seconds(r.created_at)) for r in got) == sorted(a[:2] for a in alerts)
-    got = idle.idle_episodes(frame, chunk, heavy).collect()
+    got = idle.idle_episodes(frame, ranges).collect()
     assert sorted((r.vehicle_id, seconds(r.idle_since), seconds(r.last_idle_ts), r.event_count) for r in got) == sorted(streaks)
-    got = idle.vehicle_states(frame, 5.0, chunk, heavy).collect()
+    got = idle.vehicle_states(frame, 5.0, ranges).collect()
     assert {
         r.vehicle_id: (r.status, r.idle_since and seconds(r.idle_since), r.idle_alert_sent) for r in got
     } == states
 
 
-@pytest.mark.parametrize("chunk, heavy", [(3600, 2_000_000), (30, 0)])
-def test_stored_state_continues_streaks(spark, chunk, heavy):
+@pytest.mark.parametrize("ranges", [1, 7, 60])
+def test_stored_state_continues_streaks(spark, ranges):
     rows = sorted(random_rows(9), key=lambda r: r[2])
     turn = rows[200][2]
     frame = make(spark, rows).withColumn("s", F.unix_seconds("event_ts") - int(START.timestamp()))
     border = START + dt.timedelta(seconds=turn)
     first, second = frame.where(F.col("event_ts") < border).drop("s"), frame.where(F.col("event_ts") >= border).drop("s")
-    state = idle.vehicle_states(first, 5.0, chunk, heavy)
-    runs = idle.idle_runs(second, state, chunk, heavy)
-    both = idle.idle_alerts(first, 5.0, chunk, heavy).union(idle.alerts_from_runs(runs, 5.0))
+    state = idle.vehicle_states(first, 5.0, ranges)
+    runs = idle.idle_runs(second, state, ranges)
+    both = idle.idle_alerts(first, 5.0, ranges).union(idle.alerts_from_runs(runs, 5.0))
     alerts, _, states = walk(rows, 300)
     assert sorted((r.vehicle_id, seconds(r.created_at)) for r in both.collect()) == sorted(a[:2] for a in alerts)
     got = idle.states_from_runs(runs, 5.0).collect()
     assert all(states[r.vehicle_id] == (r.status, r.idle_since and seconds(r.idle_since), r.idle_alert_sent) for r in got)
 
 
-def test_a_vehicle_with_all_rows_in_one_hour_is_cut_by_rows(spark):
+@pytest.mark.parametrize("ranges", [1, 7, 200])
+def test_one_vehicle_with_all_rows_lies_in_many_ranges(spark, ranges):
     rng = random.Random(8)
-    rows = [("HOT", rng.choice(["idle", "idle", "on_trip"]), 3600 + rng.randrange(0, 3600)) for _ in range(2000)]
+    rows = [("HOT", rng.choice(["idle"] * 30 + ["on_trip"]), 3600 + rng.randrange(0, 3600)) for _ in range(2000)]
     frame = make(spark, rows)
-    heavy = idle._heavy_vehicles(frame, 1000, 100)
-    chunks = idle._with_chunks(frame, heavy).groupBy("_chunk").count().collect()
-    assert len(chunks) > 15 and max(r["count"] for r in chunks) <= 100
+    kept = []
+
+    def keep(df):
+        kept.append(df.persist())
+        return kept[0]
+
+    runs = idle.idle_runs(frame, None, ranges, keep)
     alerts, streaks, _ = walk(rows, 20)
-    got = idle.idle_episodes(frame, 100, 1000).collect()
+    got = idle.episodes_from_runs(runs).collect()
     assert sorted((r.vehicle_id, seconds(r.idle_since), seconds(r.last_idle_ts), r.event_count) for r in got) == sorted(streaks)
+    sizes = [r["count"] for r in kept[0].groupBy("_part").count().collect()]
+    assert len(sizes) > 0.6 * ranges and max(sizes) < 3 * 2000 / ranges + 20
+    kept[0].unpersist()
+
+
+def test_a_streak_over_whole_ranges_and_batches(spark):
+    rows = [("A", "on_trip", 0), *[("B", "idle", t) for t in range(500)], ("B", "on_trip", 500), ("C", "idle", 3)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for ranges in (1, 40):
+            runs = idle.idle_runs(make(spark, rows), None, ranges).where("vehicle_id = 'B' AND status = 'idle'")
+            got = runs.select("streak.ts", "event_ts", "prev_ts", "prev_status").orderBy("event_ts").collect()
+            assert {seconds(r.ts) for r in got} == {0}
+            assert [r.prev_ts and seconds(r.prev_ts) for r in got] == [None, *range(499)]
+            assert [r.prev_status for r in got] == [None, *["idle"] * 499]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_rows_are_exchanged_once(spark):
+    plans = []
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    idle.idle_runs(make(spark, random_rows(1)), None, 8, keep)
+    assert plans[0].count("Exchange ") == 1 and "rangepartitioning(vehicle_id" in plans[0]
+    assert "Window" not in plans[0] and "Join" not in plans[0]
+
+
+def test_a_stored_idle_state_without_a_start_begins_anew(spark):
+    kinds = "vehicle_id string, status string, last_event_ts timestamp, idle_since timestamp, idle_alert_sent boolean"
+    state = spark.createDataFrame([("V", "idle", START, None, None), ("X", "idle", START, START, True)], kinds)
+    runs = idle.idle_runs(make(spark, [("V", "idle", 5), ("V", "idle", 9)]), state, 3)
+    got = [(seconds(r.streak.ts), r.streak.sent, r.prev_status, r.prev_stored) for r in runs.orderBy("event_ts").collect()]
+    assert got == [(5, False, "idle", True), (5, False, "idle", False)]
+
+
+def test_no_events(spark):
+    assert idle.idle_episodes(make(spark, [("V", "idle", 0)]).where("false")).count() == 0
 
 
 def test_alert_fires_once_at_the_threshold_and_rearms(spark):
