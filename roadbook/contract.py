@@ -149,3 +149,23 @@ PROFITABILITY = _table(
     _not_null(distance_covered=MONEY, service_flag=_FLAG, profit=MONEY, unprofitable=_FLAG),
     _may_be_null(computed_at=_TIME),
 )
+PROGRESS = _table(
+    _may_be_null(event=_TEXT, query_id=_TEXT, query_name=_TEXT, trigger_id=_COUNT, input_rows=_COUNT, late_rows=_COUNT),
+    _may_be_null(duration_ms=_COUNT, sources=T.ArrayType(_TEXT), exception=_TEXT, at=_TIME),
+)
+# Partial rows of windows, one per vehicle and per trip, and the newest event time of each batch.
+WINDOW_UNITS = _table(
+    _may_be_null(window_start=_TIME, window_end=_TIME, zone_id=_TEXT, time_of_day=_TEXT),
+    _not_null(by_vehicle=_FLAG),
+    _may_be_null(id=_TEXT),
+    _not_null(total_vehicles=_FLAG, active_vehicles=_FLAG, idle_vehicles=_FLAG, trips_in_window=_FLAG),
+    _may_be_null(speed_sum=_REAL, fare=_REAL),
+    _not_null(rows=_COUNT, late=_FLAG),
+)
+CLOCK = _table(_may_be_null(newest=_TIME))
+# Rejected rows as they came, and up to where a date's result goes.
+REJECTED = _table(
+    TELEMETRY.fields,
+    _may_be_null(kafka_ts=_TIME, event_id=_COUNT, reject_reason=_TEXT),
+)
+MARKS = _table(_may_be_null(date=_TEXT, place=_TEXT))

@@ -11,6 +11,15 @@ MICROS_PER_SECOND = 1_000_000
 MICROS_PER_MINUTE = 60 * MICROS_PER_SECOND
 
 
+_UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}
+
+
+def length_seconds(text: str) -> int:
+    """``10 seconds``, ``1 minute`` as seconds."""
+    number, unit = text.split()
+    return int(number) * _UNIT_SECONDS[unit.lower().rstrip("s")]
+
+
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 

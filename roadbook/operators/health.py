@@ -20,6 +20,7 @@ from roadbook.operators.running import with_running_max
 from roadbook.session import written_once
 
 INTERVALS_PER_CHUNK = 100_000
+FIRST_DAY = dt.date(2000, 1, 1)  # no telemetry is older
 
 
 def _interval(arrival: str, interval_seconds: int) -> Column:
@@ -68,10 +69,27 @@ def grid_of_days(bounds: DataFrame, interval_seconds: int) -> DataFrame:
     )
 
 
-def outside(events: DataFrame, since: dt.date, until: dt.date, arrival: str = "event_ts") -> DataFrame:
-    """Rows that the grid from ``since`` to ``until`` (both included) has no place for."""
-    day = F.to_date(arrival)
-    return events.where(day.isNull() | ~day.between(F.lit(since), F.lit(until)))
+def plausible(arrival: str = "event_ts", until: dt.date | None = None) -> Column:
+    """Whether a time can be an arrival: neither missing, nor before ``FIRST_DAY``, nor after ``until``, by default tomorrow."""
+    last = F.lit(until) if until else F.date_add(F.current_date(), 1)
+    return F.coalesce(F.to_date(arrival).between(F.lit(FIRST_DAY), last), F.lit(False))
+
+
+def outside(events: DataFrame, arrival: str = "event_ts", until: dt.date | None = None) -> DataFrame:
+    """Rows without a plausible arrival, which the grid of intervals has no place for."""
+    return events.where(~plausible(arrival, until))
+
+
+def outside_counts(events: DataFrame, arrival: str = "event_ts", until: dt.date | None = None) -> DataFrame:
+    """All rows and those without an arrival, before and after the plausible days, as one row."""
+    known, inside = F.col(arrival).isNotNull(), plausible(arrival, until)
+    early = F.to_date(arrival) < F.lit(FIRST_DAY)
+    return events.agg(
+        F.count(F.lit(1)).alias("raw_rows"),
+        F.count_if(~known).alias("undated_rows"),
+        F.count_if(known & ~inside & early).alias("early_rows"),
+        F.count_if(known & ~inside & ~early).alias("late_rows"),
+    )
 
 
 def classify_intervals(counts: DataFrame, no_data_after: int = NO_DATA_BATCHES) -> DataFrame:
@@ -112,22 +130,21 @@ def classify_intervals(counts: DataFrame, no_data_after: int = NO_DATA_BATCHES)
 def batch_health(
     events: DataFrame,
     interval_seconds: int,
-    since: dt.date,
-    until: dt.date,
     no_data_after: int = NO_DATA_BATCHES,
     arrival: str = "event_ts",
+    until: dt.date | None = None,
 ) -> DataFrame:
-    """Health row of every interval of the days from ``since`` to ``until``.
+    """Health row of every interval of the days from the first to the last plausible arrival.
 
-    The days are given, so a single wrong time cannot enlarge the grid; ``outside`` has the
-    rows beyond them. The events are read once.
+    The span follows the table. Wrong times cannot enlarge it beyond the plausible days; ``outside`` has their rows. The events
+    are read once: they are counted per interval first, and the days are taken from the counts.
     """
-    inside = events.where(F.to_date(arrival).between(F.lit(since), F.lit(until)))
-    counts = interval_counts(inside, interval_seconds, arrival)
-    ends = [F.unix_date(F.lit(d)).cast("bigint").alias(n) for n, d in (("first", since), ("last", until))]
-    filled = grid_of_days(events.sparkSession.range(1).select(*ends), interval_seconds).join(counts, "interval_id", "left")
-    filled = written_once(filled.na.fill(0, ["raw_rows", "valid_rows"]), "intervals")
-    return classify_intervals(filled, no_data_after)
+    counts = interval_counts(events.where(plausible(arrival, until)), interval_seconds, arrival)
+    counts = written_once(counts, "interval-counts")
+    day = F.floor(F.col("interval_id") * interval_seconds / 86_400)
+    grid = grid_of_days(counts.agg(F.min(day).alias("first"), F.max(day).alias("last")), interval_seconds)
+    filled = grid.join(counts, "interval_id", "left").na.fill(0, ["raw_rows", "valid_rows"])
+    return classify_intervals(written_once(filled, "intervals"), no_data_after)
 
 
 def health_of_log(

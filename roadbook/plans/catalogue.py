@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadbook.contract import VEHICLE_STATE
-from roadbook.operators import clean, earnings, health, idle, kpi, lateness, latest, quality, serving, trips, windows
-from roadbook.plans import daily
+from roadbook.operators import clean, earnings, health, idle, kpi, lateness, latest, quality, serving, sketches, trips, windows
+from roadbook.plans import daily, incremental
 from roadbook.session import prepare, shared_folder, written_once
 from roadbook.sinks import alerts as alert_sinks
 from roadbook.sinks import tables
@@ -24,6 +24,8 @@ from roadbook.sources.telemetry import silver_table, telemetry_stream
 from roadbook.streaming import idle as live_idle
 from roadbook.streaming import windows as live_windows
 from roadbook.streaming.events import EventBatch, LiveTables, start_events
+from roadbook.streaming.partials import WindowPartials
+from roadbook.streaming.progress import ProgressTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +36,6 @@ IDLE_MINUTES = 720.0
 HEALTH_SECONDS = 300
 NO_DATA_AFTER = 6
 VEHICLE = "V00042"
-MONTH = dt.date(2024, 1, 1), dt.date(2024, 1, 30)
 EXPENSE_DAYS = (dt.date(2024, 1, 14), REPORT_DATE)
 _LOAD_TIMES = ("updated_at", "computed_at", "ingested_at")
 
@@ -76,7 +77,7 @@ def _alerts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _health(spark: SparkSession, sf: str) -> DataFrame:
-    return health.batch_health(given.telemetry(spark, sf), HEALTH_SECONDS, *MONTH, NO_DATA_AFTER)
+    return health.batch_health(given.telemetry(spark, sf), HEALTH_SECONDS, NO_DATA_AFTER)
 
 
 def _zones(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,19 +108,23 @@ def rule_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def result_rule_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules of all result tables; what several tables need is computed once and stored."""
     silver = written_once(_silver(spark, sf), "silver")
+    runs = idle.idle_runs(silver)
+    expenses = _expenses(spark, sf)
+    profit = earnings.vehicle_profitability(expenses, earnings.daily_earnings(silver))
     return quality.result_violations(
         {
             "silver": silver,
             "fleet_snapshot": kpi.fleet_snapshot(silver, MONTH_SECONDS),
             "zone_snapshot": kpi.zone_snapshot(silver),
             "zone_windows": windows.zone_windows(silver, WINDOW),
-            "vehicle_state": idle.vehicle_states(silver, IDLE_MINUTES),
-            "alerts": idle.idle_alerts(silver, IDLE_MINUTES),
+            "vehicle_state": idle.states_from_runs(runs, IDLE_MINUTES),
+            "alerts": idle.alerts_from_runs(runs, IDLE_MINUTES),
             "health": _health(spark, sf),
-            "vehicle_profitability": _profitability(spark, sf),
+            "vehicle_profitability": profit,
             "trip_analytics": trips.trip_analytics(silver),
-            "daily_summary": trips.daily_summary(silver, _expenses(spark, sf)),
+            "daily_summary": trips.daily_summary(silver, expenses),
         }
     )
 
@@ -157,12 +162,45 @@ def upsert_vehicle_state(spark: SparkSession, sf: str) -> DataFrame:
     silver, path = _silver(spark, sf), _run_folder(spark, "vehicle_state")
     turn = F.lit("2024-01-16").cast("timestamp_ntz")
     first = idle.vehicle_states(silver.where(F.col("event_ts") < turn), IDLE_MINUTES)
-    tables.replace_version(tables.finalise(first, VEHICLE_STATE), path, 0)
-    stored = tables.read_version(spark, path, VEHICLE_STATE)
-    runs = idle.idle_runs(silver.where(F.col("event_ts") >= turn), stored)
+    tables.replace_buckets(tables.finalise(first, VEHICLE_STATE), path, "vehicle_id", 0)
+    later = silver.where(F.col("event_ts") >= turn)
+    stored = tables.read_buckets(spark, path, VEHICLE_STATE, buckets=tables.touched_buckets(later, "vehicle_id"))
+    runs = idle.idle_runs(later, stored)
     changed = tables.finalise(idle.states_from_runs(runs, IDLE_MINUTES), VEHICLE_STATE)
-    tables.replace_version(tables.upsert(stored, changed, ["vehicle_id"]), path, 1)
-    return _plain(tables.read_version(spark, path, VEHICLE_STATE))
+    tables.replace_buckets(tables.upsert(stored, changed, ["vehicle_id"]), path, "vehicle_id", 1)
+    return _plain(tables.read_buckets(spark, path, VEHICLE_STATE))
+
+
+def zone_windows_united(spark: SparkSession, sf: str) -> DataFrame:
+    """Six hours put together from stored minutes, without the events."""
+    minutes = written_once(sketches.window_sketches(_silver(spark, sf)), "minutes")
+    united = sketches.united_windows(minutes, WINDOW)
+    exact = windows.zone_windows(_silver(spark, sf), WINDOW)
+    return _plain(windows.sketch_check(united, exact, deviation=sketches.UNION_DEVIATION), ("avg_speed",))
+
+
+def zone_windows_corrected(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed in two batches, the second with every 17th row long after its window has closed: final windows and corrections."""
+    folder = _run_folder(spark, "window_partials")
+    partials = WindowPartials(folder, WINDOW)
+    silver = _silver(spark, sf)
+    late = F.col("event_id") % 17 == 0
+    for batch_id, rows in enumerate((silver.where(~late), silver.where(late))):
+        partials(rows, batch_id)
+    newest = silver.agg(F.max("event_ts").alias("newest")).select("newest").scalar()
+    closed = partials.corrected(spark).where(F.col("window_end").cast("timestamp") <= newest.cast("timestamp") - F.expr("INTERVAL 2 MINUTES"))
+    return _plain(closed, ("idle_ratio", "trips_per_hour", "avg_speed"))
+
+
+def daily_earnings_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Earnings refreshed after each of three increments of the log; the last one adds to dates that were done."""
+    folder, silver = _run_folder(spark, "incremental"), _silver(spark, sf)
+    held_back = (F.col("event_id") % 9 == 0) & (F.col("event_ts") < F.lit("2024-01-06").cast("timestamp_ntz"))
+    early = F.col("event_ts") < F.lit("2024-01-11").cast("timestamp_ntz")
+    for batch_id, rows in enumerate((silver.where(early & ~held_back), silver.where(~early), silver.where(held_back))):
+        tables.append_silver(rows, f"{folder}/silver", batch_id)
+        incremental.refresh(spark, f"{folder}/silver", f"{folder}/earnings")
+    return _plain(spark.read.parquet(f"{folder}/earnings"))
 
 
 _BATCH: dict[str, Query] = {
@@ -187,12 +225,16 @@ _BATCH: dict[str, Query] = {
         windows.zone_windows(_silver(s, sf), WINDOW), ("idle_ratio", "trips_per_hour", "avg_speed")
     ),
     "zone_windows_approx": lambda s, sf: _sketches_checked(s, sf, windows.zone_windows_approx(_silver(s, sf), WINDOW)),
+    "zone_windows_united": zone_windows_united,
+    "zone_windows_corrected": zone_windows_corrected,
+    "daily_earnings_incremental": daily_earnings_incremental,
     "late_events": lambda s, sf: lateness.late_events(given.arrivals(s, sf)),
     "idle_episodes": lambda s, sf: idle.idle_episodes(_silver(s, sf)),
     "idle_alerts": lambda s, sf: _plain(_alerts(s, sf)),
     "alert_messages": lambda s, sf: alert_sinks.alert_messages(_alerts(s, sf)),
     "recent_alerts": lambda s, sf: _plain(serving.recent_alerts(_alerts(s, sf))),
     "batch_health": lambda s, sf: _plain(_health(s, sf)),
+    "health_outside": lambda s, sf: health.outside_counts(given.telemetry(s, sf)),
     "health_latest": lambda s, sf: _plain(health.health_latest(_health(s, sf))),
     "no_data_alerts": lambda s, sf: _plain(health.no_data_alerts(_health(s, sf), NO_DATA_AFTER)),
     "vehicle_status": lambda s, sf: serving.vehicle_status(idle.vehicle_states(_silver(s, sf), IDLE_MINUTES)),
@@ -261,6 +303,12 @@ def _with_provider(query: Query) -> Query:
     return run
 
 
+def live_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the dead-letter log per reason, after the whole feed has gone through the events query."""
+    rows = _live_tables(spark, sf).rejected(spark)
+    return rows.groupBy(F.col("reject_reason").alias("reason")).agg(F.count(F.lit(1)).alias("row_count"))
+
+
 def _windows_from_stream(spark: SparkSession, windowed: DataFrame, output_mode: str) -> DataFrame:
     folder = _run_folder(spark, "zone_windows_stream")
     live_windows.start_windows(
@@ -297,15 +345,43 @@ def live_health(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(newest.select("status", "message", "empty_streak", "raw_rows", "valid_rows", "last_event_ts", "last_batch_id"))
 
 
+def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """What the progress log says about one stream over the whole feed, per kind of event."""
+    folder = _run_folder(spark, "stream_progress")
+    listener = ProgressTable(spark, f"{folder}/progress")
+    spark.streams.addListener(listener)
+    try:
+        query = (
+            _feed(spark, sf)
+            .writeStream.format("noop")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(listener)
+    listener.flush()
+    log = LiveTables(folder).progress(spark).where(F.col("query_id") == F.lit(str(query.id)))
+    return log.groupBy("event").agg(
+        F.coalesce(F.sum("input_rows"), F.lit(0)).alias("input_rows"),
+        F.count_distinct("query_id").alias("queries"),
+        F.count_if(F.col("exception").isNotNull()).alias("failures"),
+    )
+
+
 _STREAMS: dict[str, Query] = {
+    "stream_progress": stream_progress,
     "idle_alerts_stream": _with_provider(idle_alerts_stream),
     "zone_windows_stream": zone_windows_stream,
     "zone_windows_final_stream": zone_windows_final_stream,
     "live_fleet": lambda s, sf: _plain(_live_tables(s, sf).fleet(s)),
     "live_vehicle_status": lambda s, sf: _plain(serving.vehicle_status(_live_tables(s, sf).states(s))),
-    "live_recent_alerts": lambda s, sf: _plain(serving.recent_alerts(_live_tables(s, sf).alerts(s))),
+    "live_recent_alerts": lambda s, sf: _plain(_live_tables(s, sf).recent_alerts(s)),
     "live_zones": lambda s, sf: _plain(serving.zones_by_exposure(_live_tables(s, sf).zones(s))),
     "live_health": live_health,
+    "live_rejects": live_rejects,
 }
 
 

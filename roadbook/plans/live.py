@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from roadbook import contract
+from roadbook.functions.clock import length_seconds
 from roadbook.operators import clean
 from roadbook.session import open_session, shared_folder
 from roadbook.sinks.alerts import publish_alerts
@@ -18,15 +19,6 @@ from roadbook.streaming import windows
 from roadbook.streaming.events import EventBatch, LiveTables, start_events
 from roadbook.streaming.progress import NoDataAlerts, ProgressTable
 
-_UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600}
-
-
-def trigger_seconds(text: str) -> int:
-    """``10 seconds``, ``1 minute`` as seconds."""
-    number, unit = text.split()
-    return int(number) * _UNIT_SECONDS[unit.lower().rstrip("s")]
-
-
 def start_live(
     messages: DataFrame,
     root: str,
@@ -79,6 +71,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--window", default=contract.METRICS_WINDOW)
     parser.add_argument("--idle-minutes", type=float, default=contract.IDLE_THRESHOLD_MINUTES)
     parser.add_argument("--no-data-batches", type=int, default=contract.NO_DATA_BATCHES)
+    parser.add_argument("--replay-rejected", action="store_true", help="move rejected rows that the rules accept now to silver and end")
     parser.add_argument("--compact-before", type=dt.date.fromisoformat, help="merge the logs' files of earlier dates and end")
     args = parser.parse_args(argv)
 
@@ -86,8 +79,11 @@ def main(argv: list[str] | None = None) -> None:
     if args.compact_before:
         print(LiveTables(args.root).compact(spark, args.compact_before))
         return
+    if args.replay_rejected:
+        print(LiveTables(args.root).replay_rejected(spark))
+        return
     brokers = {"kafka.bootstrap.servers": args.brokers}
-    seconds = trigger_seconds(args.trigger)
+    seconds = length_seconds(args.trigger)
     messages = telemetry_stream(
         spark,
         "kafka",

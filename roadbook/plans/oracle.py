@@ -404,6 +404,18 @@ def _statements() -> dict[str, str]:
         ),
         "daily_earnings": s("SELECT * REPLACE (CAST(earnings AS DOUBLE) AS earnings) FROM earned", "earned"),
         "zone_windows": s(_ZONE_WINDOWS, "framed_fares"),
+        "zone_windows_corrected": s(
+            f"SELECT * FROM ({_ZONE_WINDOWS}) WHERE window_end <= (SELECT max(event_ts) - INTERVAL 2 MINUTE FROM silver)", "framed_fares"
+        ),
+        "zone_windows_united": s(_SKETCHED.format(rows=_ZONE_WINDOWS, speed="avg_speed"), "framed_fares"),
+        "daily_earnings_incremental": s("SELECT * REPLACE (CAST(earnings AS DOUBLE) AS earnings) FROM earned", "earned"),
+        "live_rejects": s(
+            "SELECT * FROM (SELECT CASE WHEN coalesce(trim(vehicle_id), '') = '' THEN 'blank_vehicle'"
+            " WHEN event_ts IS NULL THEN 'bad_event_time'"
+            " WHEN coalesce(lower(trim(status)), '') NOT IN ('idle', 'enroute', 'on_trip') THEN 'unknown_status' END AS reason,"
+            " count(*) AS row_count FROM telemetry GROUP BY ALL) WHERE reason IS NOT NULL",
+            "telemetry",
+        ),
         "late_events": (
             "SELECT * FROM (SELECT *, max(event_ts) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS max_event_ts"
             " FROM (SELECT event_id, user_id, CASE WHEN event_id % 17 = 0 THEN ts - INTERVAL 1 HOUR ELSE ts END AS event_ts"
@@ -419,6 +431,15 @@ def _statements() -> dict[str, str]:
         "alert_messages": s(_MESSAGES, "alert_rows"),
         "recent_alerts": s("SELECT * FROM alert_rows ORDER BY created_at DESC, vehicle_id LIMIT 50", "alert_rows"),
         "batch_health": s("SELECT * FROM health", "health"),
+        "health_outside": s(
+            "SELECT count(*) AS raw_rows, count(*) FILTER (WHERE event_ts IS NULL) AS undated_rows,"
+            " count(*) FILTER (WHERE event_ts < TIMESTAMP '2000-01-01') AS early_rows,"
+            " count(*) FILTER (WHERE CAST(event_ts AS DATE) > current_date + 1) AS late_rows FROM telemetry",
+            "telemetry",
+        ),
+        "stream_progress": "SELECT * FROM (SELECT 'progress' AS event, count(*) AS input_rows,"
+        " CAST(1 AS BIGINT) AS queries, CAST(0 AS BIGINT) AS failures FROM events"
+        " UNION ALL SELECT 'started', 0, 1, 0 UNION ALL SELECT 'terminated', 0, 1, 0)",
         "health_latest": s("SELECT * FROM health ORDER BY interval_id DESC LIMIT 1", "health"),
         "no_data_alerts": s(
             "SELECT 'NO_DATA' AS alert_type, CAST(NULL AS VARCHAR) AS vehicle_id, CAST(NULL AS VARCHAR) AS driver_id,"

@@ -22,6 +22,16 @@ def children(spark: SparkSession, path: str) -> dict[str, float]:
     return {s.getPath().getName(): now - s.getModificationTime() / 1000 for s in system.listStatus(place)}
 
 
+def matching(spark: SparkSession, path: str, pattern: str) -> dict[str, float]:
+    """Folders below ``path`` whose relative names match a pattern like ``a=*/b=*``, with the seconds since each was changed."""
+    system, place = _place(spark, f"{path}/{pattern}")
+    depth, now = pattern.count("/") + 1, time.time()
+    return {
+        "/".join(s.getPath().toString().split("/")[-depth:]): now - s.getModificationTime() / 1000
+        for s in system.globStatus(place) or []
+    }
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     system, place = _place(spark, path)
     return system.exists(place)
@@ -42,13 +52,18 @@ def move(spark: SparkSession, path: str, to: str) -> None:
         raise OSError(f"{path} could not be renamed to {to}")
 
 
+def new_run() -> str:
+    """A name for a run; later ones come later in order."""
+    return f"r{time.time_ns() // 1_000_000:015d}{uuid.uuid4().hex[:4]}"
+
+
 def run_of(spark: SparkSession, checkpoint: str) -> str:
     """A name for the run that a checkpoint belongs to: equal as long as the checkpoint lives, and
     later in order for a checkpoint made later."""
     marks = [n for n in children(spark, f"{checkpoint}/run") if n.startswith("r")]
     if marks:
         return min(marks)
-    name = f"r{time.time_ns() // 1_000_000:015d}{uuid.uuid4().hex[:4]}"
+    name = new_run()
     system, place = _place(spark, f"{checkpoint}/run/{name}")
     system.mkdirs(place)
     return name

@@ -33,7 +33,8 @@ class IdleWatch(StatefulProcessor):
 
     A vehicle's rows are held until the watermark has passed them and are then applied in event order, so
     neither their order of arrival nor the cut into micro-batches matters. Between batches a
-    vehicle keeps its held rows, as many as it sends within the watermark's delay, and four numbers.
+    vehicle keeps its held rows, as many as it sends within the watermark's delay, and five numbers. A batch
+    appends its rows; the rows held are read only when some of them are due.
     Rows behind the watermark are dropped by Spark, which counts them in the query's progress.
     """
 
@@ -44,19 +45,25 @@ class IdleWatch(StatefulProcessor):
         self._handle = handle
         self._state = handle.getValueState("vehicle", _STREAK)
         self._held = handle.getListState("held", _ROW)
+        self._earliest = handle.getValueState("earliest", "ts BIGINT")
 
     def _wake(self, earliest: int) -> None:
+        """Be called when the watermark has passed the first row held."""
+        self._earliest.update((earliest,))
         for timer in self._handle.listTimers():
             self._handle.deleteTimer(int(timer[0] if isinstance(timer, tuple) else timer))
         self._handle.registerTimer(earliest // 1000 + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows), ignore_index=True)[_COLUMNS]
-        held = list(self._held.get()) if self._held.exists() else []
-        new = [(int(t), int(s), bool(i), d, z) for t, s, i, d, z in events.itertuples(index=False, name=None)]
-        self._held.appendList(new)
-        earliest = min(row[0] for row in (*held, *new))
-        self._wake(earliest)
+        first = None
+        for events in rows:
+            if len(events):
+                numbers = (events[c].astype("int64").tolist() for c in ("ts", "seq"))
+                self._held.appendList(list(zip(*numbers, *(events[c].tolist() for c in _COLUMNS[2:]))))
+                here = int(events["ts"].min())
+                first = here if first is None else min(first, here)
+        if first is not None and (not self._earliest.exists() or first < self._earliest.get()[0]):
+            self._wake(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -66,6 +73,7 @@ class IdleWatch(StatefulProcessor):
         later = held[~due]
         if later.empty:
             self._held.clear()
+            self._earliest.clear()
         else:
             self._held.put(list(later.itertuples(index=False, name=None)))
             self._wake(int(later["ts"].min()))

@@ -3,31 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 
 from roadbook import contract
-from roadbook.sinks import tables
+from roadbook.sinks import files, tables
 from roadbook.streaming.events import FEED_ALERTS, LiveTables, append_alerts
 
-PROGRESS = T.StructType(
-    [
-        T.StructField("event", T.StringType()),
-        T.StructField("query_id", T.StringType()),
-        T.StructField("query_name", T.StringType()),
-        T.StructField("batch_id", T.LongType()),
-        T.StructField("input_rows", T.LongType()),
-        T.StructField("late_rows", T.LongType()),
-        T.StructField("duration_ms", T.LongType()),
-        T.StructField("sources", T.ArrayType(T.StringType())),
-        T.StructField("exception", T.StringType()),
-        T.StructField("at", T.TimestampType()),
-    ]
-)
+FLUSH_ROWS, FLUSH_SECONDS = 500, 60.0
 
 
 def _instant(text: str | None) -> dt.datetime:
@@ -37,14 +25,39 @@ def _instant(text: str | None) -> dt.datetime:
 
 
 class ProgressTable(StreamingQueryListener):
-    """Appends one typed row per query start, trigger with data and end."""
+    """Logs one typed row per query start, trigger with data and end.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    Rows are held and written together, by count, by time or at a query's end, into a log by date that is merged like the
+    others. The driver holds at most ``flush_rows`` rows; what it holds when it dies is lost.
+    """
+
+    def __init__(
+        self, spark: SparkSession, path: str, flush_rows: int = FLUSH_ROWS, flush_seconds: float = FLUSH_SECONDS
+    ) -> None:
         self._spark, self._path = spark, path
+        self._flush_rows, self._flush_seconds = flush_rows, flush_seconds
+        self._held: list[tuple] = []
+        self._since = time.monotonic()
+        self._run, self._number = files.new_run(), 0
+        self._lock = threading.Lock()
 
     def _append(self, **fields) -> None:
-        row = tuple(fields.get(f.name) for f in PROGRESS.fields)
-        self._spark.createDataFrame([row], PROGRESS).coalesce(1).write.mode("append").parquet(self._path)
+        with self._lock:
+            self._held.append(tuple(fields.get(f.name) for f in contract.PROGRESS.fields))
+            due = len(self._held) >= self._flush_rows or time.monotonic() - self._since >= self._flush_seconds
+        if due or fields["event"] == "terminated":
+            self.flush()
+
+    def flush(self) -> None:
+        """Write the rows held as one batch of the log."""
+        with self._lock:
+            rows, number = self._held, self._number
+            self._held, self._since = [], time.monotonic()
+            self._number += bool(rows)
+        if rows:
+            frame = self._spark.createDataFrame(rows, contract.PROGRESS).coalesce(1)
+            dated = frame.withColumn("progress_date", F.to_date("at"))
+            tables.append_batch(dated, self._path, number, "progress_date", run=self._run)
 
     def onQueryStarted(self, event) -> None:
         self._append(event="started", query_id=str(event.id), query_name=event.name, at=_instant(event.timestamp))
@@ -55,7 +68,7 @@ class ProgressTable(StreamingQueryListener):
             event="progress",
             query_id=str(progress.id),
             query_name=progress.name,
-            batch_id=progress.batchId,
+            trigger_id=progress.batchId,
             input_rows=progress.numInputRows,
             late_rows=sum(step.numRowsDroppedByWatermark for step in progress.stateOperators or []),
             duration_ms=dict(progress.durationMs or {}).get("triggerExecution"),

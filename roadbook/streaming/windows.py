@@ -9,7 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from roadbook.contract import METRICS_WINDOW, WATERMARK, ZONE_WINDOWS
 from roadbook.operators import measures
 from roadbook.operators.windows import ZONE_KEYS, counted_units, unit_sums, window_rates, zone_windows_approx
-from roadbook.sinks import compact, files, tables
+from roadbook.sinks import files, tables
+from roadbook.sources import logs
 
 WINDOW_KEYS = ["window_start", *ZONE_KEYS]
 
@@ -48,7 +49,7 @@ def write_window_batch(batch: DataFrame, batch_id: int, path: str, run: str = ta
 
 def read_windows(spark, path: str) -> DataFrame:
     """The window table: newest figures per window, zone and part of day."""
-    log = compact.read_log(spark, path, ZONE_WINDOWS, "window_date")
+    log = logs.read_log(spark, path, ZONE_WINDOWS, "window_date")
     return tables.current(log, WINDOW_KEYS).drop("window_date")
 
 

@@ -13,13 +13,18 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from roadbook.operators import clean, idle, windows
+from roadbook import contract
+from roadbook.operators import clean, earnings, idle, sketches, windows
+from roadbook.plans import incremental
 from roadbook.plans import live as live_plan
+from roadbook.sinks import compact, dead_letters, tables
 from roadbook.sinks.alerts import publish_alerts
 from roadbook.sources import given_tables as given
+from roadbook.sources import logs
 from roadbook.streaming import idle as live_idle
 from roadbook.streaming import windows as live_windows
-from roadbook.streaming.events import EventBatch, LiveTables, start_events
+from roadbook.streaming.events import EventBatch, LiveTables, append_alerts, start_events
+from roadbook.streaming.partials import WindowPartials, start_partials
 from roadbook.streaming.progress import NoDataAlerts, ProgressTable, SilenceWatch
 
 SF = "/root/testdata/sf0.001"
@@ -89,16 +94,16 @@ def test_micro_batches_fill_all_tables(spark, tmp_path, parts):
     )
     for query in queries:
         query.awaitTermination()
-    tables = LiveTables(f"{tmp_path}/live")
+    stored = LiveTables(f"{tmp_path}/live")
     silver = batch_silver(spark)
-    assert rows(tables.silver(spark).drop("event_date")) == rows(silver)
-    assert rows(no_load_time(tables.states(spark))) == rows(idle.vehicle_states(silver, 720.0))
-    assert rows(tables.alerts(spark)) == rows(idle.idle_alerts(silver, 720.0))
-    fleet = tables.fleet(spark)
+    assert rows(stored.silver(spark).drop("event_date")) == rows(silver)
+    assert rows(no_load_time(stored.states(spark))) == rows(idle.vehicle_states(silver, 720.0))
+    assert rows(stored.alerts(spark)) == rows(idle.idle_alerts(silver, 720.0))
+    fleet = stored.fleet(spark)
     assert fleet.count() == 1 and fleet.first().updated_at is not None
-    log = tables.health_log(spark)
+    log = stored.health_log(spark)
     assert log.agg(F.sum("raw_rows"), F.sum("valid_rows"), F.sum("stale_rows")).first() == (1000, silver.count(), 0)
-    metrics = live_windows.read_windows(spark, tables.path("zone_windows"))
+    metrics = live_windows.read_windows(spark, stored.path("zone_windows"))
     exact = windows.zone_windows(silver, "6 hours")
     keys = live_windows.WINDOW_KEYS
     same = ["event_count", "active_vehicles", "idle_vehicles", "trips_in_window"]
@@ -381,7 +386,7 @@ def test_state_processor_travels_without_the_package(tmp_path):
 
 
 def test_progress_rows_are_written(spark, tmp_path):
-    listener = ProgressTable(spark, str(tmp_path / "progress"))
+    listener = ProgressTable(spark, str(tmp_path / "progress"), flush_rows=100)
     spark.streams.addListener(listener)
     try:
         feed = split_feed(spark, tmp_path / "in", 1)
@@ -396,6 +401,133 @@ def test_progress_rows_are_written(spark, tmp_path):
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     finally:
         spark.streams.removeListener(listener)
-    progress = spark.read.parquet(str(tmp_path / "progress"))
+    listener.flush()
+    assert len(list((tmp_path / "progress").glob("**/*.parquet"))) <= 2  # rows are written together, not one by one
+    progress = LiveTables(str(tmp_path)).progress(spark)
     assert progress.where("event = 'progress'").agg(F.sum("input_rows")).first()[0] == 1000
     assert {r.event for r in progress.select("event").distinct().collect()} >= {"started", "progress"}
+
+
+def test_a_batch_is_what_it_accepted_and_what_it_rejected(spark, tmp_path, monkeypatch):
+    live, schema = LiveTables(str(tmp_path / "live")), "value string, timestamp timestamp"
+    at = dt.datetime(2024, 1, 1, 8)
+
+    def text(status, vehicle="V1", time=None):
+        return json.dumps({"vehicle_id": vehicle, "status": status, "timestamp": time or at.isoformat()})
+
+    batches = [[text("idle"), text("offline"), text("idle", " ")], [text("offline", "V2"), "{", text("idle", time="later")], [text("parked", "V3")]]
+    for batch_id, values in enumerate(batches):
+        EventBatch(live)(spark.createDataFrame([(v, at) for v in values], schema), batch_id)
+    EventBatch(live)(spark.createDataFrame([(v, at) for v in batches[1]], schema), 1)  # a replayed batch
+    assert (live.silver(spark).count(), live.rejected(spark).count()) == (1, 6)
+    reasons = {(r.batch_id, r.reject_reason) for r in live.rejected(spark).collect()}
+    assert (0, "unknown_status") in reasons and (1, "bad_event_time") in reasons
+    assert {r.timestamp for r in live.rejected(spark).where("reject_reason = 'bad_event_time'").collect()} >= {"later"}
+
+    def lenient(rows):
+        return rows.withColumn("status", F.when(F.lower("status") == "offline", "idle").otherwise(F.col("status")))
+
+    def replay():
+        return dead_letters.replay(
+            spark, live.path("rejected"), live.path("silver"), lambda r: clean.silver(lenient(r)), lambda r: clean.with_reject_reason(lenient(r))
+        )
+
+    assert live.replay_rejected(spark) == 0  # the rules are as they were
+    broken = tables.write_partitions
+    monkeypatch.setattr(tables, "write_partitions", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        replay()
+    assert live.silver(spark).count() == 3
+    monkeypatch.setattr(tables, "write_partitions", broken)
+    EventBatch(live)(spark.createDataFrame([(text("offline", "V4"), at)], schema), 3)
+    assert replay() == 2  # what broke off is finished
+    assert (live.silver(spark).count(), live.rejected(spark).count()) == (3, 5)
+    assert replay() == 1 and replay() == 0
+    assert sorted(r.vehicle_id for r in live.silver(spark).collect()) == ["V1", "V1", "V2", "V4"]
+    assert {r.reject_reason for r in live.rejected(spark).collect()} == {"blank_vehicle", "bad_event_time", "unknown_status"}
+    assert live.rejected(spark).count() == 4
+
+
+def test_late_rows_correct_closed_windows(spark, tmp_path):
+    events = batch_silver(spark)
+    late = F.col("event_id") % 7 == 0
+    partials = WindowPartials(str(tmp_path / "w"), "6 hours")
+    day = F.col("event_ts") < F.lit("2024-01-16").cast("timestamp")
+    batches = [events.where(day & ~late), events.where(day & late), events.where(~day), events.limit(0)]
+    for batch_id, batch in enumerate(batches):
+        partials(batch, batch_id)
+    partials(batches[1], 1)  # replayed
+    exact = windows.zone_windows(events, "6 hours")
+    columns = exact.columns
+    plain = lambda df: rows(df.select(*columns).withColumn("avg_speed", F.round("avg_speed", 6)))
+    assert plain(partials.windows(spark)) == plain(exact)
+    newest = events.agg(F.max("event_ts")).first()[0]
+    closed = F.col("window_end") <= F.lit(newest - dt.timedelta(minutes=2))
+    assert plain(partials.corrected(spark)) == plain(exact.where(closed))
+    final, corrections = partials.final(spark), partials.corrections(spark)
+    assert 0 < corrections.count() < exact.count()
+    assert final.agg(F.sum("event_count")).first()[0] < exact.where(closed).agg(F.sum("event_count")).first()[0]
+    started = spark.readStream.schema(events.schema).parquet(str(split_silver(events, tmp_path / "in")))
+    handler = WindowPartials(str(tmp_path / "s"), "6 hours")
+    start_partials(started, handler, str(tmp_path / "c"), AVAILABLE).awaitTermination()
+    assert plain(handler.windows(spark)) == plain(exact)
+
+
+def split_silver(events, folder):
+    events.repartition(3).write.parquet(str(folder))
+    return folder
+
+
+def test_newest_alerts_read_the_newest_dates_alone(spark, tmp_path):
+    live = LiveTables(str(tmp_path / "live"))
+    start = dt.datetime(2024, 1, 1)
+    for day in range(40):
+        at = start + dt.timedelta(days=day)
+        rows_ = [("IDLE_VEHICLE", f"V{n}", None, None, None, "WARNING", "m", at + dt.timedelta(minutes=n)) for n in range(2 if day < 39 else 1)]
+        kinds = "alert_type string, vehicle_id string, driver_id string, zone_id string, idle_minutes decimal(10,2), severity string, message string, created_at timestamp"
+        append_alerts(tables.finalise(spark.createDataFrame(rows_, kinds), contract.ALERTS), live.path("alerts"), day)
+    live.compact(spark, dt.date(2024, 1, 20))
+    newest = live.recent_alerts(spark, 5)
+    assert [(r.created_at - start).days for r in newest.collect()] == [39, 38, 38, 37, 37]
+    read = {f.split("alert_date=")[1][:10] for f in logs.newest_rows(spark, [live.path("alerts")], contract.ALERTS, "alert_date", 5).inputFiles()}
+    assert len(read) <= 4 and max(read) == "2024-02-09"
+    assert live.recent_alerts(spark, 500).count() == 79
+    assert LiveTables(str(tmp_path / "none")).recent_alerts(spark).count() == 0
+
+
+def test_a_refresh_redoes_only_dates_with_new_batches(spark, tmp_path):
+    silver, out = str(tmp_path / "silver"), str(tmp_path / "out")
+    events = batch_silver(spark)
+    first_days = F.col("event_ts") < F.lit("2024-01-05").cast("timestamp")
+    tables.append_silver(events.where(first_days & (F.col("event_id") % 5 != 0)), silver, 0)
+    days = incremental.refresh(spark, silver, out)
+    assert [d.day for d in days] == [1, 2, 3, 4] and incremental.refresh(spark, silver, out) == []
+    tables.append_silver(events.where(~first_days), silver, 1)
+    compact.merge_dates(spark, silver, contract.SILVER, "event_date", dt.date(2024, 1, 3))
+    assert [d.day for d in incremental.refresh(spark, silver, out)] == list(range(5, 31))
+    written = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").glob("report_date=2024-01-0[1-4]/*.parquet")}
+    late = events.where(first_days & (F.col("event_id") % 5 == 0) & (F.col("event_ts") >= F.lit("2024-01-02").cast("timestamp")) & (F.col("event_ts") < F.lit("2024-01-03").cast("timestamp")))
+    tables.append_silver(late, silver, 2)
+    assert incremental.refresh(spark, silver, out) == [dt.date(2024, 1, 2)]
+    kept = {p for p, at in written.items() if p.exists() and p.stat().st_mtime_ns == at}
+    assert {p.parent.name[-2:] for p in kept} == {"01", "03", "04"}
+    rest = (F.col("event_id") % 5 == 0) & (F.dayofmonth("event_ts") != 2)
+    tables.append_silver(events.where(first_days & rest), silver, 3)
+    assert [d.day for d in incremental.refresh(spark, silver, out)] == [1, 3, 4]
+    assert rows(spark.read.parquet(out)) == rows(earnings.daily_earnings(events))
+
+
+def test_minutes_unite_to_hours(spark):
+    events = batch_silver(spark)
+    minutes = sketches.window_sketches(events)
+    hours = sketches.united_windows(minutes, "6 hours")
+    halves = sketches.window_sketches(events.where("event_id % 2 = 0")).unionByName(sketches.window_sketches(events.where("event_id % 2 = 1")))
+    exact = windows.zone_windows(events, "6 hours")
+    checked = windows.sketch_check(hours, exact, deviation=sketches.UNION_DEVIATION)
+    assert checked.count() == exact.count()
+    assert checked.where("NOT (active_vehicles_near AND idle_vehicles_near AND trips_in_window_near)").count() == 0
+    same = ["window_start", "zone_id", "time_of_day", "event_count", "live_fare_exposure", "active_vehicles", "trips_in_window"]
+    assert rows(hours.select(*same)) == rows(sketches.united_windows(halves, "6 hours").select(*same))
+    assert rows(hours.select(*same[:5])) == rows(exact.select(*same[:5]))
+    with pytest.raises(ValueError):
+        sketches.united_windows(minutes, "90 seconds")
