@@ -1,14 +1,15 @@
 """Language-model scores from an interpolated modified Kneser-Ney bigram model.
 
-Counting is a Spark job: tasks count the words, then the word pairs, of their own documents, deal the
-counts out by hash and add them up. The model is stored as sorted arrays in the shared folder, cut into
-shards by the top bits of the hash: words (hash, count), pairs kept (hash, discounted probability), and by
-word number the weight of the lower order and the continuation probability. Workers memory-map the shards, so
-all tasks of a machine share one copy in its page cache and touch only the pages they look up.
+Counting is a Spark job of two rounds, words and then pairs of word numbers. A task counts its documents some megabytes at a
+time, and what a stretch counted goes out as one block per part: words by the top bits of their hash, pairs by their context, and
+a context that stands before a large share of all tokens by the following word as well. The number of parts of pairs follows the
+number of tokens, so a part holds about ``PART_TOKENS`` of them at any size of the corpus. The model is stored as sorted
+arrays in the shared folder: per shard words (hash, count), per part its contexts and its pairs (place of the context and
+number of the word in one key, count), and by word number the weight of the lower order and the continuation probability.
+Workers memory-map them, so all tasks of a machine share one copy in its page cache and touch only the pages they look up.
 
-Words seen once in training are one class in the model's pairs, with its probability shared evenly among them and one slot
-for unseen words. Pairs seen fewer than ``min_pair_count`` times are counted everywhere but not stored: their mass goes to the
-lower order, so every context still sums to one.
+Every word and every pair of the training texts is kept, also those seen once. Words that training never saw share one
+place in the lower order.
 
 The shared folder must be one that all machines mount (local disk in tests, a network or mounted object store on a
 cluster), as only such files can be memory-mapped.
@@ -35,11 +36,12 @@ from pyspark.sql import functions as F
 from roadbook.llm.folders import new_folder
 from roadbook.llm.words import coded, hash_each, mixed, pieces, split_words, text_column
 
-MIN_PAIR_COUNT = 2
-COUNT_BYTES = 12 << 20  # of text that a task counts at once; more would combine more, but take more memory
+COUNT_BYTES = 8 << 20  # of text that a task counts at once; more would combine more, but take more memory
 SCORE_BYTES = 6 << 20
+PART_TOKENS = 2_500_000  # of training text that a part's pairs come from
 END_HASH = np.uint64(0x5851F42D4C957F2D)  # of the end token, which is no word
-_HOT_PART = 4  # a context with more than this part of a task's share of pairs is dealt to many tasks
+_HOT_SHARE = 4  # a context that stands before more than this part of a part's tokens is dealt by the next word as well
+_WORD_BITS = np.uint64(34)  # of a pair's key: the number of its word; a part has far fewer than 2^30 contexts
 
 
 def mounted(folder: str) -> str:
@@ -75,12 +77,13 @@ class Model:
     offsets: np.ndarray  # number of the first word of each shard
     tokens: int
     types: int
-    singles: int
     documents: int
-    lower_floor: float = 0.0  # probability of a word class without any predecessor
+    parts: int = 1
+    lower_floor: float = 0.0  # lower-order probability of a word without any predecessor
+    discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     _open: dict = field(default_factory=dict, repr=False)
 
-    unseen = property(lambda self: self.types)  # the class of rare words
+    unseen = property(lambda self: self.types)  # the number of all words that training did not see
     begin = property(lambda self: self.types + 1)
 
     def array(self, name: str, shard: int, kind: str) -> np.ndarray:
@@ -89,24 +92,19 @@ class Model:
         return self._open[name, shard]
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number (rare and unseen ones: their class) and count of each word."""
+        """Number and count of each word."""
         numbers, counts = np.full(len(hashes), self.unseen, np.int64), np.zeros(len(hashes), np.int64)
         order = np.argsort(hashes, kind="stable")
-        for shard, rows in self._by_shard(hashes, order):
-            keys = self.array("word", shard, "u8")
-            at = np.searchsorted(keys, hashes[rows])
-            found = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == hashes[rows]) if len(keys) else np.zeros(len(rows), bool)
-            counts[rows[found]] = self.array("count", shard, "i8")[at[found]]
-            numbers[rows[found]] = self.offsets[shard] + at[found]
-        numbers[counts < 2] = self.unseen
-        return numbers, counts
-
-    def _by_shard(self, hashes: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         shard = _shard_of(hashes[order], self.shards)
-        cuts = np.flatnonzero(np.diff(shard)) + 1
-        for rows in np.split(order, cuts):
-            if len(rows):
-                yield int(_shard_of(hashes[rows[:1]], self.shards)[0]), rows
+        for rows in np.split(order, np.flatnonzero(np.diff(shard)) + 1):
+            s = int(_shard_of(hashes[rows[:1]], self.shards)[0])
+            keys = self.array("word", s, "u8")
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes[rows]), len(keys) - 1)
+                found = keys[at] == hashes[rows]
+                counts[rows[found]] = self.array("count", s, "i8")[at[found]]
+                numbers[rows[found]] = self.offsets[s] + at[found]
+        return numbers, counts
 
     @cached_property
     def block(self) -> int:
@@ -124,9 +122,9 @@ class Model:
         return out
 
     def context_counts(self, numbers: np.ndarray) -> np.ndarray:
-        """How often each word class stands before a token."""
+        """How often each word stands before a token."""
         out = np.zeros(len(numbers), np.int64)
-        out[numbers == self.unseen], out[numbers == self.begin] = self.singles, self.documents
+        out[numbers == self.begin] = self.documents
         plain = np.flatnonzero(numbers < self.types)
         shard = np.searchsorted(self.offsets, numbers[plain], side="right") - 1
         for s in np.unique(shard):
@@ -134,21 +132,39 @@ class Model:
             out[rows] = self.array("count", int(s), "i8")[numbers[rows] - self.offsets[s]]
         return out
 
-    def pair_keys(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        return mixed(mixed(before.astype(np.uint64) + np.uint64(1)) + after.astype(np.uint64))
-
-    def pairs(self, keys: np.ndarray) -> np.ndarray:
-        """Discounted probability of each pair, 0 where none is stored."""
-        out = np.zeros(len(keys))
-        for shard, rows in self._by_shard(keys, np.arange(len(keys))):
-            stored = self.array("pair", shard, "u8")
-            if len(stored):
-                at = np.minimum(np.searchsorted(stored, keys[rows]), len(stored) - 1)
-                found = stored[at] == keys[rows]
-                out[rows[found]] = self.array("high", shard, "f8")[at[found]]
+    def part_of(self, before: np.ndarray, after: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The part that keeps a pair; ``counts`` are those of the contexts."""
+        spread = mixed(before.astype(np.uint64) + np.uint64(1))
+        hot = counts > self.tokens // (_HOT_SHARE * self.parts)
+        spread[hot] = mixed(spread[hot] + after[hot].astype(np.uint64))
+        return (spread % np.uint64(self.parts)).astype(np.int64)
+
+    def high(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Discounted probability of each pair, 0 for pairs that training did not see."""
+        out = np.zeros(len(before))
+        contexts, place = np.unique(before, return_inverse=True)
+        counts = self.context_counts(contexts)[place]
+        part = self.part_of(before, after, counts)
+        order = np.argsort(part, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            p = int(part[rows[0]])
+            known, keys = self.array("context", p, "i8"), self.array("pair", p, "u8")
+            if not len(keys):
+                continue
+            at = np.minimum(np.searchsorted(known, before[rows]), len(known) - 1)
+            wanted = _pair_key(at, after[rows])
+            spot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            found = (known[at] == before[rows]) & (keys[spot] == wanted)
+            n = self.array("times", p, "u4")[spot[found]].astype(np.int64)
+            rows = rows[found]
+            out[rows] = (n - np.array([0.0, *self.discounts])[np.minimum(n, 3)]) / counts[rows]
         return out
 
 
+def _pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return (context.astype(np.uint64) << _WORD_BITS) | word.astype(np.uint64)
+
+
 def _sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of all tokens, texts one after another with their end; hash of each code (the last is the
     end's); first token of each text."""
@@ -180,120 +196,154 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(docs[text].cast("string").alias("text"))
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest needs; the first byte says how many."""
+    size = next(b for b in (1, 2, 4, 8) if not len(values) or int(values.max()) < 1 << (8 * b))
+    return bytes([size]) + values.astype(f"<u{size}").tobytes()
+
+
+def _unpacked(body: bytes) -> np.ndarray:
+    return np.frombuffer(body, f"<u{body[0]}", offset=1)
+
+
+_BLOCK = "part int, a binary, b binary, n binary, texts bigint"
+
+
+def _blocks(part: np.ndarray, columns: list[np.ndarray], texts: int, most: int = 16) -> Iterator[pa.RecordBatch]:
+    """Columns that lie in order of ``part``, packed into one row per part; ``texts`` goes with the first.
+
+    The first column rises within a part, so its steps are kept.
+    """
+    first, *others = columns
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    spans = list(zip(cuts, cuts[1:]))
+    for at in range(0, len(spans), most):
+        some = spans[at : at + most]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(part[x]) for x, _ in some], pa.int32()),
+                pa.array([_packed(np.diff(first[x:y], prepend=first.dtype.type(0))) for x, y in some], pa.binary()),
+                *(pa.array([_packed(c[x:y]) for x, y in some], pa.binary()) for c in others),
+                pa.array([texts if at + i == 0 else 0 for i in range(len(some))], pa.int64()),
+            ],
+            ["part", "a", "b", "n", "texts"],
+        )
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], int]]:
+    """The columns of each part, put together again, from rows in which a part's follow one another."""
+
+    def whole(held: list[tuple]) -> tuple[int, list[np.ndarray], int]:
+        first = np.concatenate([np.cumsum(_unpacked(row[1]), dtype=np.uint64) for row in held])
+        others = [np.concatenate([_unpacked(row[i]) for row in held]).astype(np.int64) for i in (2, 3)]
+        return held[0][0], [first, *others], sum(row[4] for row in held)
+
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[0] != held[0][0]:
+                yield whole(held)
+                held = []
+            held.append(row)
+    if held:
+        yield whole(held)
+
+
+def _dealt(blocks: DataFrame, parts: int) -> DataFrame:
+    """One part per task."""
+    return blocks.repartitionById(parts, "part")
+
+
 def _count_words(docs: DataFrame, text: str, folder: str, shards: int) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, COUNT_BYTES):
             tokens, hashes, starts = _sequences(text_column(batch, "text"))
             counts = np.bincount(tokens, minlength=len(hashes))
-            ends = np.zeros(len(hashes), np.int64)
-            ends[-1] = len(starts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_shard_of(hashes, shards).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(counts), pa.array(ends)],
-                ["shard", "word", "n", "texts"],
-            )
+            order = np.argsort(hashes)
+            order = order[counts[order] > 0]
+            hashes, counts = hashes[order], counts[order]
+            yield from _blocks(_shard_of(hashes, shards), [hashes, np.zeros(len(hashes), np.int64), counts], len(starts))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        shard, words, counts = (table[c].to_numpy() for c in ("shard", "word", "n"))
-        words = words.view(np.uint64)
-        for s in np.unique(shard):
-            own = shard == s
-            distinct, place = np.unique(words[own], return_inverse=True)
-            total = np.bincount(place, counts[own]).astype(np.int64)
-            real = total > 0
-            _save(folder, "word", int(s), distinct[real])
-            _save(folder, "count", int(s), total[real])
-            yield pa.RecordBatch.from_pylist(
-                [
-                    {
-                        "shard": int(s),
-                        "types": int(real.sum()),
-                        "tokens": int(total.sum()),
-                        "singles": int((total == 1).sum()),
-                        "texts": int(table["texts"].to_numpy()[own].sum()),
-                    }
-                ]
-            )
-
-    rows = _texts(docs, text).mapInArrow(count, "shard int, word bigint, n bigint, texts bigint").repartition(shards, "shard")
-    sums = rows.mapInArrow(store, "shard bigint, types bigint, tokens bigint, singles bigint, texts bigint").collect()  # a row per shard
+        for shard, (words, _, counts), texts in _by_part(batches):
+            distinct, place = np.unique(words, return_inverse=True)
+            total = np.bincount(place, counts).astype(np.int64)
+            _save(folder, "word", shard, distinct)
+            _save(folder, "count", shard, total)
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "types": len(total), "tokens": int(total.sum()), "texts": texts}])
+
+    rows = _dealt(_texts(docs, text).mapInArrow(count, _BLOCK), shards)
+    sums = rows.mapInArrow(store, "shard bigint, types bigint, tokens bigint, texts bigint").collect()  # a row per shard
     types = np.zeros(shards, np.int64)
     for row in sums:
         types[row.shard] = row.types
-    return Model(
-        folder,
-        shards,
-        np.cumsum(types) - types,
-        sum(r.tokens for r in sums),
-        int(types.sum()),
-        sum(r.singles for r in sums),
-        sum(r.texts for r in sums),
-    )
+    tokens = sum(r.tokens for r in sums)
+    parts = max(shards, -(-tokens // PART_TOKENS))
+    return Model(folder, shards, np.cumsum(types) - types, tokens, int(types.sum()), sum(r.texts for r in sums), parts)
 
 
-def _summed(v: np.ndarray, w: np.ndarray, n: np.ndarray, numbers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in order of v and w, with the sums of their counts."""
-    if not len(v):
-        return v, w, n
+def _distinct(v: np.ndarray, w: np.ndarray, numbers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order of v and w, the order and first places that make them, and the place of each given pair among them."""
     if numbers < 1 << 31:  # a pair fits one number, which sorts faster
         order = np.argsort(v * np.int64(numbers) + w)
     else:
         order = np.lexsort((w, v))
-    v, w, n = v[order], w[order], n[order]
-    heads = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
-    return v[heads], w[heads], np.add.reduceat(n, heads)
+    first = np.append(True, (np.diff(v[order]) != 0) | (np.diff(w[order]) != 0)) if len(v) else np.zeros(0, bool)
+    heads = np.flatnonzero(first)
+    place = np.empty(len(v), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return v[order[heads]], w[order[heads]], (order, heads), place
 
 
-_FACTS = "kind int, a bigint, b bigint, n bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint"
+def _summed(v: np.ndarray, w: np.ndarray, n: np.ndarray, numbers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order of v and w, with the sums of their counts."""
+    if not len(v):
+        return v, w, n
+    v, w, (order, heads), _ = _distinct(v, w, numbers)
+    return v, w, np.add.reduceat(n[order], heads)
+
 
+_FACTS = "kind int, a bigint, n bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint"
 
-def _facts(kind: int, a, b=None, n=None, parts=None) -> pa.RecordBatch:
+
+def _facts(kind: int, a, n, parts=None) -> pa.RecordBatch:
     size = len(a)
-    zero = np.zeros(size, np.int64)
-    parts = parts if parts is not None else [zero] * 4
-    columns = [np.full(size, kind, np.int32), a, zero if b is None else b, zero if n is None else n, *parts]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "a", "b", "n", "n1", "n2", "n3", "n4"])
+    parts = parts if parts is not None else [np.zeros(size, np.int64)] * 4
+    columns = [np.full(size, kind, np.int32), a, n, *parts]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "a", "n", "n1", "n2", "n3", "n4"])
 
 
-def _count_pairs(docs: DataFrame, text: str, model: Model, path: str, min_pair_count: int) -> None:
-    """Facts about all pairs, by kind: 0 a stored pair (key, context's count, own count), 1 a context (its
-    distinct pairs by count), 2 a word (its distinct predecessors), 3 the number of pairs by count."""
-    tasks = model.shards
+def _count_pairs(docs: DataFrame, text: str, model: Model, path: str) -> None:
+    """Store all pairs and write facts about them, by kind: 1 a context (its distinct pairs by count), 2 a word (its
+    distinct predecessors), 3 the number of pairs by count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, COUNT_BYTES):
             tokens, hashes, starts = _sequences(text_column(batch, "text"))
-            numbers, counts = model.words(hashes)
-            after = numbers[tokens]
+            after = model.words(hashes)[0][tokens]
             before = _before(after, starts, model.begin)
             before, after, n = _summed(before, after, np.ones(len(after), np.int64), model.types + 2)
-            hot = model.context_counts(before) > model.tokens // (_HOT_PART * tasks)
-            part = mixed(before.astype(np.uint64) * np.uint64(64) + np.where(hot, after & 63, 0).astype(np.uint64)) % np.uint64(tasks)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(part.astype(np.int32)), pa.array(before), pa.array(after), pa.array(n)], ["part", "v", "w", "n"]
-            )
-            for i in range(0, out.num_rows, 200_000):
-                yield out.slice(i, 200_000)
+            heads = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
+            lengths = np.diff(np.append(heads, len(before)))
+            part = model.part_of(before, after, np.repeat(model.context_counts(before[heads]), lengths))
+            order = np.argsort(part, kind="stable")
+            yield from _blocks(part[order], [before[order], after[order], n[order]], 0)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        v, w, n = _summed(*(table[c].to_numpy() for c in ("v", "w", "n")), model.types + 2)
-        kept = n >= min_pair_count
-        yield _facts(0, model.pair_keys(v[kept], w[kept]).view(np.int64), model.context_counts(v[kept]), n[kept])
-        heads = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-        by_count = [np.add.reduceat((n == k).astype(np.int64), heads) for k in (1, 2)] + [np.add.reduceat((n > 2).astype(np.int64), heads)]
-        yield _facts(1, v[heads], n=model.context_counts(v[heads]), parts=[*by_count, np.zeros(len(heads), np.int64)])
-        words, found = np.unique(w, return_counts=True)
-        yield _facts(2, words, n=found.astype(np.int64))
-        yield _facts(3, np.zeros(1, np.int64), n=np.array([len(n)]), parts=[np.array([(n == k).sum()]) for k in (1, 2, 3, 4)])
-
-    rows = _texts(docs, text).mapInArrow(count, "part int, v bigint, w bigint, n bigint").repartition(tasks, "part")
+        for part, (v, w, n), _ in _by_part(batches):
+            v, w, n = _summed(v.view(np.int64), w, n, model.types + 2)
+            heads = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+            local = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(v))))
+            _save(model.folder, "context", part, v[heads])
+            _save(model.folder, "pair", part, _pair_key(local, w))
+            _save(model.folder, "times", part, n.astype("u4") if n.max() < 1 << 32 else n)
+            by_count = [np.add.reduceat(x.astype(np.int64), heads) for x in (n == 1, n == 2, n > 2)]
+            yield _facts(1, v[heads], model.context_counts(v[heads]), [*by_count, np.zeros(len(heads), np.int64)])
+            words, found = np.unique(w, return_counts=True)
+            yield _facts(2, words, found.astype(np.int64))
+            yield _facts(3, np.zeros(1, np.int64), np.array([len(n)]), [np.array([(n == k).sum()]) for k in (1, 2, 3, 4)])
+
+    rows = _dealt(_texts(docs, text).mapInArrow(count, _BLOCK), model.parts)
     rows.mapInArrow(merge, _FACTS).write.partitionBy("kind").parquet(path)
 
 
@@ -330,27 +380,7 @@ def _store_by_number(values: DataFrame, name: str, model: Model, missing: float)
     placed.repartition(model.shards, "part").select("a", "p").mapInArrow(store, "shard bigint").count()
 
 
-def _store_pairs(pairs: DataFrame, model: Model) -> None:
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        keys, p = table["a"].to_numpy().view(np.uint64), table["p"].to_numpy()
-        shard = _shard_of(keys, model.shards)
-        for s in np.unique(shard):
-            own = np.flatnonzero(shard == s)
-            own = own[np.argsort(keys[own])]
-            _save(model.folder, "pair", int(s), keys[own])
-            _save(model.folder, "high", int(s), p[own])
-            yield pa.RecordBatch.from_pydict({"shard": [int(s)]})
-
-    bits = model.shards.bit_length() - 1
-    shard = F.shiftrightunsigned("a", 64 - bits) if bits else F.lit(0)
-    pairs.withColumn("part", shard).repartition(model.shards, "part").select("a", "p").mapInArrow(store, "shard bigint").count()
-
-
-def train(docs: DataFrame, text: str = "text", min_pair_count: int = MIN_PAIR_COUNT, shards: int | None = None) -> Model:
+def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Model:
     spark: SparkSession = docs.sparkSession
     wanted = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = 1 << max(0, wanted - 1).bit_length()
@@ -360,19 +390,15 @@ def train(docs: DataFrame, text: str = "text", min_pair_count: int = MIN_PAIR_CO
     model = _count_words(docs, text, f"{folder}/arrays", shards)
     if not model.tokens:
         return model
-    _count_pairs(docs, text, model, f"{place}/facts", min_pair_count)
+    _count_pairs(docs, text, model, f"{place}/facts")
     facts = spark.read.schema(_FACTS).parquet(f"{place}/facts")
 
     counted = facts.where("kind = 3").agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in (1, 2, 3, 4)]).first()
-    d1, d2, d3 = discounts(*counted)
-    own = F.col("n").cast("double")
-    high = (own - F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)) / F.col("b").cast("double")
-    _store_pairs(facts.where("kind = 0").select("a", high.alias("p")), model)
+    model.discounts = discounts(*counted)
 
-    # what each context leaves to the lower order: its discounts, and the whole of what is not stored
-    left = [d if k >= min_pair_count else float(k) for k, d in ((1, d1), (2, d2))] + [d3]
+    # what each context leaves to the lower order: the sum of its discounts
     contexts = facts.where("kind = 1").groupBy("a").agg(F.max("n").alias("n"), *[F.sum(f"n{k}").alias(f"n{k}") for k in (1, 2, 3)])
-    weight = sum((F.col(f"n{k}") * F.lit(d) for k, d in zip((1, 2, 3), left)), F.lit(0.0)) / F.col("n")
+    weight = sum((F.col(f"n{k}") * F.lit(d) for k, d in zip((1, 2, 3), model.discounts)), F.lit(0.0)) / F.col("n")
     _store_by_number(contexts.select("a", weight.alias("p")), "left", model, 1.0)
 
     words = facts.where("kind = 2").groupBy("a").agg(F.sum("n").alias("n"))
@@ -381,8 +407,7 @@ def train(docs: DataFrame, text: str = "text", min_pair_count: int = MIN_PAIR_CO
     ).first()
     total, n1, n2, n3, n4, more = many
     e1, e2, e3 = discounts(n1, n2, n3, n4)
-    classes = model.types - model.singles + 1
-    model.lower_floor = (e1 * n1 + e2 * n2 + e3 * more) / total / classes
+    model.lower_floor = (e1 * n1 + e2 * n2 + e3 * more) / total / (model.types + 1)
     lower = (F.col("n") - F.when(F.col("n") == 1, e1).when(F.col("n") == 2, e2).otherwise(e3)) / F.lit(float(total)) + F.lit(model.lower_floor)
     _store_by_number(words.select("a", lower.alias("p")), "lower", model, model.lower_floor)
     return model
@@ -403,12 +428,10 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             if model.tokens:
                 after = numbers[tokens]
                 before = _before(after, starts, model.begin)
-                keys, place = np.unique(model.pair_keys(before, after), return_inverse=True)
+                v, w, _, place = _distinct(before, after, model.types + 2)
                 left, spot = np.unique(before, return_inverse=True)
                 lower = model.by_number("lower", numbers, model.lower_floor)
-                p = model.pairs(keys)[place] + model.by_number("left", left, 1.0)[spot] * lower[tokens]
-                p[after == model.unseen] /= model.singles + 1
-                logs = np.log10(p)
+                logs = np.log10(model.high(v, w)[place] + model.by_number("left", left, 1.0)[spot] * lower[tokens])
             total = np.add.reduceat(logs, starts)
             yield pa.RecordBatch.from_arrays(
                 [

@@ -127,16 +127,11 @@ def base_scores(docs, trained):
     return out
 
 
-def kneser_ney(texts, rare_pairs_stored=False):
-    """log10 probability of a text under the bigram model trained on the texts; words seen once are one class."""
+def kneser_ney(texts):
+    """log10 probability of a text under the bigram model trained on the texts; all words and pairs are kept."""
     split = [[*words(t, lower=True), None] for t in texts]
-    single = Counter(x for t in split for x in t)
-    rare = {w for w, c in single.items() if c < 2}
-    code = lambda w: w if single[w] > 1 else "<rare>"
-    pairs = Counter()
-    for t in split:
-        seq = ["<begin>", *map(code, t)]
-        pairs.update(zip(seq, seq[1:]))
+    types = {x for t in split for x in t}
+    pairs = Counter(p for t in split for p in zip(["<begin>", *t], t))
     context, kinds, before = Counter(), defaultdict(Counter), Counter()
     for (v, w), c in pairs.items():
         context[v] += c
@@ -153,21 +148,17 @@ def kneser_ney(texts, rare_pairs_stored=False):
 
     d, e = cut(pairs.values()), cut(before.values())
     total = sum(before.values())
-    classes = len(single) - len(rare) + 1
-    floor = sum(e[min(c, 3) - 1] for c in before.values()) / total / classes
+    floor = sum(e[min(c, 3) - 1] for c in before.values()) / total / (len(types) + 1)
     lower = lambda w: (before[w] - e[min(before[w], 3) - 1] if before[w] else 0) / total + floor
-    given = (d[0] if rare_pairs_stored else 1.0, d[1], d[2])
 
     def p(v, w):
-        left = sum(given[k - 1] * n for k, n in kinds[v].items()) / context[v] if context[v] else 1.0
+        left = sum(d[k - 1] * n for k, n in kinds[v].items()) / context[v] if context[v] else 1.0
         c = pairs[v, w]
-        high = (c - d[min(c, 3) - 1]) / context[v] if c >= (1 if rare_pairs_stored else 2) else 0.0
-        out = high + left * lower(w)
-        return out / (len(rare) + 1) if w == "<rare>" else out
+        return ((c - d[min(c, 3) - 1]) / context[v] if c else 0.0) + left * lower(w)
 
     def score(text):
-        seq = ["<begin>", *map(code, [*words(text, lower=True), None])]
-        return sum(math.log10(p(v, w)) for v, w in zip(seq, seq[1:]))
+        seq = [*words(text, lower=True), None]
+        return sum(math.log10(p(v, w)) for v, w in zip(["<begin>", *seq], seq))
 
-    score.p, score.classes = p, [w for w in single if single[w] > 1] + ["<rare>"] * (len(rare) + 1)
+    score.p, score.words = p, [*types, "<unseen>"]
     return score
