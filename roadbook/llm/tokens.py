@@ -1,6 +1,8 @@
 """Token counts as a public tokenizer gives them, for documents of any length.
 
-Ordinary documents are encoded whole. A huge document is encoded in overlapping chunks with offsets.
+Ordinary documents are cut into words with the blanks before them, where the tokenizer is known to cut at
+white space itself, and a bounded memo of words saves encoding them again (``llm/wordmemo.py``); with
+any other tokenizer they are encoded whole. A huge document is encoded in overlapping chunks with offsets.
 Where two chunks overlap they are spliced at a stable common boundary: a place next to white space
 at which both encodings begin a token and around which their tokens agree. These tokenizers
 cut at white space before they merge, and neither their normalisation nor a special string reaches
@@ -16,14 +18,18 @@ at the start of what they encode, so their documents are encoded whole at any le
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from roadbook.llm.wordmemo import Memo, at_blanks, blank_runs, cuts_at_blanks, word_pieces
+
 CHUNK_CHARS = 60_000
 OVERLAP_CHARS = 600
 AGREE = 4  # tokens on either side that must be equal
@@ -38,7 +44,7 @@ class Counter:
 
         path = name if os.path.isabs(name) else public_tokenizers.path(name)
         self.chunk, self.overlap = chunk_chars, overlap_chars
-        self.pieces = self.coder = None
+        self.pieces = self.coder = self.memo = None
         if path.endswith(".model"):
             import sentencepiece
 
@@ -51,21 +57,42 @@ class Counter:
             self.coder.no_padding()
             probe = self.coder.encode("a b", add_special_tokens=False).offsets
             self.blank_leads = any(start == 1 for start, _ in probe)
+            if cuts_at_blanks(json.loads(self.coder.to_str())):
+                self.memo, self.words = Memo(lambda count: 0), Memo(lambda count: 0)
 
     def counts(self, texts: list[str]) -> list[int]:
         if self.pieces is not None:
             return [len(x) for x in self.pieces.encode(texts, num_threads=1)]
         short = [i for i, t in enumerate(texts) if len(t) <= 2 * self.chunk]
         out = [0] * len(texts)
-        for at in range(0, len(short), 64):
-            some = short[at : at + 64]
-            for i, coded in zip(some, self.coder.encode_batch_fast([texts[i] for i in some], add_special_tokens=False)):
-                out[i] = len(coded)
+        if self.memo is not None:
+            for i, count in zip(short, self.memo_counts([texts[i] for i in short])):
+                out[i] = count
+        else:
+            for i, count in zip(short, self.encoded_lengths([texts[i] for i in short])):
+                out[i] = count
         for i, text in enumerate(texts):
             if len(text) > 2 * self.chunk:
                 out[i] = self.spliced(text)
         return out
 
+    def memo_counts(self, texts: list[str]) -> list[int]:
+        array = pa.array(texts, pa.large_string())
+        careful = blank_runs(array)
+        values, codes, offsets = at_blanks(array.filter(pa.array(~careful)), self.words, self.word_counts)
+        until = np.concatenate([[0], np.cumsum(np.array(values, np.int64)[codes])])
+        plain = iter((until[offsets[1:]] - until[offsets[:-1]]).tolist())
+        others = iter(self.word_counts([t for t, c in zip(texts, careful) if c]))
+        return [next(others) if c else next(plain) for c in careful]
+
+    def word_counts(self, texts: list[str]) -> list[int]:
+        return [sum(found) for found in self.memo.values([word_pieces(t) for t in texts], self.encoded_lengths)]
+
+    def encoded_lengths(self, texts: list[str], at_once: int = 64) -> Iterator[int]:
+        for at in range(0, len(texts), at_once):
+            for coded in self.coder.encode_batch_fast(texts[at : at + at_once], add_special_tokens=False):
+                yield len(coded)
+
     def encoded(self, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
         """(id, from, to) of each token, in offsets of the whole text."""
         coded = self.coder.encode(text[start:end], add_special_tokens=False)

@@ -12,6 +12,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from roadbook.llm.words import coded
+
 PLAIN = " \t\n\r"
 # white space for some engine and perhaps not for another: no cut next to these
 DOUBTFUL = (
@@ -19,6 +25,7 @@ DOUBTFUL = (
     "\u2006\u2007\u2008\u2009\u200a\u200b\u200c\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 )
 
+_BEFORE_BLANK = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in PLAIN + DOUBTFUL) + "] "
 _DOUBT = re.compile(f"[{DOUBTFUL}]")
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 MARKS = ".,;:!?"
@@ -73,6 +80,27 @@ def cuts_at_blanks(parts: dict) -> bool:
     return leaves_out and harmless
 
 
+def blank_runs(texts: pa.Array) -> np.ndarray:
+    """Which texts have a blank after other white space; all others can be cut at each blank."""
+    return pc.match_substring_regex(texts, _BEFORE_BLANK).to_numpy(zero_copy_only=False)
+
+
+def at_blanks(texts: pa.Array, known: Memo, encode: Callable[[list[str]], Iterable]) -> tuple[list, np.ndarray, np.ndarray]:
+    """Texts without ``blank_runs`` cut at each blank: the values of the batch's distinct words, for each word in
+    order which value it has, and the words' offsets by text.
+
+    A word is looked up with the blank before it, but the first of a text has none.
+    """
+    lists = pc.split_pattern(texts, " ")
+    offsets = np.asarray(lists.offsets).astype(np.int64)
+    codes, distinct = coded(lists.values)
+    first = np.flatnonzero(np.diff(offsets))
+    heads = lists.values.take(pa.array(offsets[first])).to_pylist()
+    codes = codes.copy()
+    codes[offsets[first]] = len(distinct) + np.arange(len(first))
+    return known.values([[f" {w}" for w in distinct.to_pylist()] + heads], encode)[0], codes, offsets
+
+
 class Memo(dict):
     """What an encoder gives for pieces of text; emptied when it reaches a bound in bytes."""
 
