@@ -37,6 +37,10 @@ HEADLINE = (
     "upsert_vehicle_state",
     "daily_job",
     "live_fleet",
+    "idle_alerts_stream",
+    "zone_windows_stream",
+    "zone_windows_united",
+    "daily_earnings_incremental",
 )
 RUNS = 3
 

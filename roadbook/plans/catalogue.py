@@ -287,6 +287,15 @@ def idle_alerts_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(spark.read.parquet(f"{folder}/rows"))
 
 
+def stored_streaks(spark: SparkSession, sf: str) -> DataFrame:
+    """The streaks that the alert stream's own state holds after the whole feed."""
+    folder = _run_folder(spark, "stored_streaks")
+    alerts = live_idle.live_idle_alerts(_feed_silver(spark, sf), IDLE_MINUTES)
+    query = alerts.writeStream.format("noop").option("checkpointLocation", folder).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return _plain(live_idle.stored_streaks(spark, folder))
+
+
 def _with_provider(query: Query) -> Query:
     """Streams with timers or several state variables need the RocksDB state store; the caller's
     setting is put back."""
@@ -374,6 +383,7 @@ def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
 _STREAMS: dict[str, Query] = {
     "stream_progress": stream_progress,
     "idle_alerts_stream": _with_provider(idle_alerts_stream),
+    "stored_streaks": _with_provider(stored_streaks),
     "zone_windows_stream": zone_windows_stream,
     "zone_windows_final_stream": zone_windows_final_stream,
     "live_fleet": lambda s, sf: _plain(_live_tables(s, sf).fleet(s)),

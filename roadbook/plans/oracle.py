@@ -345,7 +345,7 @@ FROM alert_rows"""
 # Dates are compared as text, for the engines hand them to Python as different types.
 _DATE_COLUMNS = {
     "report_date": (
-        "daily_earnings vehicle_profitability profit_by_date profit_latest vehicle_profit_on vehicle_profit_latest"
+        "daily_earnings daily_earnings_incremental vehicle_profitability profit_by_date profit_latest vehicle_profit_on vehicle_profit_latest"
         " profit_summary loss_leaders unreconciled_vehicles daily_job rows_per_date expense_history"
     ).split(),
     "summary_date": ["daily_summary"],
@@ -456,6 +456,16 @@ def _statements() -> dict[str, str]:
             "alert_rows",
             "silver",
         ),
+        "stored_streaks": s(
+            f"SELECT n.vehicle_id, i.idle_since, n.event_ts AS last_event_ts,"
+            f" coalesce(epoch_us(n.event_ts) - epoch_us(i.idle_since) >= {_IDLE_MICROS}, false) AS idle_alert_sent"
+            " FROM (SELECT * FROM silver"
+            "   WHERE event_ts < (SELECT date_trunc('milliseconds', max(event_ts)) - INTERVAL 2 MINUTE FROM silver)"
+            "   QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY event_ts DESC, event_id DESC) = 1) n"
+            " LEFT JOIN idling i USING (event_id)",
+            "idling",
+            "silver",
+        ),
         "live_recent_alerts": s("SELECT * FROM alert_rows ORDER BY created_at DESC, vehicle_id LIMIT 50", "alert_rows"),
         "live_zones": s(
             f"SELECT * EXCLUDE (avg_speed), (SELECT {_stored('avg(speed)')} FROM newest n"

@@ -58,7 +58,8 @@ class LiveTables:
     def recent_alerts(self, spark: SparkSession, limit: int = contract.ALERTS_DEFAULT) -> DataFrame:
         """The newest alerts; only as many dates of the logs are read as it takes."""
         paths = [self.path(name) for name in (VEHICLE_ALERTS, FEED_ALERTS)]
-        return serving.recent_alerts(logs.newest_rows(spark, paths, contract.ALERTS, "alert_date", limit), limit)
+        rows = logs.newest_rows(spark, paths, contract.ALERTS, "alert_date", limit)
+        return serving.recent_alerts(rows.drop("alert_date", "run", "batch_id"), limit)
 
     def rejected(self, spark: SparkSession) -> DataFrame:
         return dead_letters.read_rejected(spark, self.path("rejected"))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -113,6 +113,20 @@ class IdleWatch(StatefulProcessor):
         pass
 
 
+def stored_streaks(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What a checkpoint of ``live_idle_alerts`` knows of each vehicle, read from its state store without running the
+    query: the newest event that the watermark has passed, the start of the idle streak open there, whether its alert went out."""
+    rows = spark.read.format("statestore").option("stateVarName", "vehicle").load(checkpoint)
+    value = F.col("value")
+    idle = value["last_status_idle"]
+    return rows.select(
+        F.col("key.vehicle_id").alias("vehicle_id"),
+        F.when(idle, F.timestamp_micros(value["idle_since"])).alias("idle_since"),
+        F.timestamp_micros(value["last_ts"]).alias("last_event_ts"),
+        F.coalesce(idle & value["sent"], F.lit(False)).alias("idle_alert_sent"),
+    )
+
+
 def live_idle_alerts(
     silver: DataFrame, threshold_minutes: float = IDLE_THRESHOLD_MINUTES, watermark: str = WATERMARK
 ) -> DataFrame:
