@@ -29,17 +29,15 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from roadbook.llm.words import pieces
-from roadbook.llm.wordmemo import LETTERS, Memo, cuts_at_blanks, slices, word_pieces
+from roadbook.llm.wordmemo import LETTERS, Memo, at_blanks, blank_runs, cuts_at_blanks, slices, word_pieces
+from roadbook.llm.words import pieces, text_column
 
 LENGTH = 2048
 END_ID = 1
@@ -51,7 +49,7 @@ GROUP_CHARS = 4 << 20  # of texts whose new words are encoded together
 INNER_STEP = 64  # places offered where no sentence ends
 
 _PLAIN = re.compile(f"[ \\t\\n\\r!-;=>?-~{LETTERS}]*")  # white space, ASCII but for one sign that added tokens hold, letters
-_WORD = re.compile(f"[ \\t\\n\\r]+[!-;=>?-~{LETTERS}]+")
+_WORD = re.compile(f"[ \\t\\n\\r][ \\t\\n\\r!-;=>?-~{LETTERS}]*[!-;=>?-~{LETTERS}]")  # begins with white space and ends with none
 _SENTENCE_END = re.compile(r"[.!?。！？][\"')\]’”]*$")
 
 
@@ -105,12 +103,27 @@ class Encoder:
             else:
                 yield self.piece(text)
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: pa.Array) -> list[bytes]:
         if not self.cuts:
-            return [self.piece(t) for t in texts]
-        cut = [word_pieces(part) for t in texts for part in slices(t)]
-        coded = (b"".join(values) for values in self.memo.values(cut, self.pieces))
-        return [b"".join(islice(coded, sum(1 for _ in slices(t)))) for t in texts]
+            return [self.piece(t) for t in texts.to_pylist()]
+        careful = blank_runs(texts)
+        plain = iter(self.ids_at_blanks(texts.filter(pa.array(~careful))))
+        others = iter(texts.filter(pa.array(careful)).to_pylist())
+        return [self.ids_by_piece(next(others)) if c else next(plain) for c in careful]
+
+    def ids_by_piece(self, text: str) -> bytes:
+        return b"".join(b"".join(values) for part in slices(text) for values in self.memo.values([word_pieces(part)], self.pieces))
+
+    def ids_at_blanks(self, texts: pa.Array) -> Iterator[bytes]:
+        values, codes, offsets = at_blanks(texts, self.memo, self.pieces)
+        ids = np.frombuffer(b"".join(values), "<u4")
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        until = np.concatenate([[0], np.cumsum(each)])
+        flat = ids[np.repeat(starts[codes] - until[:-1], each) + np.arange(until[-1])]
+        for a, b in zip(until[offsets[:-1]].tolist(), until[offsets[1:]].tolist()):
+            yield flat[a:b].tobytes()
 
 
 def _bytes_of_alphabet() -> dict[str, int]:
@@ -288,8 +301,7 @@ def pack(
 
         for batch in batches:
             for piece in pieces(batch, "text", GROUP_CHARS):
-                texts = pc.fill_null(piece.column("text"), "").to_pylist()
-                for i, ids in enumerate(code(texts)):
+                for i, ids in enumerate(code(text_column(piece, "text"))):
                     keys.append(piece.column("id").slice(i, 1))
                     encoded.append(ids + tail)
                     held += len(ids) // 4 + 1

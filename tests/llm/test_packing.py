@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from roadbook.llm import packing, queries
@@ -95,7 +96,7 @@ def test_ids_are_the_librarys(coder):
     assert encoder.merge is not None and encoder.cuts
     for _ in range(500):
         texts = [odd_text(rng) for _ in range(10)]
-        for text, ids in zip(texts, encoder.ids(texts)):
+        for text, ids in zip(texts, encoder.ids(pa.array(texts, pa.large_string()))):
             assert np.frombuffer(ids, "<u4").tolist() == coder.encode(text, add_special_tokens=False).ids, repr(text)
 
 
