@@ -5,25 +5,30 @@ Every source asks for its weight's share of the mix. A source whose share exceed
 proportion to their weights, until no source is above its cap. Each round of that needs two
 sums over the free and the clamped sources, which Spark takes; only those sums come to the driver.
 
-A source's rate is its target over its words. A document is taken whole as often as the whole
-part of the rate says; the fractional part takes that fraction of its words as one more, partial
-repetition, rounded up or down by a hash of its id and the seed. So every source comes within
-rounding of its target, even if it holds one document, and reruns agree.
+A source's rate is its target over its words. Every document is taken whole as often as the whole part of
+the rate says. The words still missing come from a sample of whole documents: the source's documents in the order of
+a hash of seed and id, until the target is met; only the document at the boundary gives a part of itself, from its text's
+start. So a source comes within a word of its target, and reruns agree. No task orders a source: its words are summed per range
+of the hash, the range that holds the boundary is found by a running sum over the ranges, and only documents in that range are ordered.
 
 Defined results: null text has no words. A null source is a source of its own and comes last.
-A null id is hashed as an empty one. Rows that repeat are documents of their own. A source
+A null id is hashed as an empty one and comes last among equal hashes. Rows of a source that repeat id and size share one place
+in the order; at the boundary each of them gives an equal part, rounded down. A source
 without words has target 0, and so has every source of an empty corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadbook.llm.folders import stored
 
+RANGE_BITS = 12  # of the hash; a source's words are summed per range
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -92,9 +97,50 @@ def water_fill(sizes: DataFrame, weights: Sequence[int], share_percent: int, max
 
 
 def seeded(key: Column, seed: int) -> Column:
-    """A number in [0, 1) from id and seed."""
+    """A whole number below 2^32 from id and seed."""
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 8)
-    return F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(digits, 16, 10).cast("bigint")
+
+
+def _sampled(measured: DataFrame, filled: DataFrame) -> DataFrame:
+    """Per source its ``target``, ``whole`` repetitions and the range of hashes in which its sample ends, with the ``room`` left
+    for documents of that range; every range below is taken, none above."""
+    size, target = F.col("source_size").cast("double"), F.col("target")
+    whole = F.when(F.col("source_size") > 0, F.floor(target / size)).otherwise(F.lit(0)).cast("bigint")
+    quotas = filled.withColumn("whole", whole).withColumn(
+        "quota", F.floor(target - F.col("whole").cast("double") * size + F.lit(0.5)).cast("bigint")
+    )
+    ranges = measured.groupBy("source", F.shiftright("hash", 32 - RANGE_BITS).alias("range")).agg(F.sum("size").alias("words"))
+    # at most 2^RANGE_BITS rows per source
+    so_far = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranges.withColumn("until", F.sum("words").over(so_far)).withColumnRenamed("source", "of")
+    held = summed.join(quotas, F.col("of").eqNullSafe(F.col("source"))).where(F.col("until") <= F.col("quota"))
+    below = held.groupBy(F.col("source").alias("of")).agg(F.max("range").alias("last"), F.max("until").alias("taken"))
+    joined = quotas.join(below, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    return joined.select(
+        F.col("source").alias("of"),
+        "source_size",
+        "target",
+        "whole",
+        F.coalesce("last", F.lit(-1)).alias("last"),
+        (F.col("quota") - F.coalesce("taken", F.lit(0))).alias("room"),
+    )
+
+
+def _boundary(measured: DataFrame, sampled: DataFrame) -> DataFrame:
+    """What each document of a boundary range gives, once per place in the order."""
+    inside = measured.join(sampled, F.col("source").eqNullSafe(F.col("of")))
+    following = inside.where((F.col("range") > F.col("last")) & (F.col("room") > 0) & (F.col("size") > 0))
+    first = following.groupBy("of").agg(F.min("range").alias("range"))
+    near = following.drop("of").join(first.withColumnRenamed("range", "at"), F.col("source").eqNullSafe(F.col("of")))
+    groups = near.where("range = at").groupBy("source", "hash", "id", "size").agg(F.count(F.lit(1)).alias("n"), F.first("room").alias("room"))
+    order = Window.partitionBy("source").orderBy("hash", F.col("id").asc_nulls_last(), "size")
+    before = F.coalesce(F.sum(F.col("n") * F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.greatest(F.col("room") - before, F.lit(0))
+    part = F.least(F.col("size"), F.floor(left / F.col("n")).cast("bigint"))
+    return groups.select(
+        F.col("source").alias("b_source"), F.col("hash").alias("b_hash"), F.col("id").alias("b_id"), F.col("size").alias("b_size"), part.alias("part")
+    )
 
 
 def mix_plan(
@@ -114,16 +160,19 @@ def mix_plan(
     With ``whole_rows`` the document's own columns come first, followed by the others.
     """
     row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if whole_rows else []
-    measured = docs.select(
-        *row, docs[key].alias("id"), docs[source].cast("string").alias("source"), word_count(docs[text].cast("string")).alias("size")
-    )
-    sizes = docs.select(docs[source].cast("string").alias("source"), word_count(docs[text].cast("string")).alias("size"))
-    sizes = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    filled = stored(water_fill(sizes, weights, share_percent, max_epochs), "targets")
-    filled = filled.withColumnRenamed("source", "of")
-    rate = F.col("size") * F.col("target") / F.col("source_size").cast("double")
-    taken = F.when(F.col("source_size") > 0, F.floor(rate + seeded(F.col("id"), seed))).otherwise(F.lit(0)).cast("bigint")
-    planned = measured.join(filled, F.col("source").eqNullSafe(F.col("of"))).withColumn("taken", taken)
+    words = word_count(docs[text].cast("string"))
+    facts = [docs[key].alias("id"), docs[source].cast("string").alias("source"), seeded(docs[key], seed).alias("hash"), words.alias("size")]
+    measured = docs.select(*row, *facts)
+    small = stored(docs.select(*facts).withColumn("range", F.shiftright("hash", 32 - RANGE_BITS)), "sizes")
+    sizes = small.groupBy("source").agg(F.sum("size").alias("source_size"))
+    filled = water_fill(sizes, weights, share_percent, max_epochs)
+    sampled = stored(_sampled(small, filled), "samples")
+    boundary = stored(_boundary(small, sampled), "boundaries")
+    planned = measured.withColumn("range", F.shiftright("hash", 32 - RANGE_BITS)).join(sampled, F.col("source").eqNullSafe(F.col("of")))
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("source", "b_source"), ("hash", "b_hash"), ("id", "b_id"), ("size", "b_size"))]
+    planned = planned.join(boundary, reduce(and_, same), "left")
+    sampled_words = F.when(F.col("range") <= F.col("last"), F.col("size")).otherwise(F.coalesce("part", F.lit(0)))
+    planned = planned.withColumn("taken", F.col("whole") * F.col("size") + sampled_words)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("bigint")
     own = [F.col("row")[c].alias(c) for c in docs.columns] if whole_rows else [F.col("id").alias(key)]
     out = {
@@ -136,3 +185,28 @@ def mix_plan(
     }
     taken_names = set(docs.columns) if whole_rows else {key}
     return planned.select(*own, *[c.alias(n if n not in taken_names else f"mix_{n}") for n, c in out.items()])
+
+
+def mix(
+    docs: DataFrame,
+    weights: Sequence[int],
+    share_percent: int,
+    max_epochs: int,
+    seed: int = 7,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """The mixed corpus: the documents' columns, one row per repetition and ``repetition`` from 1; documents that are not taken go.
+
+    The partial repetition, which comes last, holds the first words of its text, joined by one space. Should the documents have a column
+    of that name, the number is called ``mix_repetition``.
+    """
+    plan = mix_plan(docs, weights, share_percent, max_epochs, seed, key, text, source, whole_rows=True)
+    name = {n: n if n not in docs.columns else f"mix_{n}" for n in ("copies", "part_words", "repetition")}
+    copies, part = F.col(name["copies"]), F.col(name["part_words"])
+    times = copies + (part > 0).cast("bigint")
+    rows = plan.where(times > 0).withColumn(name["repetition"], F.explode(F.sequence(F.lit(1).cast("bigint"), times)))
+    first_words = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})")), F.lit(1), part.cast("int")), " ")
+    cut = F.when(F.col(name["repetition"]) > copies, first_words).otherwise(F.col(text)).alias(text)
+    return rows.select(*[cut if c == text else F.col(c) for c in docs.columns], name["repetition"])

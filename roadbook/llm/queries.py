@@ -162,12 +162,23 @@ t AS (
   SELECT source, source_size,
          CASE WHEN o.place < (SELECT place FROM l) OR (SELECT place FROM l) IS NULL THEN cap::DOUBLE
               ELSE (SELECT rest FROM l)::DOUBLE * weight::DOUBLE / (SELECT level FROM l)::DOUBLE END AS target
-  FROM o)
-SELECT d.doc_id, d.size, t.source_size, t.target,
-       CASE WHEN t.source_size > 0 THEN floor(d.size * t.target / t.source_size::DOUBLE
-         + ('0x' || substr(md5('{MIX_SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0)::BIGINT
-         ELSE 0 END AS taken
-FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM o),
+q AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size::DOUBLE) ELSE 0 END::BIGINT AS whole FROM t),
+h AS (
+  SELECT d.doc_id, d.size, d.source, q.source_size, q.target, q.whole,
+         floor(q.target - q.whole::DOUBLE * q.source_size::DOUBLE + 0.5)::BIGINT AS quota,
+         ('0x' || substr(md5('{MIX_SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT AS hash
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+g AS (  -- documents in seeded order; rows that repeat share a place
+  SELECT source, hash, doc_id, size, quota, count(*) AS n,
+         coalesce(sum(count(*) * size) OVER (PARTITION BY source ORDER BY hash, doc_id NULLS LAST, size
+                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM h GROUP BY source, hash, doc_id, size, quota)
+SELECT h.doc_id, h.size, h.source_size, h.target,
+       h.whole * h.size + least(h.size, greatest(g.quota - g.before, 0) // g.n)::BIGINT AS taken
+FROM h JOIN g ON h.source IS NOT DISTINCT FROM g.source AND h.hash = g.hash
+             AND h.doc_id IS NOT DISTINCT FROM g.doc_id AND h.size = g.size
 """
 
 # from the definition, order by order: a document falls to the first filter of the order that it fails

@@ -3,6 +3,7 @@ from __future__ import annotations
 import brute
 import corpus_pipeline
 import pytest
+from test_mixing import brute_plan
 
 from roadbook.llm import langid
 from roadbook.llm.folders import stored
@@ -36,10 +37,14 @@ def test_each_stage_on_its_own_input(spark, given):
     assert ids["near copies"][1] == {d[0] for d in brute.near(kept["near copies"][0]) if d[3]}
     assert ids["benchmark"][1] == {d[0] for d in brute.contamination(kept["benchmark"][0], items) if not d[5]}
     before, after = kept["mix"]
-    assert ids["mix"][0] == ids["mix"][1]
+    taken = {}
+    for r in after:
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + len(r["text"].split())
+    assert taken == {key: n for key, _, n in brute_plan(before) if n}
     total = sum(len((r["text"] or "").split()) for r in before)
-    assert abs(sum(r["taken"] for r in after) - 1.5 * total) < 0.01 * total
-    assert sorted((r["doc_id"], r["taken"]) for r in after) == sorted((r.doc_id, r.taken) for r in corpus_pipeline.run(spark, SF).collect())
+    assert abs(sum(taken.values()) - 1.5 * total) < 0.01 * total and len(taken) < len(before)
+    key = lambda r: (r["doc_id"], r["repetition"], r["text"])
+    assert sorted(map(key, after)) == sorted(key(r.asDict()) for r in corpus_pipeline.run(spark, SF).collect())
 
 
 @pytest.mark.parametrize("extra", [False, True])
@@ -54,4 +59,4 @@ def test_stages_keep_columns_and_stand_odd_rows(spark, make_docs, extra):
         assert out.schema.fields[0].dataType == docs.schema.fields[0].dataType
         assert stage(spark, docs.where("false"), SF).count() == 0
         docs = stored(out, "stage")
-        assert docs.count() >= 2
+        assert docs.count() >= 1
