@@ -10,8 +10,12 @@ With runs up to 2 and 3 words and pairs up to 3 and 6 words that is 2 + 2 + 3 +
 window of 35 words has 15 words within, and 15 ≥ 2·6 − 1 words always hold a whole symbol. Each window takes its longest
 symbol there, with the smallest name, as its anchor. Equal windows have equal anchors at equal distance.
 
-Windows are sent by their anchor's name, a block of consecutive windows at a time with a 64-bit hash of each window's words; windows
-with equal anchor, distance and hash are one passage. Blocks that are equal within a batch of documents
+Every window with an anchor also holds the ten words on either side of it, so the anchor's key is made of its symbol and of
+these words. Consecutive windows with one anchor are a block. A first pass counts the blocks of each key, combined before the
+shuffle; a key that occurs once has no repeated window. A second pass sends the blocks of the other keys, found by a filter
+of fixed size that lets some more through, with a 64-bit hash of each window's words; windows with equal key,
+distance and hash are one passage, so two 64-bit hashes of different words must agree for a mistake. Keys that hold a large share of all blocks, like a long line in a third
+of all documents, are dealt out by the windows' hashes as well. Blocks that are equal within a batch of documents
 travel as one row with the places where they start, so a passage in a third of all documents sends one row per
 batch. Repeated windows go back to their documents, where the words they cover are removed.
 
@@ -23,20 +27,24 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadbook.llm import bitmap
+from roadbook.llm.folders import stored
 from roadbook.llm.words import BASE, coded, hash_each, mixed, pieces, split_words, text_column
 
 WINDOW = 35
 RUN_WORDS = (2, 3)  # longest run of a round
 PAIR_WORDS = (3, 6)  # longest pair of a round
 _LONGEST = PAIR_WORDS[-1]
-CUT_BYTES = 16 << 20  # of text that a task cuts into windows at once
-_FP_BYTES = 8
+CUT_BYTES = 8 << 20  # of text that a task cuts into windows at once
+HOT_LEAST = 1000  # blocks of a key that are never too many for one task
+_HOT_SHARE = 4  # a key with more than this part of a task's share of blocks is dealt out by window
 
 
 def _edge() -> int:
@@ -115,11 +123,24 @@ def _window_hashes(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 _BLOCKS = "name bigint, first int, windows binary, places binary"
-_PLACE = np.dtype([("row", "<i8"), ("start", "<i4")])
+_PLACE = np.dtype([("row", "<i8"), ("check", "<i4"), ("start", "<i4")])
 
 
-def _blocks(keys: np.ndarray, texts: pa.Array, window: int) -> pa.RecordBatch | None:
-    """Blocks of consecutive windows with one anchor; equal blocks of the batch as one row."""
+@dataclass
+class _Cut:
+    """The windows of a batch of texts: first word, anchor word and hash of each; where blocks begin and what key they have."""
+
+    doc: np.ndarray
+    offsets: np.ndarray
+    at: np.ndarray
+    anchor: np.ndarray
+    prints: np.ndarray
+    heads: np.ndarray
+    counts: np.ndarray
+    keys: np.ndarray
+
+
+def _cut(texts: pa.Array, window: int) -> _Cut | None:
     words, offsets = split_words(texts, lower=False)
     if len(words) < window:
         return None
@@ -133,28 +154,64 @@ def _blocks(keys: np.ndarray, texts: pa.Array, window: int) -> pa.RecordBatch |
     at = np.flatnonzero(whole)
     if not len(at):
         return None
-    anchor, prints = anchor[at], (_window_hashes(hashes, window)[at] >> np.uint64(64 - 8 * _FP_BYTES))
-    name_at = np.zeros(n, np.uint64)
-    name_at[start] = names
+    anchor = anchor[at]
     new = np.ones(len(at), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (doc[at[1:]] != doc[at[:-1]])
     heads = np.flatnonzero(new)
-    counts = np.diff(np.append(heads, len(at)))
-    name, first, begin = name_at[anchor[heads]], (anchor[heads] - at[heads]).astype(np.int64), at[heads]
+    name_at = np.zeros(n, np.uint64)
+    name_at[start] = names
+    edge = _edge()
+    around = _window_hashes(hashes, 2 * edge + 1)
+    keys = mixed(name_at[anchor[heads]] * BASE + around[anchor[heads] - edge])
+    return _Cut(doc, offsets, at, anchor, _window_hashes(hashes, window)[at], heads, np.diff(np.append(heads, len(at))), keys)
+
+
+def _key_counts(texts: pa.Array, window: int) -> pa.RecordBatch | None:
+    cut = _cut(texts, window)
+    if cut is None:
+        return None
+    keys, counts = np.unique(cut.keys, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, … for counts[i] numbers each, one after another."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def _blocks(
+    rows: np.ndarray, checks: np.ndarray, texts: pa.Array, window: int, wanted: np.ndarray | None = None, hot: np.ndarray | None = None
+) -> pa.RecordBatch | None:
+    """Blocks of the wanted keys; equal blocks of the batch as one row. Blocks of hot keys are cut into single windows."""
+    cut = _cut(texts, window)
+    if cut is None:
+        return None
+    chosen = np.flatnonzero(bitmap.passes(wanted, cut.keys)) if wanted is not None else np.arange(len(cut.heads))
+    heads, counts, keys = cut.heads[chosen], cut.counts[chosen], cut.keys[chosen]
+    if hot is not None and len(hot):
+        single = np.isin(keys, hot)
+        alone = _ranges(heads[single], counts[single])
+        own = mixed(mixed(np.repeat(keys[single], counts[single]) + cut.prints[alone]) + (cut.anchor - cut.at)[alone].astype(np.uint64))
+        heads, counts = np.concatenate([heads[~single], alone]), np.concatenate([counts[~single], np.ones(len(alone), np.int64)])
+        keys = np.concatenate([keys[~single], own])
+    if not len(heads):
+        return None
+    begin, first = cut.at[heads], (cut.anchor - cut.at)[heads]
     # equal blocks
-    inside = np.arange(len(at)) - np.repeat(heads, counts)
-    block = mixed(np.add.reduceat(mixed(prints + (inside.astype(np.uint64) << np.uint64(48))), heads) + name * BASE + (first * 64 + counts).astype(np.uint64))
+    inside = _ranges(np.zeros(len(heads), np.int64), counts)
+    prints = cut.prints[_ranges(heads, counts)]
+    sums = np.add.reduceat(mixed(prints + (inside.astype(np.uint64) << np.uint64(48))), np.cumsum(counts) - counts)
+    block = mixed(sums + keys * BASE + (first * 64 + counts).astype(np.uint64))
     _, sample, group = np.unique(block, return_index=True, return_inverse=True)
     places = np.zeros(len(heads), _PLACE)
-    places["row"], places["start"] = keys[doc[begin]], begin - offsets[doc[begin]]
+    document = cut.doc[begin]
+    places["row"], places["check"], places["start"] = rows[document], checks[document], begin - cut.offsets[document]
     places = places[np.argsort(group, kind="stable")]
-    raw = np.ascontiguousarray(prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_FP_BYTES])
-    chosen = np.repeat(heads[sample], counts[sample]) + np.arange(counts[sample].sum()) - np.repeat(np.cumsum(counts[sample]) - counts[sample], counts[sample])
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(name[sample].view(np.int64)),
+            pa.array(keys[sample].view(np.int64)),
             pa.array(first[sample].astype(np.int32)),
-            _binary(raw[chosen].tobytes(), counts[sample] * _FP_BYTES),
+            _binary(cut.prints[_ranges(heads[sample], counts[sample])].astype("<u8").tobytes(), counts[sample] * 8),
             _binary(places.tobytes(), np.bincount(group) * _PLACE.itemsize),
         ],
         ["name", "first", "windows", "places"],
@@ -178,10 +235,8 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _repeated(blocks: pa.Table) -> pa.RecordBatch:
     """Row key, first window and windows (as bits) of each stretch of windows that occurs elsewhere too."""
     raw, sizes = _bytes_of(blocks["windows"])
-    counts = sizes // _FP_BYTES
-    padded = np.zeros((len(raw) // _FP_BYTES, 8), np.uint8)
-    padded[:, :_FP_BYTES] = raw.reshape(-1, _FP_BYTES)
-    prints = padded.view("<u8").ravel().astype(np.uint64)
+    counts = sizes // 8
+    prints = np.frombuffer(raw.tobytes(), "<u8").astype(np.uint64)
     spread, place_sizes = _bytes_of(blocks["places"])
     places = np.frombuffer(spread.tobytes(), _PLACE)
     n_places = place_sizes // _PLACE.itemsize
@@ -200,7 +255,8 @@ def _repeated(blocks: pa.Table) -> pa.RecordBatch:
     spread_bits = np.repeat(bits, n_places)
     hit = spread_bits > 0
     return pa.RecordBatch.from_arrays(
-        [pa.array(places["row"][hit]), pa.array(places["start"][hit]), pa.array(spread_bits[hit])], ["row", "start", "bits"]
+        [*(pa.array(places[name][hit]) for name in ("row", "check", "start")), pa.array(spread_bits[hit])],
+        ["row", "check", "start", "bits"],
     )
 
 
@@ -217,15 +273,30 @@ def _removal(starts: list[int], bits: list[int], n_words: int, window: int) -> n
 
 
 def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``row`` (hash of id and text), ``start`` and ``bits``: the windows that occur elsewhere too."""
+    """``row`` and ``check`` (hashes of id and text), ``start`` and ``bits``: the windows that occur elsewhere too."""
     if window - 2 * _edge() < 2 * _LONGEST - 1:
         raise ValueError(f"windows need at least {2 * _edge() + 2 * _LONGEST - 1} words")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    texts = docs.select("row", "check", docs[text].cast("string").alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text", CUT_BYTES):
+                if (out := _key_counts(text_column(piece, "text"), window)) is not None:
+                    for i in range(0, out.num_rows, 100_000):
+                        yield out.slice(i, 100_000)
+
+    counted = texts.select("text").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    repeated = stored(counted, "repeated-keys")
+    wanted = bitmap.filter_of(repeated, "key")
+    hot = _hot_keys(repeated, tasks)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text", CUT_BYTES):
-                if (out := _blocks(piece.column("row").to_numpy(), text_column(piece, "text"), window)) is not None:
+                rows, checks = (piece.column(c).to_numpy() for c in ("row", "check"))
+                if (out := _blocks(rows, checks, text_column(piece, "text"), window, wanted.value, hot)) is not None:
                     for i in range(0, out.num_rows, 100_000):
                         yield out.slice(i, 100_000)
 
@@ -233,17 +304,25 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW)
         if held := list(batches):
             yield _repeated(pa.Table.from_batches(held))
 
-    blocks = docs.select("row", docs[text].cast("string").alias("text")).mapInArrow(cut, _BLOCKS)
-    return blocks.repartition(tasks, "name").mapInArrow(meet, "row bigint, start int, bits bigint")
+    dealt = texts.mapInArrow(cut, _BLOCKS).repartition(tasks, "name")
+    return dealt.mapInArrow(meet, "row bigint, check int, start int, bits bigint")
+
+
+def _hot_keys(repeated: DataFrame, tasks: int) -> np.ndarray:
+    """Keys that hold more than a quarter of a task's share of the repeated blocks; fewer than four per task."""
+    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = repeated.where(F.col("n") > max(HOT_LEAST, total // (_HOT_SHARE * tasks))).select("key").collect()
+    return np.array([r["key"] for r in rows], np.int64).view(np.uint64)
 
 
 def remove_repeats(
     docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = False
 ) -> DataFrame:
     """One row per document: id, ``n_words``, ``n_removed``, ``kept_sha256``, and the ``kept`` text if asked for."""
-    rows = docs.select(docs[key].alias("id"), docs[text].cast("string").alias("text")).withColumn("row", F.xxhash64("id", "text"))
-    marks = repeated_windows(rows, "text", window).groupBy("row").agg(F.collect_list(F.struct("start", "bits")).alias("marks"))
-    marked = rows.join(marks, "row", "left").select("id", "text", "marks")
+    rows = docs.select(docs[key].alias("id"), docs[text].cast("string").alias("text")).withColumns({"row": F.xxhash64("id", "text"), "check": F.hash("id", "text")})
+    # rows equal in id and text have equal marks, which count once
+    marks = repeated_windows(rows, "text", window).groupBy("row", "check").agg(F.collect_set(F.struct("start", "bits")).alias("marks"))
+    marked = rows.join(marks, ["row", "check"], "left").select("id", "text", "marks")
     kind = docs.schema[key].dataType.simpleString()
     schema = f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * with_text
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from conftest import tuples
 
-from roadbook.llm import repeats
+from roadbook.llm import bitmap, repeats
 
 COLUMNS = ("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -73,14 +73,53 @@ def test_equal_stretches_get_equal_symbols_inside():
         assert found[0] == found[1] and found[0]
 
 
-def test_windows_that_share_40_bits_of_their_hash_stay_apart(monkeypatch):
+def blocks_of(texts):
+    return [repeats._blocks(np.array([i]), np.array([i], np.int32), pa.array([t], pa.large_string()), 35) for i, t in enumerate(texts)]
+
+
+def test_windows_that_share_part_of_their_hash_stay_apart(monkeypatch):
     real = repeats._window_hashes
     monkeypatch.setattr(repeats, "_window_hashes", lambda hashes, window: real(hashes, window) & np.uint64(0xFFFFFF))
+    inner = [f"i{k}" for k in range(35)]
+    texts = [" ".join([f"l{d}-{k}" for k in range(10)] + inner[:34] + [f"r{d}-{k}" for k in range(10)]) for d in range(2)]
+    found = [repeats._repeated(pa.Table.from_batches(blocks_of(pair))).num_rows for pair in (texts, texts[:1] * 2)]
+    assert found[0] == 0 and found[1] > 0
+
+
+def test_a_key_needs_the_words_around_its_anchor():
     inner = [f"i{k}" for k in range(15)]
     texts = [" ".join([f"l{d}-{k}" for k in range(10)] + inner + [f"r{d}-{k}" for k in range(10)]) for d in range(2)]
-    found = []
-    for pair in (texts, texts[:1] * 2):
-        blocks = [repeats._blocks(np.array([i]), pa.array([t], pa.large_string()), 35) for i, t in enumerate(pair)]
-        assert len({b.column("name")[0].as_py() for b in blocks}) == 1
-        found.append(repeats._repeated(pa.Table.from_batches(blocks)).num_rows)
-    assert found == [0, 2]
+    names = [set(b.column("name").to_pylist()) for b in blocks_of(texts)]
+    assert not names[0] & names[1]
+
+
+@pytest.mark.parametrize("least", [5, 1000])
+def test_a_line_of_34_words_in_most_texts_is_dealt_out(make_docs, monkeypatch, least):
+    monkeypatch.setattr(repeats, "HOT_LEAST", least)
+    line = " ".join(f"s{k}" for k in range(34))
+    texts = [f"{' '.join(f'a{i}-{k}' for k in range(12))} {line} {' '.join(f'b{i}-{k}' for k in range(12))}" for i in range(300)]
+    texts += [texts[0], f"x {line} same", f"y {line} same"]
+    assert same(make_docs(*texts), [{"doc_id": i, "text": t} for i, t in enumerate(texts)])
+
+
+def test_hot_keys_spread_over_the_windows_hashes():
+    line = " ".join(f"s{k}" for k in range(34))
+    texts = pa.array([f"{' '.join(f'a{i}-{k}' for k in range(12))} {line} b{i}" for i in range(50)], pa.large_string())
+    rows, checks = np.arange(50), np.arange(50, dtype=np.int32)
+    plain = repeats._blocks(rows, checks, texts, 35)
+    keys, counts = np.unique(plain.column("name").to_numpy().view(np.uint64), return_counts=True)
+    hot = keys[counts > 40]
+    assert len(hot)
+    split = repeats._blocks(rows, checks, texts, 35, hot=hot)
+    assert np.unique(split.column("name").to_numpy(), return_counts=True)[1].max() == 1
+    assert sum(len(w.as_py()) for w in split.column("windows")) == sum(len(w.as_py()) for w in plain.column("windows"))
+
+
+def test_filter_lets_all_its_keys_through(spark):
+    keys = np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 5000)
+    frame = spark.createDataFrame([(int(k),) for k in keys] + [(None,)], "key bigint")
+    wide, narrow = (bitmap.filter_of(frame, "key", bits).value for bits in (20, 10))
+    assert bitmap.passes(wide, keys).all() and bitmap.passes(narrow, keys).all()
+    others = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 5000)
+    assert bitmap.passes(wide, others).mean() < 0.02
+    assert not bitmap.passes(bitmap.filter_of(frame.where("false"), "key", 12).value, keys).any()
