@@ -41,12 +41,17 @@ def fold(key: str, folds: int) -> Column:
     return F.crc32(F.col(key).cast("string")) % folds
 
 
+def held_out(key: str, folds: int, rest: int) -> Column:
+    """Whether a row is kept from training; one without an id is not."""
+    return F.coalesce(fold(key, folds) == rest, F.lit(False))
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = quality.train(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
     scored = quality.score(docs, machine)
     return scored.select(
-        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted")
+        "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted")
     )
 
 
@@ -55,13 +60,13 @@ def op2_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_dictionaries(docs: DataFrame) -> dict[str, bytes]:
-    return langid.train(docs.where(fold("doc_id", 4) != 2))
+    return langid.train(docs.where(~held_out("doc_id", 4, 2)))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.classify(docs, language_dictionaries(docs))
-    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,10 +91,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = kneser_ney.train(docs.where(F.coalesce(fold("doc_id", 7), F.lit(0)) != 2))
+    model = kneser_ney.train(docs.where(~held_out("doc_id", 7, 2)))
     return kneser_ney.score(docs, model).select(
         "doc_id",
-        (fold("doc_id", 7) == 2).alias("held_out"),
+        held_out("doc_id", 7, 2).alias("held_out"),
         "n_tokens",
         "n_known",
         F.lit(model.tokens).cast("bigint").alias("train_tokens"),
