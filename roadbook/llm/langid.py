@@ -2,23 +2,22 @@
 
 Per language a zstandard raw-content dictionary is made from a bounded sample of labelled texts.
 A text is cut into pieces, each piece is encoded with each language's dictionary, and the
-language with the smallest sum of sizes wins. A text is rejected if the runner-up comes within
-``min_margin`` of the winner, or if it has no letter.
+language with the smallest sum of sizes wins. The format stores a short text as it is where compression would save less than
+its headers cost; so a short text is encoded behind a passage of each dictionary, and its size is what it adds. A text is rejected if the runner-up's sum comes within
+``min_margin`` of the winner's, or if it has no letter; nothing but the sizes decides.
 
 Texts and samples are lower-cased and every run of other characters than letters becomes one
 blank, so that capitals, digits and marks do not decide. The whole text is read.
 
-Defined results: null texts and texts without a letter are ``und``, score 0, rejected. Equal
-or nearly equal ones are settled by how common the text's words are in the dictionaries, then by language code. Without
+Defined results: null texts and texts without a letter are ``und``, score 0, rejected. Of equal sums the
+first language code counts, and the text is rejected. Without
 any labelled text every row is ``und``. Rows that repeat get equal results. Other columns are not
 read.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +28,18 @@ from pyspark.sql import functions as F
 
 from roadbook.llm.folders import stored
 
-SAMPLE_ROWS = 400  # distinct labelled texts taken per language
+SAMPLE_ROWS = 400  # distinct labelled texts at most that a language's dictionary is made from; it is full after 96 long ones
 DICTIONARY_BYTES = 96 * 1024  # per language
-DICTIONARY_TEXTS = 48  # a text fills at most this part of a dictionary
+PASSAGE_BYTES = 1024  # that one text gives at most
 ALL_BYTES = 24 * 1024 * 1024  # of all languages; more languages get smaller dictionaries
 PIECE_BYTES = 8 * 1024
+SHORT_BYTES = 160  # a shorter text is encoded behind a passage of the dictionary
+WORD_BYTES = 32  # and one of a few words with matches of three letters
+LEAD_BYTES = 256
+CLOSE_LEVEL = 19
 LEVEL = 6  # lower ones miss matches of a few letters
 MIN_MARGIN = 0.004
 UNDETERMINED = "und"
-FLAT = 1 << 15  # a word's share of a dictionary is 1 in this many if it is unknown, about
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -66,10 +68,10 @@ def train(
     sample_rows: int = SAMPLE_ROWS,
     dictionary_bytes: int = DICTIONARY_BYTES,
 ) -> dict[str, bytes]:
-    """Dictionaries from the ``sample_rows`` distinct texts of each language with the smallest hash.
+    """Dictionaries from distinct texts of each language, in order of their hash, ``sample_rows`` at most.
 
-    The first step ranks hashes only; copies of a text count once. The texts of the chosen
-    hashes come to the driver one partition at a time, each cut at the dictionary's size.
+    The first step ranks hashes only; copies of a text count once. A passage of each chosen text, from a place anywhere in it that
+    its hash names, comes to the driver.
     """
     rows = labelled.select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
     rows = rows.where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}")).withColumn("h", F.xxhash64("t"))
@@ -81,9 +83,11 @@ def train(
         chosen = chosen.withColumn("n", place).where(F.col("n") <= sample_rows)
     chosen = chosen.select("l", "h")
     chosen = stored(chosen, "sample")  # of known size, so that Spark need not shuffle the texts if it is small
-    pieces = rows.join(chosen, ["l", "h"]).select("l", "h", F.substring("t", 1, dictionary_bytes).alias("t"))
+    share = min(PASSAGE_BYTES, max(64, dictionary_bytes // 8))
+    length = 2 * share  # in characters; marks and words that come again soon are left out
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("t") - length, F.lit(0)) + 1) + 1
+    pieces = rows.join(chosen, ["l", "h"]).select("l", "h", F.substring("t", start.cast("int"), F.lit(length)).alias("t"))
     found = pieces.groupBy("l", "h").agg(F.min("t").alias("t")).orderBy("l", "h")
-    share = max(64, dictionary_bytes // DICTIONARY_TEXTS)
     samples: dict[str, list[bytes]] = {}
     held: dict[str, int] = {}
     for row in found.toLocalIterator():
@@ -99,8 +103,7 @@ class Encoders:
 
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
         self.codes = sorted(dictionaries)
-        self.words = [Counter(dictionaries[c].split()) for c in self.codes]
-        self.encode = []
+        self.encode, self.short, self.words = [], [], []
         for code in self.codes:
             content = zstandard.ZstdCompressionDict(dictionaries[code], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(level=level)
@@ -108,6 +111,16 @@ class Encoders:
                 level=level, dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False
             )
             self.encode.append(params.compress)
+            closer = zstandard.ZstdCompressionParameters.from_level(
+                CLOSE_LEVEL, dict_size=len(dictionaries[code]), source_size=2 * LEAD_BYTES, min_match=3,
+                write_checksum=False, write_content_size=False, write_dict_id=False,
+            )
+            near = zstandard.ZstdCompressionDict(dictionaries[code], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            close = zstandard.ZstdCompressor(dict_data=near, compression_params=closer).compress
+            # a passage of the dictionary costs next to nothing, so what follows it is compressed and not stored as it is
+            lead = dictionaries[code][-LEAD_BYTES:] + b" "
+            self.short.append((params.compress, lead, len(params.compress(lead))))
+            self.words.append((close, lead, len(close(lead))))
 
     def classify(self, text: str | None, piece_bytes: int = PIECE_BYTES) -> tuple[str, float, float]:
         """Language, score and relative margin over the runner-up."""
@@ -115,20 +128,14 @@ class Encoders:
         if not cleaned or not self.codes:
             return UNDETERMINED, 0.0, 0.0
         pieces = [cleaned[i : i + piece_bytes] for i in range(0, len(cleaned), piece_bytes)]
-        sizes = np.array([sum(len(encode(p)) for p in pieces) for encode in self.encode], float)
+        if len(cleaned) < SHORT_BYTES:
+            led = self.words if len(cleaned) < WORD_BYTES else self.short
+            sizes = np.array([max(1, len(encode(lead + cleaned)) - size) for encode, lead, size in led], float)
+        else:
+            sizes = np.array([sum(len(encode(p)) for p in pieces) for encode in self.encode], float)
         if len(sizes) == 1:
             return self.codes[0], 1.0, 1.0
-        low = sizes.min()
-        # within two bytes per piece sizes say little: words decide
-        close = np.flatnonzero(sizes <= low + 2 * len(pieces))
-        best = int(close[0])
-        if len(close) > 1:
-            words = cleaned.split()
-            sizes = sizes.copy()
-            for i in close:  # bytes that the words cost by their share of the dictionary
-                total = self.words[i].total() + 1
-                sizes[i] -= sum(math.log2((self.words[i][w] + 0.5) / total * FLAT) for w in words) / 8
-            best = int(close[np.argmin(sizes[close])])
+        best = int(np.argmin(sizes))
         others = np.delete(sizes, best)
         gap = float(others.min() - sizes[best])
         chances = np.exp(-np.clip((sizes - sizes[best]) * 0.5, -50, 50))

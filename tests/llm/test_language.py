@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+import zstandard
 
 from roadbook.llm import langid, queries
 
@@ -32,6 +33,45 @@ def test_edges(make_docs, dictionaries, extra):
     assert kept.columns == df.columns and kept.count() == 3
 
 
+def plain(text, dictionaries):
+    """The code whose dictionary makes the text smallest, straight from the definition, and the margin."""
+    cleaned = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()).encode()
+
+    def size(body, content):
+        raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        options = dict(write_checksum=False, write_content_size=False, write_dict_id=False)
+        if len(cleaned) >= 32:
+            return len(zstandard.ZstdCompressor(level=6, dict_data=raw, **options).compress(body))
+        close = zstandard.ZstdCompressionParameters.from_level(19, dict_size=len(content), source_size=512, min_match=3, **options)
+        return len(zstandard.ZstdCompressor(dict_data=raw, compression_params=close).compress(body))
+
+    sizes = {}
+    for code, content in dictionaries.items():
+        if len(cleaned) < 160:
+            lead = content[-256:] + b" "
+            sizes[code] = max(1, size(lead + cleaned, content) - size(lead, content))
+        else:
+            sizes[code] = sum(size(cleaned[i : i + 8192], content) for i in range(0, len(cleaned), 8192))
+    low, next_low = sorted(sizes.values())[:2]
+    return min(sizes, key=lambda c: (sizes[c], c)), (next_low - low) / next_low
+
+
+def test_against_plain_sizes(spark, dictionaries):
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    found = langid.classify(docs, dictionaries).join(docs.select("doc_id", "text"), "doc_id").where("lang_pred <> 'und'").collect()
+    assert len(found) > 150
+    for r in found:
+        code, margin = plain(r.text, dictionaries)
+        assert (r.lang_pred, round(r.margin, 9), r.rejected) == (code, round(margin, 9), margin < langid.MIN_MARGIN)
+
+
+def test_passages_come_from_anywhere_in_a_text(make_docs):
+    body = " ".join(f"{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx")
+    texts = [f"{'x' * (i + 1)} {body}" for i in range(20)]
+    found = langid.train(make_docs(*[(i, t, "en", "s") for i, t in enumerate(texts)]), dictionary_bytes=2048)["en"]
+    assert len({p for p in found.decode().split() if p[0] in "efgh"}) > 20
+
+
 def test_training_edges(make_docs):
     df = make_docs((1, "alpha beta"), (2, None, "en", "s"), (3, "words", None, "s"), (4, "7 7", "de", "s"))
     assert langid.train(df) == {}  # a text without language, a language without text or letters
