@@ -25,7 +25,7 @@ from roadbook.sinks import files
 
 FIRST_RUN = "r0"  # of tables that no stream writes
 KEY_KINDS = {"run": T.StringType(), "batch_id": T.LongType()}  # partitions of a batch log
-BUCKETS = 64  # of a keyed table
+BUCKETS = 16  # of a keyed table
 KEEP_SECONDS = 3600.0  # how long a replaced version can still be read
 
 
