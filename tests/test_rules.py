@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from roadbook.contract import CITY, Grid
 from roadbook.functions import clock, geo, values
 from roadbook.operators import clean, earnings, kpi, latest, quality, serving, trips
+from roadbook.sources import given_tables
 
 
 def one(spark, column, **fields):
@@ -217,6 +218,19 @@ def test_earnings_keep_the_final_idle_row_of_a_trip(spark):
     assert (float(row.earnings), row.trip_count) == (215.0, 2)
 
 
+def test_unreconciled_vehicles_send_no_side_whole(spark):
+    day = dt.date(2024, 1, 1)
+    earned = spark.createDataFrame(
+        [(day, "V1", 5.0), (day, "V2", 6.0), (day, None, 7.0), (dt.date(2024, 2, 1), "V1", 8.0)],
+        "report_date date, vehicle_id string, earnings double",
+    )
+    filed = given_tables.each_day(spark.createDataFrame([("V1",), ("V1",), (None,)], "vehicle_id string"))
+    missing = earnings.unreconciled_vehicles(filed, earned)
+    assert {tuple(r) for r in missing.collect()} == {(day, "V2", 6.0), (day, None, 7.0), (dt.date(2024, 2, 1), "V1", 8.0)}
+    plan = missing._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_trip_ends_when_its_newest_row_is_idle(spark):
     rows = events(
         spark,
