@@ -32,11 +32,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from roadbook.llm.wordmemo import LETTERS, Memo, at_blanks, blank_runs, cuts_at_blanks, slices, word_pieces
+from roadbook.llm.wordmemo import LETTERS, Memo, blank_runs, cuts_at_blanks, slices, word_pieces, words_at_blanks
 from roadbook.llm.words import pieces, text_column
 
 LENGTH = 2048
@@ -50,6 +51,7 @@ INNER_STEP = 64  # places offered where no sentence ends
 
 _PLAIN = re.compile(f"[ \\t\\n\\r!-;=>?-~{LETTERS}]*")  # white space, ASCII but for one sign that added tokens hold, letters
 _WORD = re.compile(f"[ \\t\\n\\r][ \\t\\n\\r!-;=>?-~{LETTERS}]*[!-;=>?-~{LETTERS}]")  # begins with white space and ends with none
+_AFTER_BLANK = f"\\A[\\t\\n\\r!-;=>?-~{LETTERS}]*[!-;=>?-~{LETTERS}]\\z"  # what makes such a word with one blank before it
 _SENTENCE_END = re.compile(r"[.!?。！？][\"')\]’”]*$")
 
 
@@ -115,16 +117,33 @@ class Encoder:
         return b"".join(b"".join(values) for part in slices(text) for values in self.memo.values([word_pieces(part)], self.pieces))
 
     def ids_at_blanks(self, texts: pa.Array) -> Iterator[bytes]:
-        values, codes, offsets = at_blanks(texts, self.memo, self.pieces)
-        ids = np.frombuffer(b"".join(values), "<u4")
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        starts = np.cumsum(sizes) - sizes
+        """The batch's distinct plain words are merged as one text, and looked at in Arrow and numpy alone; others go through the memo."""
+        distinct, heads, codes, offsets = words_at_blanks(texts)
+        together = np.zeros(len(distinct), bool)
+        if self.merge is not None:
+            together = pc.match_substring_regex(distinct, _AFTER_BLANK).to_numpy(zero_copy_only=False)
+        words = distinct.filter(pa.array(together))
+        merged, merged_sizes = self.merged(words) if len(words) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        others = [f" {w}" for w in distinct.filter(pa.array(~together)).to_pylist()] + heads
+        values = self.memo.values([others], self.pieces)[0]
+        ids = np.concatenate([merged, np.frombuffer(b"".join(values), "<u4")])
+        order = np.concatenate([np.flatnonzero(together), np.flatnonzero(~together), len(distinct) + np.arange(len(heads))])
+        in_order = np.concatenate([merged_sizes, np.fromiter(map(len, values), np.int64, len(values)) // 4])
+        sizes, starts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        sizes[order], starts[order] = in_order, np.cumsum(in_order) - in_order
         each = sizes[codes]
         until = np.concatenate([[0], np.cumsum(each)])
         flat = ids[np.repeat(starts[codes] - until[:-1], each) + np.arange(until[-1])]
         for a, b in zip(until[offsets[:-1]].tolist(), until[offsets[1:]].tolist()):
             yield flat[a:b].tobytes()
 
+    def merged(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some plain words, each with a blank before it, one after the other, and how many each word has."""
+        row = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        ids = self.merge(" " + pc.binary_join(row, pa.scalar(" ", words.type))[0].as_py())
+        until = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False) + 1)
+        return ids, np.diff(np.searchsorted(np.cumsum(self.sizes[ids]), until) + 1, prepend=0)
+
 
 def _bytes_of_alphabet() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others counted on from 256."""

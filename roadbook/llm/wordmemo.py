@@ -85,11 +85,11 @@ def blank_runs(texts: pa.Array) -> np.ndarray:
     return pc.match_substring_regex(texts, _BEFORE_BLANK).to_numpy(zero_copy_only=False)
 
 
-def at_blanks(texts: pa.Array, known: Memo, encode: Callable[[list[str]], Iterable]) -> tuple[list, np.ndarray, np.ndarray]:
-    """Texts without ``blank_runs`` cut at each blank: the values of the batch's distinct words, for each word in
-    order which value it has, and the words' offsets by text.
+def words_at_blanks(texts: pa.Array) -> tuple[pa.Array, list[str], np.ndarray, np.ndarray]:
+    """Texts without ``blank_runs`` cut at each blank: the batch's distinct words, the first word of each text, for each
+    word in order which of all these it is, and the words' offsets by text.
 
-    A word is looked up with the blank before it, but the first of a text has none.
+    A word stands for itself with the blank before it, but the first of a text has none.
     """
     lists = pc.split_pattern(texts, " ")
     offsets = np.asarray(lists.offsets).astype(np.int64)
@@ -98,6 +98,12 @@ def at_blanks(texts: pa.Array, known: Memo, encode: Callable[[list[str]], Iterab
     heads = lists.values.take(pa.array(offsets[first])).to_pylist()
     codes = codes.copy()
     codes[offsets[first]] = len(distinct) + np.arange(len(first))
+    return distinct, heads, codes, offsets
+
+
+def at_blanks(texts: pa.Array, known: Memo, encode: Callable[[list[str]], Iterable]) -> tuple[list, np.ndarray, np.ndarray]:
+    """As ``words_at_blanks``, with the values of the words instead of the words."""
+    distinct, heads, codes, offsets = words_at_blanks(texts)
     return known.values([[f" {w}" for w in distinct.to_pylist()] + heads], encode)[0], codes, offsets
 
 

@@ -100,6 +100,18 @@ def test_ids_are_the_librarys(coder):
             assert np.frombuffer(ids, "<u4").tolist() == coder.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_plain_words_are_not_handled_one_by_one(coder):
+    encoder, rng = packing.Encoder(packing.tokenizer_file(NAME)), random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefghijk,.é\n", k=rng.randrange(1, 12))) + "z" for _ in range(300)) for _ in range(20)]
+    texts += ["", " ", " one", "two ", "three\n four\t five <b> 六 seven\n", "eight"]
+    for text, ids in zip(texts, encoder.ids(pa.array(texts, pa.large_string())), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == coder.encode(text, add_special_tokens=False).ids, repr(text)
+    assert len(encoder.memo) < 2 * len(texts)  # first words and odd ones
+    encoder.merge = None  # as for a tokenizer whose merges are not certain
+    for text, ids in zip(texts, encoder.ids(pa.array(texts, pa.large_string())), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == coder.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_merges_out_of_order_are_left_to_the_library(coder):
     parts = json.loads(coder.to_str())
     assert packing.same_merges(parts)[0] is not None
